@@ -52,7 +52,7 @@ def vocab_q(spark, sf_dir):
 
 @register("corpus_stats", f"""WITH {S.TOKENS},
 counts AS (SELECT word, count(*) AS freq FROM tokens GROUP BY word)
-SELECT (SELECT coalesce(sum(octet_length(text)), 0)::BIGINT FROM documents) AS bytes,
+SELECT (SELECT coalesce(sum(strlen(text)), 0)::BIGINT FROM documents) AS bytes,
        sum(freq)::BIGINT AS tokens, count(*)::BIGINT AS distinct_words,
        count(*) FILTER (WHERE freq >= {S.MIN_COUNT})::BIGINT AS frequent_words,
        (count(*) FILTER (WHERE freq >= {S.MIN_COUNT}) + 1)::BIGINT AS vocab_size,
