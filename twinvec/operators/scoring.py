@@ -51,6 +51,7 @@ class Kernel:
     scores: Callable[[dict, dict], dict]
     extras: Callable[[dict, dict], dict] | None = None
     extra_names: tuple[str, ...] = ()
+    q_scalars: tuple[str, ...] = ()
 
 
 def _stack(series: pd.Series, width: int | None = None) -> np.ndarray:
@@ -93,12 +94,15 @@ def _make_udf(kernel: Kernel, panels: tuple[str, ...], k: int, slice_rows: int):
         for start in range(0, len(qdf), slice_rows):
             stop = min(start + slice_rows, len(qdf))
             qm = kernel.prepare_q({c: m[start:stop] for c, m in qraw.items()})
+            for c in kernel.q_scalars:
+                qm[c] = qdf["q__" + c].to_numpy(dtype=np.int64)[start:stop]
+            cm["_id"] = cids
             qids = qids_all[start:stop]
             scores = kernel.scores(qm, cm)
             extras = kernel.extras(qm, cm) if kernel.extras else {}
             for p in panels:
                 s = np.round(scores[p], SCORE_DECIMALS)
-                mask = _local_topk(s, k)
+                mask = _local_topk(s, k) & np.isfinite(s)
                 r, c = np.nonzero(mask)
                 frame = {"q": qids[r], "panel": np.full(len(r), p, dtype=object), "id": cids[c], "score": s[r, c]}
                 for e in extra_names:
@@ -136,7 +140,8 @@ def topk_panels(queries: DataFrame, cands: DataFrame, kernel: Kernel, panels: tu
             n_qb += 1
 
     # Fresh names on both sides: the two inputs often derive from the same table.
-    q_rep = (queries.select(F.col("q").alias("q"), *[F.col(c).alias("q__" + c) for c in kernel.q_cols])
+    q_rep = (queries.select(F.col("q").alias("q"), *[F.col(c).alias("q__" + c)
+                                                     for c in kernel.q_cols + kernel.q_scalars])
              .withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(n_qb)))
              .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_ch - 1)))))
     c_rep = (cands.select(F.col("id").alias("id"), *[F.col(c).alias("c__" + c) for c in kernel.c_cols])
@@ -216,8 +221,7 @@ def _analogy_prepare_q(m: dict) -> dict:
     a, b, c = m["va"], m["vb"], m["vc"]
     out = {}
     for kind, sl in (("w", slice(None)), ("x", slice(1, None, 2)), ("y", slice(0, None, 2))):
-        ua, ub, uc = _unit(a[:, sl]), _unit(b[:, sl]), _unit(c[:, sl])
-        out["t" + kind] = uc + (ub - ua)
+        out["a" + kind], out["b" + kind], out["c" + kind] = _unit(a[:, sl]), _unit(b[:, sl]), _unit(c[:, sl])
     return out
 
 
@@ -226,13 +230,48 @@ def _analogy_prepare_c(m: dict) -> dict:
     return {"uw": _unit(w), "ux": _unit(w[:, 1::2]), "uy": _unit(w[:, 0::2])}
 
 
+def _exclusion(qm: dict, cm: dict) -> np.ndarray:
+    ids = cm["_id"][None, :]
+    return (ids == qm["a"][:, None]) | (ids == qm["b"][:, None]) | (ids == qm["c"][:, None])
+
+
+def _additive(qm: dict, cm: dict, kind: str) -> np.ndarray:
+    """Target ``u_c + (u_b - u_a)`` on unit vectors, not re-normalised, against unit candidates."""
+    target = qm["c" + kind] + (qm["b" + kind] - qm["a" + kind])
+    return target @ cm["u" + kind].T
+
+
+# Fixed value: denominator offset of the multiplicative objective.
+MUL_EPS = 0.001
+
+
+def _multiplicative(qm: dict, cm: dict, kind: str) -> np.ndarray:
+    """``cos'(b,v) cos'(c,v) / (cos'(a,v) + eps)`` with cosines shifted to [0, 1]."""
+    u = cm["u" + kind].T
+    pa = (qm["a" + kind] @ u + 1.0) / 2.0
+    pb = (qm["b" + kind] @ u + 1.0) / 2.0
+    pc = (qm["c" + kind] @ u + 1.0) / 2.0
+    return pb * pc / (pa + MUL_EPS)
+
+
 def _analogy_scores(qm: dict, cm: dict) -> dict:
-    sw = qm["tw"] @ cm["uw"].T
-    sx = qm["tx"] @ cm["ux"].T
-    sy = qm["ty"] @ cm["uy"].T
+    sw, sx, sy = (_additive(qm, cm, k) for k in "wxy")
     return {"near_w": sw, "near_x": sx, "near_y": sy, "far_w": -sw, "far_x": -sx, "far_y": -sy}
 
 
+def _eval_scores(qm: dict, cm: dict) -> dict:
+    """Additive and multiplicative objectives, question words excluded."""
+    ex = _exclusion(qm, cm)
+    out = {}
+    for k in "wxy":
+        out["add_" + k] = np.where(ex, -np.inf, _additive(qm, cm, k))
+        out["mul_" + k] = np.where(ex, -np.inf, _multiplicative(qm, cm, k))
+    return out
+
+
 ANALOGY_KERNEL = Kernel(q_cols=("va", "vb", "vc"), c_cols=("vec",), prepare_q=_analogy_prepare_q,
                         prepare_c=_analogy_prepare_c, scores=_analogy_scores)
 ANALOGY_PANELS = ("near_w", "near_x", "near_y", "far_w", "far_x", "far_y")
+ANALOGY_EVAL_KERNEL = Kernel(q_cols=("va", "vb", "vc"), c_cols=("vec",), prepare_q=_analogy_prepare_q,
+                             prepare_c=_analogy_prepare_c, scores=_eval_scores, q_scalars=("a", "b", "c"))
+ANALOGY_EVAL_PANELS = ("add_w", "add_x", "add_y", "mul_w", "mul_x", "mul_y")

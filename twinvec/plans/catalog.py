@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinvec.functions.vectors import safe_norm, sign_flip, sq_norm, x_part, y_part, dot
+from twinvec.operators import analogy as A
 from twinvec.operators import corpus as C
 from twinvec.operators import neighbors as N
 from twinvec.operators.scoring import NEIGHBOR_PANELS
@@ -212,6 +213,69 @@ def similarities_q(spark, sf_dir):
     return N.similarities(I.emb(spark, sf_dir), pairs).select("pid", "a", "b", "cos_w", "cos_x", "cos_y")
 
 
+# --------------------------------------------------------------------------------------
+# Analogies
+# --------------------------------------------------------------------------------------
+
+ANALOGY_PANEL_QUERIES = {"analogy_top4": ("near_w", 4), "analogy_x": ("near_x", 4), "analogy_y": ("near_y", 4),
+                         "analogy_far": ("far_w", 4)}
+
+
+def _analogy_query(panel: str, k: int) -> Query:
+    def run(spark, sf_dir):
+        top = A.analogy_panels(I.emb(spark, sf_dir), I.analogy_questions(spark, sf_dir), (panel,), k)
+        return top.select(F.col("q").alias("qid"), "rank", F.col("id").alias("vec_id"), "score")
+    return run
+
+
+for _name, (_panel, _k) in ANALOGY_PANEL_QUERIES.items():
+    register(_name, f"""WITH {S.ANALOGY_SCORED}
+SELECT qid, rank, id AS vec_id, score FROM aranked WHERE panel = '{_panel}' AND rank <= {_k}""")(
+        _analogy_query(_panel, _k))
+
+
+@register("analogy_answer", f"""WITH {S.ANALOGY_SCORED},
+best AS (SELECT r.qid, min_by(r.id, r.rank) AS answer FROM aranked r JOIN qs q ON q.qid = r.qid
+         WHERE r.panel = 'near_w' AND r.rank <= 4 AND r.id NOT IN (q.a, q.b, q.c) GROUP BY r.qid)
+SELECT qs.qid, best.answer FROM qs LEFT JOIN best ON best.qid = qs.qid""")
+def analogy_answer_q(spark, sf_dir):
+    return A.answer(I.emb(spark, sf_dir), I.analogy_questions(spark, sf_dir))
+
+
+@register("analogy_eval", f"""WITH {S.ANALOGY_SCORED},
+{S.GOOD_QUESTIONS},
+stop AS (SELECT r.qid, min_by(r.id = g.d, r.rank) AS hit FROM aranked r JOIN good g ON g.qid = r.qid
+         WHERE r.panel = 'near_w' AND r.rank <= 4 AND (r.id = g.d OR r.id NOT IN (g.a, g.b, g.c)) GROUP BY r.qid),
+agg AS (SELECT (SELECT count(*) FROM stop WHERE hit) AS correct, (SELECT count(*) FROM good) AS total,
+               (SELECT count(*) FROM qs) AS all_q)
+SELECT correct::BIGINT AS correct, total::BIGINT AS total, (all_q - total)::BIGINT AS skipped,
+       CASE WHEN total > 0 THEN round(correct * 100.0 / total, 6) END AS accuracy
+FROM agg""")
+def analogy_eval_q(spark, sf_dir):
+    return A.evaluate(I.emb(spark, sf_dir), I.analogy_questions(spark, sf_dir))
+
+
+@register("analogy_report", f"""WITH {S.VOCAB}, {S.ANALOGY_SCORED}
+SELECT r.qid, r.panel, r.rank, r.id AS word_id, v.word,
+       CASE WHEN r.panel LIKE 'far%' THEN -r.score ELSE r.score END AS score
+FROM aranked r LEFT JOIN vocab v ON v.word_id = r.id WHERE r.rank <= {REPORT_K}""")
+def analogy_report_q(spark, sf_dir):
+    return A.report(I.emb(spark, sf_dir), I.vocab(spark, sf_dir), I.analogy_questions(spark, sf_dir), REPORT_K)
+
+
+@register("analogy_objectives", f"""{S.objectives_sql()}
+SELECT qid, method, kind, id AS answer, id = d AS correct FROM best WHERE r = 1""")
+def analogy_objectives_q(spark, sf_dir):
+    return A.eval_objectives(I.emb(spark, sf_dir), I.analogy_questions(spark, sf_dir))
+
+
+@register("analogy_accuracy", f"""{S.objectives_sql()}
+SELECT method, kind, count(*)::BIGINT AS n, round(avg(CASE WHEN id = d THEN 1.0 ELSE 0.0 END), 6) AS accuracy
+FROM best WHERE r = 1 GROUP BY method, kind""")
+def analogy_accuracy_q(spark, sf_dir):
+    return A.accuracy_by_kind(A.eval_objectives(I.emb(spark, sf_dir), I.analogy_questions(spark, sf_dir)))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -92,3 +92,54 @@ ranked AS (
 def panel_sql(panel: str, k: int) -> str:
     return f"""WITH {NEIGHBOR_PAIRS}
 SELECT q, rank, id AS vec_id, score FROM ranked WHERE panel = '{panel}' AND rank <= {k}"""
+
+
+def cos_sql(kind: str, p: str, c: str) -> str:
+    """Cosine of the ``kind`` part between two ``normed`` rows aliased ``p`` and ``c``."""
+    if kind == "w":
+        num = f"(list_inner_product({p}.x, {c}.x) + list_inner_product({p}.y, {c}.y))"
+        den = f"(sqrt(greatest({p}.sx + {p}.sy, 1e-12)) * sqrt(greatest({c}.sx + {c}.sy, 1e-12)))"
+    else:
+        s = "sx" if kind == "x" else "sy"
+        num = f"list_inner_product({p}.{kind}, {c}.{kind})"
+        den = f"(sqrt(greatest({p}.{s}, 1e-12)) * sqrt(greatest({c}.{s}, 1e-12)))"
+    return f"({num} / {den})"
+
+
+QUESTIONS = """qs AS (
+  SELECT vec_id // 3 AS qid, vec_id AS a, vec_id + 1 AS b, vec_id + 2 AS c,
+         CASE WHEN (vec_id // 3) % 3 = 0 THEN vec_id + 2 ELSE vec_id + 3 END AS d
+  FROM embeddings WHERE vec_id % 3 = 0)"""
+
+_COS_COLS = ",\n         ".join(f"{cos_sql(k, 'n' + s, 'v')} AS {s}_{k}" for s in "abc" for k in "wxy")
+
+ANALOGY_SCORED = f"""{EMB},
+{QUESTIONS},
+sc AS (
+  SELECT q.qid, q.a, q.b, q.c, q.d, v.id,
+         {_COS_COLS}
+  FROM qs q JOIN normed na ON na.id = q.a JOIN normed nb ON nb.id = q.b JOIN normed nc ON nc.id = q.c
+  CROSS JOIN normed v),
+apanels AS (
+  {" UNION ALL ".join(
+      f"SELECT qid, id, '{side}_{k}' AS panel, round({'' if side == 'near' else '-'}(c_{k} + b_{k} - a_{k}), 6) AS score FROM sc"
+      for side in ("near", "far") for k in "wxy")}),
+aranked AS (
+  SELECT qid, panel, (row_number() OVER (PARTITION BY qid, panel ORDER BY score DESC, id ASC))::BIGINT AS rank, id, score
+  FROM apanels)"""
+
+GOOD_QUESTIONS = """good AS (
+  SELECT * FROM qs WHERE a IN (SELECT id FROM normed) AND b IN (SELECT id FROM normed)
+                     AND c IN (SELECT id FROM normed) AND d IN (SELECT id FROM normed))"""
+
+
+def objectives_sql() -> str:
+    parts = []
+    for k in "wxy":
+        parts.append(f"SELECT qid, d, id, 'add' AS method, '{k}' AS kind, round(c_{k} + b_{k} - a_{k}, 6) AS score FROM sc2")
+        parts.append(f"SELECT qid, d, id, 'mul', '{k}', round((((b_{k} + 1) / 2) * ((c_{k} + 1) / 2)) / (((a_{k} + 1) / 2) + 0.001), 6) FROM sc2")
+    return f"""WITH {ANALOGY_SCORED},
+{GOOD_QUESTIONS},
+sc2 AS (SELECT * FROM sc WHERE qid IN (SELECT qid FROM good) AND id NOT IN (a, b, c)),
+obj AS ({" UNION ALL ".join(parts)}),
+best AS (SELECT qid, d, method, kind, id, row_number() OVER (PARTITION BY qid, method, kind ORDER BY score DESC, id ASC) AS r FROM obj)"""
