@@ -60,7 +60,7 @@ def neighbor_report(emb: DataFrame, vocab: DataFrame, query_ids: DataFrame, k: i
 def report_wide(report: DataFrame) -> DataFrame:
     """Side-by-side panels aligned on ``(q, rank)``; a panel shorter than another is padded with NULL."""
     panels = [r for r in REPORT_PANELS]
-    wide = report.groupBy("q", "rank").pivot("panel", panels).agg(F.first("word").alias("word"))
+    wide = report.groupBy("q", "rank").pivot("panel", panels).agg(F.max("word").alias("word"))
     return wide.select("q", "rank", *[F.col(p).alias(f"{p}_word") for p in panels])
 
 

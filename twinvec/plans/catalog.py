@@ -276,6 +276,81 @@ def analogy_accuracy_q(spark, sf_dir):
     return A.accuracy_by_kind(A.eval_objectives(I.emb(spark, sf_dir), I.analogy_questions(spark, sf_dir)))
 
 
+# --------------------------------------------------------------------------------------
+# Word similarity, lookups, neighbourhoods
+# --------------------------------------------------------------------------------------
+
+SIM_PAIRS_SQL = f"""{S.EMB},
+lab AS (SELECT vec_id AS i, label FROM embeddings),
+spairs AS (SELECT a.i AS pid, a.i AS a, b.i AS b,
+                  (CASE WHEN a.label = b.label THEN 10 - a.i % 5 ELSE a.i % 5 END)::DOUBLE AS gold
+           FROM lab a JOIN lab b ON b.i = a.i + 1),
+sims AS (
+  SELECT p.pid, p.gold, round({S.cos_sql('w', 'na', 'nb')}, 6) AS cos_w, round({S.cos_sql('x', 'na', 'nb')}, 6) AS cos_x,
+         round({S.cos_sql('y', 'na', 'nb')}, 6) AS cos_y
+  FROM spairs p JOIN normed na ON na.id = p.a JOIN normed nb ON nb.id = p.b)"""
+
+
+@register("wordsim", f"""WITH {SIM_PAIRS_SQL},
+long AS (SELECT 'w' AS kind, gold, cos_w AS cos FROM sims UNION ALL SELECT 'x', gold, cos_x FROM sims
+         UNION ALL SELECT 'y', gold, cos_y FROM sims),
+rk AS (SELECT kind,
+         rank() OVER (PARTITION BY kind ORDER BY gold) + (count(*) OVER (PARTITION BY kind, gold) - 1) / 2.0 AS ra,
+         rank() OVER (PARTITION BY kind ORDER BY cos) + (count(*) OVER (PARTITION BY kind, cos) - 1) / 2.0 AS rb
+       FROM long)
+SELECT kind, count(*)::BIGINT AS n, round(corr(ra, rb), 6) AS rho FROM rk GROUP BY kind""")
+def wordsim_q(spark, sf_dir):
+    from twinvec.operators.evaluate import wordsim
+    pairs = I.similarity_pairs(spark, sf_dir)
+    return wordsim(N.similarities(I.emb(spark, sf_dir), pairs))
+
+
+BENCH_WORDS_SQL = f"""bw AS (
+  SELECT DISTINCT unnest(list_filter(regexp_split_to_array(coalesce(text, ''), '{S.BLANKS_REGEX_SQL}'), lambda t: t <> '')) AS word
+  FROM benchmark)"""
+
+
+@register("lookup_unk", f"""WITH {S.VOCAB}, {BENCH_WORDS_SQL}
+SELECT bw.word, coalesce(v.word_id, 0)::BIGINT AS word_id
+FROM bw LEFT JOIN (SELECT * FROM vocab WHERE word_id >= 1) v ON v.word = bw.word""")
+def lookup_unk_q(spark, sf_dir):
+    from twinvec.functions.text import split_tokens
+    words = I.table(spark, sf_dir, "benchmark").select(F.explode(split_tokens("text")).alias("word")).distinct()
+    return N.lookup_ids(words, I.vocab(spark, sf_dir)).select("word", "word_id")
+
+
+@register("query_words", """WITH lw AS (SELECT item_id, lower(text) AS t FROM benchmark),
+parsed AS (SELECT item_id, CASE WHEN instr(t, ',') > 0 THEN string_split(replace(t, ' ', ''), ',') ELSE [t] END AS ws FROM lw)
+SELECT item_id, (i - 1)::BIGINT AS pos, ws[i] AS word FROM parsed, range(1, len(ws) + 1) r(i)""")
+def query_words_q(spark, sf_dir):
+    from twinvec.functions.text import parse_word_list
+    b = I.table(spark, sf_dir, "benchmark")
+    return b.select("item_id", F.posexplode(parse_word_list("text")).alias("pos", "word")) \
+        .select("item_id", F.col("pos").cast("long").alias("pos"), "word")
+
+
+NEIGHBORHOOD_LIMIT = 50
+
+
+@register("neighborhood", f"""WITH {S.NEIGHBOR_PAIRS}
+SELECT q, CASE panel WHEN 'near_w' THEN 'w' WHEN 'near_x' THEN 'x' WHEN 'near_y' THEN 'y' ELSE 'far_y' END AS mode,
+       rank, id AS vec_id
+FROM ranked WHERE panel IN ('near_w', 'near_x', 'near_y', 'far_y') AND rank <= {NEIGHBORHOOD_LIMIT}
+UNION ALL SELECT id AS q, 'far_y', {NEIGHBORHOOD_LIMIT + 1}::BIGINT, id FROM normed""")
+def neighborhood_q(spark, sf_dir):
+    return N.neighborhood(I.emb(spark, sf_dir), I.all_query_ids(spark, sf_dir), NEIGHBORHOOD_LIMIT)
+
+
+@register("neighbor_report_wide", f"""WITH {S.VOCAB}, {S.NEIGHBOR_PAIRS},
+r AS (SELECT q, panel, rank, v.word FROM ranked LEFT JOIN vocab v ON v.word_id = ranked.id
+      WHERE rank <= {REPORT_K} AND panel IN ('near_w', 'near_x', 'near_y', 'far_y', 'context', 'dot_x', 'dot_y'))
+SELECT q, rank, {", ".join(f"max(CASE WHEN panel = '{p}' THEN word END) AS {p}_word" for p in ('near_w', 'near_x', 'near_y', 'far_y', 'context', 'dot_x', 'dot_y'))}
+FROM r GROUP BY q, rank""")
+def neighbor_report_wide_q(spark, sf_dir):
+    rep = neighbor_report_q(spark, sf_dir)
+    return N.report_wide(rep)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -7,7 +7,7 @@ is used by the Spark side.
 from __future__ import annotations
 
 from twinvec.functions.rand import uniform_sql
-from twinvec.functions.text import BLANKS_REGEX_SQL
+from twinvec.functions.text import BLANKS_REGEX_SQL  # noqa: F401 (re-exported)
 
 MIN_COUNT = 5
 SEED = 42
