@@ -351,6 +351,86 @@ def neighbor_report_wide_q(spark, sf_dir):
     return N.report_wide(rep)
 
 
+# --------------------------------------------------------------------------------------
+# Sampling
+# --------------------------------------------------------------------------------------
+
+NOISE_SQL = f"""nw AS (SELECT word_id, pow(freq::DOUBLE, 0.75) AS weight FROM vocab),
+tot AS (SELECT sum(weight) AS t FROM nw),
+cdf AS (SELECT word_id, coalesce(sum(weight) OVER (ORDER BY word_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+               / (SELECT t FROM tot) AS lo FROM nw WHERE weight > 0)"""
+NEG_PAIR_K = 5
+NEG_SHARED_K = 20
+NEG_SHARED_ORACLE_DRAWS = 12 * NEG_SHARED_K
+
+
+@register("noise", f"""WITH {S.VOCAB}, {NOISE_SQL}
+SELECT word_id, round(weight / (SELECT t FROM tot), 9) AS prob,
+       round(sum(weight) OVER (ORDER BY word_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / (SELECT t FROM tot), 9) AS cum
+FROM nw""")
+def noise_q(spark, sf_dir):
+    from twinvec.operators.sampling import noise
+    return noise(I.vocab(spark, sf_dir)).select("word_id", F.round("prob", 9).alias("prob"),
+                                                F.round("cum", 9).alias("cum"))
+
+
+def _stream(spark, sf_dir):
+    _, _, enc, total = I.corpus(spark, sf_dir)
+    return C.pair_stream(C.epoch_pairs(enc, total, P, 0, dynamic=True), P.batch_size)
+
+
+@register("neg_pair", f"""WITH {S.pairs_sql(dynamic=True)}, {NOISE_SQL},
+stream AS (SELECT row_number() OVER (ORDER BY k, j) - 1 AS pair_idx, label_id FROM pairs),
+draws AS (SELECT pair_idx, label_id, d AS draw, {S.uniform_sql(S.SEED, 'negp', '0', 'pair_idx', 'd')} AS u
+          FROM stream, range(0, {NEG_PAIR_K}) r(d)),
+s AS (SELECT draws.*, cdf.word_id AS sample FROM draws ASOF JOIN cdf ON draws.u >= cdf.lo)
+SELECT sample, count(*)::BIGINT AS n FROM s WHERE sample <> label_id GROUP BY sample""")
+def neg_pair_q(spark, sf_dir):
+    from twinvec.operators.sampling import noise, per_pair_negatives
+    negs = per_pair_negatives(_stream(spark, sf_dir), noise(I.vocab(spark, sf_dir)), NEG_PAIR_K, P.seed, 0)
+    return negs.groupBy("sample").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("neg_shared", f"""WITH {S.pairs_sql(dynamic=True)}, {NOISE_SQL},
+bt AS (SELECT DISTINCT (row_number() OVER (ORDER BY k, j) - 1) // {P.batch_size} AS batch_id FROM pairs),
+draws AS (SELECT batch_id, d AS draw, {S.uniform_sql(S.SEED, 'neg', '0', 'batch_id', 'd')} AS u
+          FROM bt, range(0, {NEG_SHARED_ORACLE_DRAWS}) r(d)),
+s AS (SELECT draws.batch_id, draws.draw, cdf.word_id FROM draws ASOF JOIN cdf ON draws.u >= cdf.lo),
+firsts AS (SELECT batch_id, word_id, min(draw) AS draw FROM s GROUP BY batch_id, word_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY draw) AS r FROM firsts)
+SELECT batch_id::BIGINT AS batch_id, word_id, draw::BIGINT AS draw FROM ranked WHERE r <= {NEG_SHARED_K}""")
+def neg_shared_q(spark, sf_dir):
+    from twinvec.operators.sampling import noise, shared_negatives
+    batches = _stream(spark, sf_dir).select("batch_id").distinct()
+    out = shared_negatives(batches, noise(I.vocab(spark, sf_dir)), NEG_SHARED_K, P.seed, 0)
+    return out.select("batch_id", "word_id", F.col("draw").cast("long").alias("draw"))
+
+
+INIT_DIM = 64
+
+
+@register("init_vectors", f"""WITH {S.VOCAB}
+SELECT word_id, s::BIGINT AS slot, ({S.uniform_sql(S.SEED, 'init', 'word_id', 's')} - 0.5) / {INIT_DIM} AS value
+FROM vocab, range(0, {INIT_DIM}) r(s)""")
+def init_vectors_q(spark, sf_dir):
+    from twinvec.operators.sampling import init_vectors
+    return init_vectors(I.vocab(spark, sf_dir), INIT_DIM, P.seed).select(
+        "word_id", F.col("slot").cast("long").alias("slot"), "value")
+
+
+@register("lr_schedule", f"""WITH {S.pairs_sql(dynamic=True)},
+numbered AS (SELECT (row_number() OVER (ORDER BY k, j) - 1) // {P.batch_size} AS batch_id, k FROM pairs),
+b AS (SELECT batch_id, max(k) + 1 AS words FROM numbered GROUP BY batch_id)
+SELECT batch_id::BIGINT AS batch_id, words::BIGINT AS words,
+       round({P.learning_rate} * greatest({P.lr_floor}, 1 - {P.lr_decay} * words / ((SELECT n FROM total) * {float(P.epochs_to_train)})), 9) AS lr
+FROM b""")
+def lr_schedule_q(spark, sf_dir):
+    from twinvec.operators.sampling import learning_rate
+    total = I.corpus(spark, sf_dir)[3]
+    b = _stream(spark, sf_dir).groupBy("batch_id").agg((F.max("k") + 1).cast("long").alias("words"))
+    return b.select("batch_id", "words", F.round(learning_rate(F.col("words"), total, P), 9).alias("lr"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
