@@ -431,6 +431,93 @@ def lr_schedule_q(spark, sf_dir):
     return b.select("batch_id", "words", F.round(learning_rate(F.col("words"), total, P), 9).alias("lr"))
 
 
+# --------------------------------------------------------------------------------------
+# Training
+# --------------------------------------------------------------------------------------
+
+TRAIN_DIM = 64
+TRAIN_NEG_K = NEG_SHARED_K
+
+
+def _theta0(spark, sf_dir):
+    from twinvec.operators.training import start_matrix
+    return start_matrix(I.vocab(spark, sf_dir), TRAIN_DIM, P.seed, I.emb(spark, sf_dir))
+
+
+def _negs0(spark, sf_dir, stream):
+    from twinvec.operators.sampling import noise, shared_negatives
+    return shared_negatives(stream.select("batch_id").distinct(), noise(I.vocab(spark, sf_dir)), TRAIN_NEG_K, P.seed, 0)
+
+
+THETA0_SQL = f"""theta AS (
+  SELECT v.word_id, coalesce(e.w, list_transform(range(0, {TRAIN_DIM}),
+           lambda s: ((({S.uniform_sql(S.SEED, 'init', 'v.word_id', 's')}) - 0.5) / {TRAIN_DIM})::FLOAT::DOUBLE)) AS w
+  FROM vocab v LEFT JOIN emb e ON e.id = v.word_id),
+qtheta AS (SELECT word_id, w, list_transform(w, lambda e, i: CASE WHEN i % 2 = 1 THEN -e ELSE e END) AS qw FROM theta)"""
+
+
+@register("nce_loss", f"""WITH {S.pairs_sql(dynamic=True)}, {NOISE_SQL}, {S.EMB}, {THETA0_SQL},
+sb AS (SELECT (row_number() OVER (ORDER BY k, j) - 1) // {P.batch_size} AS batch_id, input_id, label_id FROM pairs),
+bt AS (SELECT DISTINCT batch_id FROM sb),
+draws AS (SELECT batch_id, d AS draw, {S.uniform_sql(S.SEED, 'neg', '0', 'batch_id', 'd')} AS u
+          FROM bt, range(0, {NEG_SHARED_ORACLE_DRAWS}) r(d)),
+s AS (SELECT draws.batch_id, draws.draw, cdf.word_id FROM draws ASOF JOIN cdf ON draws.u >= cdf.lo),
+firsts AS (SELECT batch_id, word_id, min(draw) AS draw FROM s GROUP BY batch_id, word_id),
+negs AS (SELECT batch_id, word_id FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY draw) AS r FROM firsts)
+         WHERE r <= {TRAIN_NEG_K}),
+pz AS (SELECT sb.batch_id, ti.w AS wi, list_inner_product(ti.w, tj.qw) AS zt
+       FROM sb JOIN theta ti ON ti.word_id = sb.input_id JOIN qtheta tj ON tj.word_id = sb.label_id),
+tl AS (SELECT batch_id, count(*) AS n, sum(greatest(-zt, 0) + ln(1 + exp(-abs(zt)))) AS lt FROM pz GROUP BY batch_id),
+zs AS (SELECT pz.batch_id, list_inner_product(pz.wi, tk.qw) AS z FROM pz JOIN negs ON negs.batch_id = pz.batch_id
+       JOIN qtheta tk ON tk.word_id = negs.word_id),
+sl AS (SELECT batch_id, sum(greatest(z, 0) + ln(1 + exp(-abs(z)))) AS ls FROM zs GROUP BY batch_id)
+SELECT tl.batch_id::BIGINT AS batch_id, round((tl.lt + sl.ls) / tl.n, 6) AS loss FROM tl JOIN sl ON sl.batch_id = tl.batch_id""")
+def nce_loss_q(spark, sf_dir):
+    from twinvec.operators.training import evaluate_at
+    stream = _stream(spark, sf_dir).withColumn("lr", F.lit(0.0))
+    out = evaluate_at(stream, _negs0(spark, sf_dir, stream), _theta0(spark, sf_dir), spark.sparkContext.defaultParallelism)
+    return out.where(F.col("kind") == "loss").select("batch_id", F.round("loss", 6).alias("loss"))
+
+
+@register("tied_grad")
+def tied_grad_q(spark, sf_dir):
+    """Sum over all epoch-0 batches of the tied-step gradient at the starting parameters."""
+    from twinvec.operators.training import evaluate_at, merge_gradients
+    stream = _stream(spark, sf_dir).withColumn("lr", F.lit(0.0))
+    out = evaluate_at(stream, _negs0(spark, sf_dir, stream), _theta0(spark, sf_dir), spark.sparkContext.defaultParallelism)
+    g = merge_gradients(out)
+    return g.select("word_id", F.posexplode("grad").alias("slot", "grad")).select(
+        "word_id", F.col("slot").cast("long").alias("slot"), F.round("grad", 9).alias("grad"))
+
+
+def _train(spark, sf_dir, epochs=1):
+    from twinvec.operators.training import train
+    _, vocab, enc, total = I.corpus(spark, sf_dir)
+    return train(enc, vocab, total, P, dim=TRAIN_DIM, epochs=epochs, theta=_theta0(spark, sf_dir), neg_k=TRAIN_NEG_K)
+
+
+@register("train_epoch")
+def train_epoch_q(spark, sf_dir):
+    """One epoch of distributed training; returns the metrics table (loss per sync round)."""
+    return _train(spark, sf_dir, 1).metrics
+
+
+@register("resume")
+def resume_q(spark, sf_dir):
+    """Train, save, restore, then continue with the resume rate; metrics of the continuation."""
+    import tempfile
+    from twinvec.operators import training as TR
+    from twinvec.session import ensure_checkpoint_dir
+    _, vocab, enc, total = I.corpus(spark, sf_dir)
+    st = _train(spark, sf_dir, 1)
+    path = ensure_checkpoint_dir(spark).rstrip("/") + "/twinvec-models/" + next(tempfile._get_candidate_names())
+    TR.save(st.theta, spark, path, st.epoch - 1, st.words, P.learning_rate, P.seed)
+    theta, state = TR.restore(spark, path, st.epoch - 1)
+    cont = TR.train(enc, vocab, total, P, dim=TRAIN_DIM, epochs=1, theta=theta, lr0=P.resume_learning_rate,
+                    start_epoch=int(state["epoch"]) + 1, words_before=0, neg_k=TRAIN_NEG_K)
+    return cont.metrics
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
