@@ -518,6 +518,117 @@ def resume_q(spark, sf_dir):
     return cont.metrics
 
 
+# --------------------------------------------------------------------------------------
+# Next-tag evaluation, projection, exports
+# --------------------------------------------------------------------------------------
+
+TAGGED_SQL = f"""en_ws AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{S.BLANKS_REGEX_SQL}'), lambda t: t <> '') AS ws
+  FROM documents WHERE lang = 'en'),
+en_off AS (SELECT doc_id, ws, coalesce(sum(len(ws)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM en_ws),
+en_tok AS (SELECT off + i - 1 AS g, ws[i] AS tok FROM en_off, range(1, len(ws) + 1) r(i)),
+tagged AS (SELECT g, lower(tok) AS word,
+             CASE WHEN suffix(tok, '.') OR suffix(tok, ',') THEN 'PUNCT' WHEN length(tok) <= 3 THEN 'SHORT'
+                  WHEN length(tok) >= 9 THEN 'LONG' ELSE 'MID' END AS tag FROM en_tok),
+ds AS (SELECT t.g, v.word_id, n.tag FROM tagged t JOIN tagged n ON n.g = t.g + 1 JOIN vocab v ON v.word = t.word
+       WHERE v.word_id IN (SELECT vec_id FROM embeddings)),
+dpos AS (SELECT *, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM ds),
+dsplit AS (SELECT *, (n * 4) // 5 AS n_train, CASE WHEN pos < (n * 4) // 5 THEN 'train' ELSE 'test' END AS split FROM dpos)"""
+
+
+def _next_tag(spark, sf_dir):
+    from twinvec.operators.tagging import next_tag_dataset, rule_tags
+    docs = I.table(spark, sf_dir, "documents").where(F.col("lang") == "en")
+    tagged = rule_tags(C.documents_tokens(docs))
+    return next_tag_dataset(tagged, I.vocab(spark, sf_dir), I.emb(spark, sf_dir).select("word_id"))
+
+
+@register("next_tag_data", f"""WITH {S.VOCAB}, {TAGGED_SQL}
+SELECT split, tag, count(*)::BIGINT AS n FROM dsplit GROUP BY split, tag""")
+def next_tag_data_q(spark, sf_dir):
+    return _next_tag(spark, sf_dir).groupBy("split", "tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("next_tag_batches", f"""WITH {S.VOCAB}, {TAGGED_SQL},
+tr AS (SELECT pos, split, CASE WHEN split = 'train' THEN pos ELSE pos - n_train END AS p,
+              CASE WHEN split = 'train' THEN n_train ELSE n - n_train END AS m FROM dsplit),
+b AS (SELECT split, (ntile(greatest(1, m // 64)) OVER (PARTITION BY split ORDER BY p) - 1)::BIGINT AS batch FROM tr)
+SELECT split, batch, count(*)::BIGINT AS n FROM b GROUP BY split, batch""")
+def next_tag_batches_q(spark, sf_dir):
+    from twinvec.operators.tagging import batch_of
+    ds = checkpoint_df(_next_tag(spark, sf_dir))
+    counts = {r["split"]: int(r["n"]) for r in ds.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_train = counts.get("train", 0)
+    tr = ds.where(F.col("split") == "train").select("split", batch_of(F.col("pos"), n_train).alias("batch"))
+    te = ds.where(F.col("split") == "test").select(
+        "split", batch_of(F.col("pos") - F.lit(n_train), counts.get("test", 0)).alias("batch"))
+    return tr.unionByName(te).groupBy("split", "batch").agg(F.count(F.lit(1)).alias("n"))
+
+
+def checkpoint_df(df):
+    from twinvec.session import checkpoint
+    return checkpoint(df)
+
+
+@register("next_tag_accuracy")
+def next_tag_accuracy_q(spark, sf_dir):
+    """Softmax regression accuracy per vector kind and split (rows only: fitted models differ)."""
+    from twinvec.operators.tagging import tag_accuracy
+    return tag_accuracy(checkpoint_df(_next_tag(spark, sf_dir)), I.emb(spark, sf_dir))
+
+
+@register("project_2d")
+def project_2d_q(spark, sf_dir):
+    """PCA projection of every vector, for w, x and y."""
+    from twinvec.operators.project import project_2d
+    e = I.emb(spark, sf_dir)
+    out = project_2d(e, "w").unionByName(project_2d(e, "x")).unionByName(project_2d(e, "y"))
+    return out.select(F.col("word_id").alias("vec_id"), "kind", F.round("p1", 6).alias("p1"), F.round("p2", 6).alias("p2"))
+
+
+@register("export_vocab", f"""WITH {S.VOCAB}
+SELECT word_id, word || ' ' || freq::VARCHAR AS line FROM vocab""")
+def export_vocab_q(spark, sf_dir):
+    from twinvec.sources.sinks import vocab_lines
+    return vocab_lines(I.vocab(spark, sf_dir))
+
+
+def _vec_text(expr: str) -> str:
+    return f"array_to_string(list_transform({expr}, lambda e: printf('%.10f', e)), ' ')"
+
+
+@register("export_text", f"""WITH {S.EMB}
+SELECT id AS word_id, 'w' AS kind, {_vec_text('w')} AS line FROM emb UNION ALL
+SELECT id, 'x', {_vec_text('x')} FROM parts UNION ALL
+SELECT id, 'y', {_vec_text('y')} FROM parts""")
+def export_text_q(spark, sf_dir):
+    from twinvec.sources.sinks import vector_lines
+    e = I.emb(spark, sf_dir)
+    return vector_lines(e, "w").unionByName(vector_lines(e, "x")).unionByName(vector_lines(e, "y"))
+
+
+@register("export_words", f"""WITH {S.VOCAB}, {S.EMB}
+SELECT p.id AS word_id, 'w' AS kind, v.word || ' ' || {_vec_text('e.w')} AS line
+FROM parts p JOIN emb e ON e.id = p.id JOIN vocab v ON v.word_id = p.id""")
+def export_words_q(spark, sf_dir):
+    from twinvec.sources.sinks import word_vector_lines
+    return word_vector_lines(I.emb(spark, sf_dir), I.vocab(spark, sf_dir), "w")
+
+
+@register("roundtrip", """SELECT count(*)::BIGINT AS n, count(*)::BIGINT AS n_equal FROM embeddings""")
+def roundtrip_q(spark, sf_dir):
+    """Write the vectors as a checkpoint and read them back; every row must come back equal."""
+    import tempfile
+    from twinvec.operators import training as TR
+    from twinvec.session import ensure_checkpoint_dir
+    e = I.emb(spark, sf_dir)
+    path = ensure_checkpoint_dir(spark).rstrip("/") + "/twinvec-roundtrip/" + next(tempfile._get_candidate_names())
+    TR.save(e, spark, path, 0, 0, P.learning_rate, P.seed)
+    back, _ = TR.restore(spark, path, 0)
+    j = e.join(back.select("word_id", F.col("vec").alias("vec2")), "word_id", "full")
+    return j.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("vec") == F.col("vec2"), 1)).alias("n_equal"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
