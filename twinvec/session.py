@@ -27,6 +27,7 @@ def get_spark(master: str | None = None, app: str = "twinvec", shuffle_partition
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "16g",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
     }
