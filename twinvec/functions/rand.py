@@ -5,7 +5,7 @@ u(seed, tag, keys...) = first 32 bits of md5("seed:tag:k1:k2...") / 2^32, in [0,
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TWO32 = 4294967296.0
@@ -21,3 +21,28 @@ def uniform_sql(seed: int, tag: str, *key_sql: str) -> str:
     """DuckDB form of :func:`uniform`; ``key_sql`` are SQL expressions."""
     cat = " || ':' || ".join([f"'{seed}'", f"'{tag}'"] + [f"CAST({k} AS VARCHAR)" for k in key_sql])
     return f"(('0x' || substr(md5({cat}), 1, 8))::BIGINT / 4294967296.0)"
+
+
+def uniforms4(seed: int, tag: str, *keys: Column | str) -> Column:
+    """Four uniforms from one md5: ``u(.., block)[r]`` is draw ``4 * block + r`` (the last key is the block)."""
+    parts = [F.lit(str(seed)), F.lit(tag)] + [F.col(k) if isinstance(k, str) else k for k in keys]
+    h = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
+    return F.array(*[F.conv(F.substring(h, 1 + 8 * r, 8), 16, 10).cast("long") / F.lit(TWO32) for r in range(4)])
+
+
+def uniform4_sql(seed: int, tag: str, *key_sql: str, draw_sql: str) -> str:
+    """DuckDB form of draw ``draw_sql`` of :func:`uniforms4`."""
+    cat = " || ':' || ".join([f"'{seed}'", f"'{tag}'"] + [f"CAST({k} AS VARCHAR)" for k in key_sql]
+                             + [f"CAST(({draw_sql}) // 4 AS VARCHAR)"])
+    return f"(('0x' || substr(md5({cat}), 1 + 8 * (({draw_sql}) % 4), 8))::BIGINT / 4294967296.0)"
+
+
+def explode_draws(df: DataFrame, seed: int, tag: str, keys: list[Column | str], start: int, count: int,
+                  draw: str = "draw", u: str = "u") -> DataFrame:
+    """Rows ``draw`` in ``[start, start + count)`` with their uniform ``u``, one md5 per four draws."""
+    first_b, last_b = start // 4, (start + count - 1) // 4
+    blocks = df.withColumn("_ub", F.explode(F.sequence(F.lit(first_b), F.lit(last_b))))
+    arr = uniforms4(seed, tag, *keys, F.col("_ub"))
+    ex = blocks.select("*", F.posexplode(arr).alias("_ur", u))
+    ex = ex.withColumn(draw, F.col("_ub") * 4 + F.col("_ur"))
+    return ex.where((F.col(draw) >= start) & (F.col(draw) < start + count)).drop("_ub", "_ur")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from twinvec.functions.rand import uniform
 from twinvec.functions.text import split_tokens
 from twinvec.operators.joins import lookup_join
-from twinvec.operators.ordering import dense_prefix, ordered_prefix, row_number_global
+from twinvec.operators.ordering import dense_prefix, ordered_prefix, row_number_global, windowed_prefix
 from twinvec.params import Word2VecParams
 from twinvec.session import checkpoint
 
@@ -125,32 +125,62 @@ def sentences(kept_k: DataFrame, sentence_size: int = 1000) -> DataFrame:
                          (F.col("k") % F.lit(sentence_size)).cast("int").alias("i"), "k", "word_id")
 
 
-def pairs(sent: DataFrame, window: int, dynamic: bool = True, seed: int = 42, epoch: int = 0) -> DataFrame:
-    """Skip-gram ``(input_id, label_id)`` pairs inside a sentence.
+# Sentences per window partition of the pair job: blocks hold whole sentences, so one shuffle
+# serves the neighbour window and the stream numbering, and a block never exceeds
+# SENTENCES_PER_BLOCK * sentence_size rows.
+SENTENCES_PER_BLOCK = 64
 
-    Centre ``i`` has width ``s`` (``1 + floor(u * window)`` when dynamic, else ``window``)
-    and labels ``j`` in ``[max(0, i-s), min(size, i+s+1))``, ``j != i``, in ascending ``j``.
-    One window per sentence (at most ``sentence_size`` rows, so no partition can grow with
-    the data) provides the 2*window neighbours with ``lag``/``lead``; no join, no range join.
+
+def centres(kept_k: DataFrame, window: int, dynamic: bool = True, seed: int = 42, epoch: int = 0,
+            sentence_size: int = 1000) -> DataFrame:
+    """One row per kept token with its valid labels ``nb: array<struct<off, label>>``.
+
+    Centre ``i`` has width ``s`` (``1 + floor(u * window)`` when dynamic, else ``window``) and
+    labels ``j`` in ``[max(0, i-s), min(size, i+s+1))``, ``j != i``, in ascending ``j``. The
+    2*window neighbours come from ``lag``/``lead`` over a block of whole sentences ordered by
+    ``k``; a neighbour counts only inside the same sentence. No join, no range join.
     """
-    w = Window.partitionBy("sid").orderBy("i")
+    blk = (F.col("k") / F.lit(sentence_size * SENTENCES_PER_BLOCK)).cast("long")
+    sid = (F.col("k") / F.lit(sentence_size)).cast("long")
+    base = kept_k.select(blk.alias("_blk"), sid.alias("sid"), (F.col("k") % F.lit(sentence_size)).cast("int").alias("i"),
+                         "k", "word_id")
+    w = Window.partitionBy("_blk").orderBy("k")
     width = (F.lit(1) + F.floor(uniform(seed, "win", F.lit(epoch), F.col("k")) * F.lit(window))).cast("int") \
         if dynamic else F.lit(window)
-    cands = [F.struct(F.lit(-o).alias("off"), F.lag("word_id", o).over(w).alias("label")) for o in range(window, 0, -1)]
-    cands += [F.struct(F.lit(o).alias("off"), F.lead("word_id", o).over(w).alias("label")) for o in range(1, window + 1)]
-    with_nb = sent.select("sid", "i", "k", "word_id", width.alias("s"), F.array(*cands).alias("nb"))
+    same = lambda o: ((F.col("k") + F.lit(o)) / F.lit(sentence_size)).cast("long") == F.col("sid")
+    cands = [F.struct(F.lit(-o).alias("off"), F.when(same(-o), F.lag("word_id", o).over(w)).alias("label"))
+             for o in range(window, 0, -1)]
+    cands += [F.struct(F.lit(o).alias("off"), F.when(same(o), F.lead("word_id", o).over(w)).alias("label"))
+              for o in range(1, window + 1)]
+    with_nb = base.select("_blk", "sid", "i", "k", "word_id", width.alias("s"), F.array(*cands).alias("nb"))
     valid = F.filter("nb", lambda c: c["label"].isNotNull() & (F.abs(c["off"]) <= F.col("s")))
-    ex = with_nb.select("sid", "i", "k", F.col("word_id").alias("input_id"), F.posexplode(valid).alias("p", "c"))
+    return with_nb.select("_blk", "sid", "i", "k", F.col("word_id").alias("input_id"), valid.alias("nb"))
+
+
+def _explode_centres(cen: DataFrame, extra: list[str] = ()) -> DataFrame:
+    ex = cen.select("sid", "i", "k", "input_id", *extra, F.posexplode("nb").alias("p", "c"))
     return ex.select("sid", "i", (F.col("i") + F.col("c.off")).alias("j"), "k", "p", "input_id",
-                     F.col("c.label").alias("label_id"))
+                     F.col("c.label").alias("label_id"), *extra)
+
+
+def pairs(kept_k: DataFrame, window: int, dynamic: bool = True, seed: int = 42, epoch: int = 0,
+          sentence_size: int = 1000) -> DataFrame:
+    """Skip-gram pairs ``(sid, i, j, k, p, input_id, label_id)`` of one epoch."""
+    return _explode_centres(centres(kept_k, window, dynamic, seed, epoch, sentence_size))
 
 
-def pair_stream(prs: DataFrame, batch_size: int = 16) -> DataFrame:
-    """Number pairs in stream order (centre ``k``, then ``j``) and cut batches of B."""
-    per_centre = prs.groupBy("k").agg(F.count(F.lit(1)).alias("_n"))
-    starts = dense_prefix(per_centre, "k", {"_start": F.col("_n")}).select("k", "_start")
-    numbered = prs.join(starts, "k").withColumn("pair_idx", F.col("_start") + F.col("p"))
-    return numbered.withColumn("batch_id", (F.col("pair_idx") / F.lit(batch_size)).cast("long")).drop("_start")
+def pair_stream(kept_k: DataFrame, window: int, batch_size: int = 16, dynamic: bool = True, seed: int = 42,
+                epoch: int = 0, sentence_size: int = 1000) -> DataFrame:
+    """Pairs numbered in stream order (centre ``k``, then ``j``) with ``batch_id = pair_idx div B``.
+
+    The per-centre pair counts get their prefix sum inside the same blocks as the neighbour
+    window (block totals go through a two-level offset table), so pairs are shuffled once.
+    """
+    cen = centres(kept_k, window, dynamic, seed, epoch, sentence_size)
+    numbered = windowed_prefix(cen, "k", {"_start": F.size("nb").cast("long")})
+    ex = _explode_centres(numbered, ["_start"])
+    ex = ex.withColumn("pair_idx", F.col("_start") + F.col("p"))
+    return ex.withColumn("batch_id", (F.col("pair_idx") / F.lit(batch_size)).cast("long")).drop("_start")
 
 
 def prepare_corpus(docs: DataFrame, params: Word2VecParams, id_col: str = "doc_id", text_col: str = "text"):
@@ -159,12 +189,23 @@ def prepare_corpus(docs: DataFrame, params: Word2VecParams, id_col: str = "doc_i
     vocab = build_vocab(toks, params.min_count)
     total = int(vocab.agg(F.sum("freq")).first()[0] or 0)
     check_enough_data(total, params.window_size)
-    enc = encode(toks, vocab)
+    enc = checkpoint(encode(toks, vocab))  # the id corpus is reused by every epoch
     return toks, vocab, enc, total
 
 
+def epoch_kept(encoded: DataFrame, total_tokens: int, params: Word2VecParams, epoch: int = 0) -> DataFrame:
+    return kept_positions(subsample(encoded, total_tokens, params, epoch))
+
+
 def epoch_pairs(encoded: DataFrame, total_tokens: int, params: Word2VecParams, epoch: int = 0,
                 dynamic: bool = True) -> DataFrame:
-    kept = subsample(encoded, total_tokens, params, epoch)
-    sent = sentences(kept_positions(kept), params.sentence_size)
-    return pairs(sent, params.window_size, dynamic=dynamic, seed=params.seed, epoch=epoch)
+    kept = epoch_kept(encoded, total_tokens, params, epoch)
+    return pairs(kept, params.window_size, dynamic=dynamic, seed=params.seed, epoch=epoch,
+                 sentence_size=params.sentence_size)
+
+
+def epoch_stream(encoded: DataFrame, total_tokens: int, params: Word2VecParams, epoch: int = 0,
+                 dynamic: bool = True) -> DataFrame:
+    kept = epoch_kept(encoded, total_tokens, params, epoch)
+    return pair_stream(kept, params.window_size, params.batch_size, dynamic=dynamic, seed=params.seed, epoch=epoch,
+                       sentence_size=params.sentence_size)

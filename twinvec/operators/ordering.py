@@ -18,29 +18,62 @@ from pyspark.sql import functions as F
 
 from twinvec.session import checkpoint
 
-DEFAULT_BLOCK = 1 << 20
+DEFAULT_BLOCK = 1 << 16
+# Blocks per super-block in the second level; the top level then has n / (block * fanout) rows.
+DEFAULT_FANOUT = 4096
+UNB = Window.unboundedPreceding
 
 
-def dense_prefix(df: DataFrame, key: str, weights: dict[str, Column | str], block: int = DEFAULT_BLOCK) -> DataFrame:
-    """Add exclusive prefix sums ``sum(weight) over rows with a smaller key`` for each output name.
+def block_offsets(totals: DataFrame, names: list[str], fanout: int = DEFAULT_FANOUT) -> DataFrame:
+    """Exclusive prefix sums over ``totals(_blk, _t_<name>...)`` in ``_blk`` order: ``(_blk, _o_<name>...)``.
 
-    ``key`` must be a non-negative integer column whose values are unique (ties get an
-    arbitrary order) and roughly dense, e.g. a corpus position.
+    Two levels: windows per super-block of ``fanout`` blocks, then one small window over
+    super-blocks, so no window partition grows with the data.
     """
-    wcols = {name: (F.col(w) if isinstance(w, str) else w) for name, w in weights.items()}
-    blk = (F.col(key) / F.lit(block)).cast("long")
-    tmp = df.withColumn("_blk", blk)
-    for name, w in wcols.items():
+    t = totals.withColumn("_sup", (F.col("_blk") / F.lit(fanout)).cast("long"))
+    w = Window.partitionBy("_sup").orderBy("_blk")
+    t2 = t.select("_blk", "_sup",
+                  *[F.coalesce(F.sum(f"_t_{n}").over(w.rowsBetween(UNB, -1)), F.lit(0)).alias(f"_lo_{n}") for n in names],
+                  *[F.sum(f"_t_{n}").over(w.rowsBetween(UNB, Window.unboundedFollowing)).alias(f"_st_{n}") for n in names])
+    sup = t2.groupBy("_sup").agg(*[F.max(f"_st_{n}").alias(f"_st_{n}") for n in names])
+    top = Window.orderBy("_sup").rowsBetween(UNB, -1)
+    sup_off = sup.select("_sup", *[F.coalesce(F.sum(f"_st_{n}").over(top), F.lit(0)).alias(f"_so_{n}") for n in names])
+    return t2.join(sup_off, "_sup").select("_blk", *[(F.col(f"_so_{n}") + F.col(f"_lo_{n}")).alias(f"_o_{n}")
+                                                     for n in names])
+
+
+def windowed_prefix(df: DataFrame, order: str, weights: dict[str, Column], fanout: int = DEFAULT_FANOUT) -> DataFrame:
+    """Prefix sums for a frame that already has a block column ``_blk`` (blocks ordered like ``order``).
+
+    One window per block computes the local exclusive sum and the block total in a single
+    pass; the totals are read back through the same exchange (reused), so the input is
+    computed once.
+    """
+    tmp = df
+    for name, w in weights.items():
         tmp = tmp.withColumn(f"_w_{name}", w)
-    totals = tmp.groupBy("_blk").agg(*[F.sum(f"_w_{n}").alias(f"_t_{n}") for n in wcols])
-    before = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_blk", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}")
-                                      for n in wcols])
-    inside = Window.partitionBy("_blk").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    local = tmp.select("*", *[F.coalesce(F.sum(f"_w_{n}").over(inside), F.lit(0)).alias(f"_l_{n}") for n in wcols])
+    w_in = Window.partitionBy("_blk").orderBy(order)
+    local = tmp.select("*", *[F.coalesce(F.sum(f"_w_{n}").over(w_in.rowsBetween(UNB, -1)), F.lit(0)).alias(f"_l_{n}")
+                              for n in weights],
+                       *[F.sum(f"_w_{n}").over(w_in.rowsBetween(UNB, Window.unboundedFollowing)).alias(f"_t_{n}")
+                         for n in weights])
+    totals = local.groupBy("_blk").agg(*[F.max(f"_t_{n}").alias(f"_t_{n}") for n in weights])
+    offsets = block_offsets(totals, list(weights), fanout)
     joined = local.join(offsets, "_blk")
-    out = joined.select(*df.columns, *[(F.col(f"_o_{n}") + F.col(f"_l_{n}")).alias(n) for n in wcols])
-    return out
+    return joined.select(*df.columns, *[(F.col(f"_o_{n}") + F.col(f"_l_{n}")).alias(n) for n in weights])
+
+
+def dense_prefix(df: DataFrame, key: str, weights: dict[str, Column | str], block: int = DEFAULT_BLOCK,
+                 fanout: int = DEFAULT_FANOUT) -> DataFrame:
+    """Add exclusive prefix sums ``sum(weight) over rows with a smaller key`` for each output name.
+
+    ``key`` must be a non-negative integer column whose values are unique and roughly dense
+    (e.g. a corpus position): a block then holds at most ``block`` rows whatever the data.
+    """
+    wcols = {name: (F.col(w) if isinstance(w, str) else w) for name, w in weights.items()}
+    tmp = df.withColumn("_blk", F.floor(F.col(key) / F.lit(block)).cast("long"))
+    out = windowed_prefix(tmp, key, wcols, fanout)
+    return out.select(*df.columns, *wcols)
 
 
 def ordered_prefix(df: DataFrame, order: list[Column], weights: dict[str, Column | str],

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinvec.functions.rand import uniform
+from twinvec.functions.rand import explode_draws, uniform
 from twinvec.operators.joins import lookup_join
 from twinvec.operators.ordering import dense_prefix
 from twinvec.params import Word2VecParams
@@ -69,8 +69,7 @@ def per_pair_negatives(stream: DataFrame, noise_df: DataFrame, k: int, seed: int
     ``stream`` needs ``pair_idx`` and ``label_id``. Returns ``(pair_idx, draw, sample)``.
     """
     m = n_buckets or default_buckets(noise_df.count())
-    draws = stream.select("pair_idx", "label_id", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("draw"))
-    draws = draws.withColumn("u", uniform(seed, "negp", F.lit(epoch), F.col("pair_idx"), F.col("draw")))
+    draws = explode_draws(stream.select("pair_idx", "label_id"), seed, "negp", [F.lit(epoch), F.col("pair_idx")], 0, k)
     s = inverse_cdf(draws, cdf_buckets(noise_df, m), m)
     return s.where(F.col("sample") != F.col("label_id")).select("pair_idx", "draw", "sample")
 
@@ -94,8 +93,7 @@ def shared_negatives(batch_ids: DataFrame, noise_df: DataFrame, k: int, seed: in
     found = None
     start = 0
     while True:
-        draws = pending.select("batch_id", F.explode(F.sequence(F.lit(start), F.lit(start + step - 1))).alias("draw"))
-        draws = draws.withColumn("u", uniform(seed, "neg", F.lit(epoch), F.col("batch_id"), F.col("draw")))
+        draws = explode_draws(pending.select("batch_id"), seed, "neg", [F.lit(epoch), F.col("batch_id")], start, step)
         s = inverse_cdf(draws, buckets, m).select("batch_id", "draw", F.col("sample").alias("word_id"))
         found = s if found is None else found.unionByName(s)
         firsts = found.groupBy("batch_id", "word_id").agg(F.min("draw").alias("draw"))

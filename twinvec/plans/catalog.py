@@ -7,6 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinvec.functions.rand import uniform4_sql
 from twinvec.functions.vectors import safe_norm, sign_flip, sq_norm, x_part, y_part, dot
 from twinvec.operators import analogy as A
 from twinvec.operators import corpus as C
@@ -123,7 +124,7 @@ SELECT batch_id::BIGINT AS batch_id, count(*)::BIGINT AS n, sum(input_id)::BIGIN
 FROM numbered GROUP BY batch_id""")
 def batches_q(spark, sf_dir):
     _, _, enc, total = I.corpus(spark, sf_dir)
-    stream = C.pair_stream(C.epoch_pairs(enc, total, P, 0, dynamic=True), P.batch_size)
+    stream = C.epoch_stream(enc, total, P, 0, dynamic=True)
     return stream.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"),
                                           F.sum("input_id").cast("long").alias("sum_input"),
                                           F.sum("label_id").cast("long").alias("sum_label"))
@@ -376,12 +377,12 @@ def noise_q(spark, sf_dir):
 
 def _stream(spark, sf_dir):
     _, _, enc, total = I.corpus(spark, sf_dir)
-    return C.pair_stream(C.epoch_pairs(enc, total, P, 0, dynamic=True), P.batch_size)
+    return C.epoch_stream(enc, total, P, 0, dynamic=True)
 
 
 @register("neg_pair", f"""WITH {S.pairs_sql(dynamic=True)}, {NOISE_SQL},
 stream AS (SELECT row_number() OVER (ORDER BY k, j) - 1 AS pair_idx, label_id FROM pairs),
-draws AS (SELECT pair_idx, label_id, d AS draw, {S.uniform_sql(S.SEED, 'negp', '0', 'pair_idx', 'd')} AS u
+draws AS (SELECT pair_idx, label_id, d AS draw, {uniform4_sql(S.SEED, 'negp', '0', 'pair_idx', draw_sql='d')} AS u
           FROM stream, range(0, {NEG_PAIR_K}) r(d)),
 s AS (SELECT draws.*, cdf.word_id AS sample FROM draws ASOF JOIN cdf ON draws.u >= cdf.lo)
 SELECT sample, count(*)::BIGINT AS n FROM s WHERE sample <> label_id GROUP BY sample""")
@@ -393,7 +394,7 @@ def neg_pair_q(spark, sf_dir):
 
 @register("neg_shared", f"""WITH {S.pairs_sql(dynamic=True)}, {NOISE_SQL},
 bt AS (SELECT DISTINCT (row_number() OVER (ORDER BY k, j) - 1) // {P.batch_size} AS batch_id FROM pairs),
-draws AS (SELECT batch_id, d AS draw, {S.uniform_sql(S.SEED, 'neg', '0', 'batch_id', 'd')} AS u
+draws AS (SELECT batch_id, d AS draw, {uniform4_sql(S.SEED, 'neg', '0', 'batch_id', draw_sql='d')} AS u
           FROM bt, range(0, {NEG_SHARED_ORACLE_DRAWS}) r(d)),
 s AS (SELECT draws.batch_id, draws.draw, cdf.word_id FROM draws ASOF JOIN cdf ON draws.u >= cdf.lo),
 firsts AS (SELECT batch_id, word_id, min(draw) AS draw FROM s GROUP BY batch_id, word_id),
@@ -459,7 +460,7 @@ qtheta AS (SELECT word_id, w, list_transform(w, lambda e, i: CASE WHEN i % 2 = 1
 @register("nce_loss", f"""WITH {S.pairs_sql(dynamic=True)}, {NOISE_SQL}, {S.EMB}, {THETA0_SQL},
 sb AS (SELECT (row_number() OVER (ORDER BY k, j) - 1) // {P.batch_size} AS batch_id, input_id, label_id FROM pairs),
 bt AS (SELECT DISTINCT batch_id FROM sb),
-draws AS (SELECT batch_id, d AS draw, {S.uniform_sql(S.SEED, 'neg', '0', 'batch_id', 'd')} AS u
+draws AS (SELECT batch_id, d AS draw, {uniform4_sql(S.SEED, 'neg', '0', 'batch_id', draw_sql='d')} AS u
           FROM bt, range(0, {NEG_SHARED_ORACLE_DRAWS}) r(d)),
 s AS (SELECT draws.batch_id, draws.draw, cdf.word_id FROM draws ASOF JOIN cdf ON draws.u >= cdf.lo),
 firsts AS (SELECT batch_id, word_id, min(draw) AS draw FROM s GROUP BY batch_id, word_id),
