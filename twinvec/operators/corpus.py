@@ -125,42 +125,49 @@ def sentences(kept_k: DataFrame, sentence_size: int = 1000) -> DataFrame:
                          (F.col("k") % F.lit(sentence_size)).cast("int").alias("i"), "k", "word_id")
 
 
-# Sentences per window partition of the pair job: blocks hold whole sentences, so one shuffle
-# serves the neighbour window and the stream numbering, and a block never exceeds
-# SENTENCES_PER_BLOCK * sentence_size rows.
-SENTENCES_PER_BLOCK = 64
-
-
 def centres(kept_k: DataFrame, window: int, dynamic: bool = True, seed: int = 42, epoch: int = 0,
             sentence_size: int = 1000) -> DataFrame:
-    """One row per kept token with its valid labels ``nb: array<struct<off, label>>``.
+    """One row per kept token with its ``2 * window`` neighbour slots.
 
     Centre ``i`` has width ``s`` (``1 + floor(u * window)`` when dynamic, else ``window``) and
     labels ``j`` in ``[max(0, i-s), min(size, i+s+1))``, ``j != i``, in ascending ``j``. The
-    2*window neighbours come from ``lag``/``lead`` over a block of whole sentences ordered by
-    ``k``; a neighbour counts only inside the same sentence. No join, no range join.
+    neighbours come from ``lag``/``lead`` over the sentence (the window partition, at most
+    ``sentence_size`` rows whatever the data); the same partitioning serves the stream
+    numbering, so pairs are shuffled once. No join, no range join.
+
+    ``nb`` is ``array<struct<off, label, p>>`` with ``label`` NULL for a slot outside the
+    sentence or the width and ``p`` the index of the pair among the centre's valid labels;
+    ``n`` counts the valid labels. Only scalar expressions are used (no higher-order
+    function), which keeps the projection inside whole-stage code generation.
     """
-    blk = (F.col("k") / F.lit(sentence_size * SENTENCES_PER_BLOCK)).cast("long")
     sid = (F.col("k") / F.lit(sentence_size)).cast("long")
-    base = kept_k.select(blk.alias("_blk"), sid.alias("sid"), (F.col("k") % F.lit(sentence_size)).cast("int").alias("i"),
+    base = kept_k.select(sid.alias("_blk"), sid.alias("sid"), (F.col("k") % F.lit(sentence_size)).cast("int").alias("i"),
                          "k", "word_id")
     w = Window.partitionBy("_blk").orderBy("k")
     width = (F.lit(1) + F.floor(uniform(seed, "win", F.lit(epoch), F.col("k")) * F.lit(window))).cast("int") \
         if dynamic else F.lit(window)
+    offs = list(range(-window, 0)) + list(range(1, window + 1))
     same = lambda o: ((F.col("k") + F.lit(o)) / F.lit(sentence_size)).cast("long") == F.col("sid")
-    cands = [F.struct(F.lit(-o).alias("off"), F.when(same(-o), F.lag("word_id", o).over(w)).alias("label"))
-             for o in range(window, 0, -1)]
-    cands += [F.struct(F.lit(o).alias("off"), F.when(same(o), F.lead("word_id", o).over(w)).alias("label"))
-              for o in range(1, window + 1)]
-    with_nb = base.select("_blk", "sid", "i", "k", "word_id", width.alias("s"), F.array(*cands).alias("nb"))
-    valid = F.filter("nb", lambda c: c["label"].isNotNull() & (F.abs(c["off"]) <= F.col("s")))
-    return with_nb.select("_blk", "sid", "i", "k", F.col("word_id").alias("input_id"), valid.alias("nb"))
+    keep = lambda o: same(o) & (F.lit(abs(o)) <= F.col("_s"))
+    with_s = base.withColumn("_s", width)
+    lab = {o: F.when(keep(o), (F.lag if o < 0 else F.lead)("word_id", abs(o)).over(w)) for o in offs}
+    win = with_s.select("_blk", "sid", "i", "k", "word_id", *[lab[o].alias(f"_l{n}") for n, o in enumerate(offs)])
+    ind = [F.col(f"_l{n}").isNotNull().cast("int") for n in range(len(offs))]
+    before = [F.lit(0)]
+    for n in range(1, len(offs)):
+        before.append(before[-1] + ind[n - 1])
+    slots = [F.struct(F.lit(o).alias("off"), F.col(f"_l{n}").alias("label"), before[n].alias("p"))
+             for n, o in enumerate(offs)]
+    total = before[-1] + ind[-1]
+    return win.select("_blk", "sid", "i", "k", F.col("word_id").alias("input_id"), total.cast("long").alias("n"),
+                      F.array(*slots).alias("nb"))
 
 
 def _explode_centres(cen: DataFrame, extra: list[str] = ()) -> DataFrame:
-    ex = cen.select("sid", "i", "k", "input_id", *extra, F.posexplode("nb").alias("p", "c"))
-    return ex.select("sid", "i", (F.col("i") + F.col("c.off")).alias("j"), "k", "p", "input_id",
-                     F.col("c.label").alias("label_id"), *extra)
+    # inline_outer: the optimizer infers no size(nb) > 0 filter, which would rebuild the array.
+    ex = cen.select("sid", "i", "k", "input_id", *extra, F.inline_outer("nb")).where(F.col("label").isNotNull())
+    return ex.select("sid", "i", (F.col("i") + F.col("off")).alias("j"), "k", "p", "input_id",
+                     F.col("label").alias("label_id"), *extra)
 
 
 def pairs(kept_k: DataFrame, window: int, dynamic: bool = True, seed: int = 42, epoch: int = 0,
@@ -177,7 +184,7 @@ def pair_stream(kept_k: DataFrame, window: int, batch_size: int = 16, dynamic: b
     window (block totals go through a two-level offset table), so pairs are shuffled once.
     """
     cen = centres(kept_k, window, dynamic, seed, epoch, sentence_size)
-    numbered = windowed_prefix(cen, "k", {"_start": F.size("nb").cast("long")})
+    numbered = windowed_prefix(cen, "k", {"_start": F.col("n")})
     ex = _explode_centres(numbered, ["_start"])
     ex = ex.withColumn("pair_idx", F.col("_start") + F.col("p"))
     return ex.withColumn("batch_id", (F.col("pair_idx") / F.lit(batch_size)).cast("long")).drop("_start")

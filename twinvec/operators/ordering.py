@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from twinvec.session import checkpoint
 
-DEFAULT_BLOCK = 1 << 16
+# Rows per window partition: Spark keeps up to 4096 rows of a window partition in its in-memory
+# buffer (spark.sql.windowExec.buffer.in.memory.threshold), so blocks stay at that size.
+DEFAULT_BLOCK = 4096
 # Blocks per super-block in the second level; the top level then has n / (block * fanout) rows.
 DEFAULT_FANOUT = 4096
 UNB = Window.unboundedPreceding
@@ -45,19 +47,17 @@ def block_offsets(totals: DataFrame, names: list[str], fanout: int = DEFAULT_FAN
 def windowed_prefix(df: DataFrame, order: str, weights: dict[str, Column], fanout: int = DEFAULT_FANOUT) -> DataFrame:
     """Prefix sums for a frame that already has a block column ``_blk`` (blocks ordered like ``order``).
 
-    One window per block computes the local exclusive sum and the block total in a single
-    pass; the totals are read back through the same exchange (reused), so the input is
-    computed once.
+    The running sum inside a block is one window (the only shuffle of the rows); block totals
+    are a plain aggregation of the input, combined map-side, so they shuffle one row per
+    block and task. (Reading the totals back from the window output would make the optimizer
+    prune each branch differently and shuffle the rows again.)
     """
     tmp = df
     for name, w in weights.items():
         tmp = tmp.withColumn(f"_w_{name}", w)
-    w_in = Window.partitionBy("_blk").orderBy(order)
-    local = tmp.select("*", *[F.coalesce(F.sum(f"_w_{n}").over(w_in.rowsBetween(UNB, -1)), F.lit(0)).alias(f"_l_{n}")
-                              for n in weights],
-                       *[F.sum(f"_w_{n}").over(w_in.rowsBetween(UNB, Window.unboundedFollowing)).alias(f"_t_{n}")
-                         for n in weights])
-    totals = local.groupBy("_blk").agg(*[F.max(f"_t_{n}").alias(f"_t_{n}") for n in weights])
+    w_in = Window.partitionBy("_blk").orderBy(order).rowsBetween(UNB, -1)
+    local = tmp.select("*", *[F.coalesce(F.sum(f"_w_{n}").over(w_in), F.lit(0)).alias(f"_l_{n}") for n in weights])
+    totals = tmp.groupBy("_blk").agg(*[F.sum(f"_w_{n}").alias(f"_t_{n}") for n in weights])
     offsets = block_offsets(totals, list(weights), fanout)
     joined = local.join(offsets, "_blk")
     return joined.select(*df.columns, *[(F.col(f"_o_{n}") + F.col(f"_l_{n}")).alias(n) for n in weights])

@@ -113,9 +113,36 @@ def _make_udf(kernel: Kernel, panels: tuple[str, ...], k: int, slice_rows: int):
     return run
 
 
+# Our own bounds on one cogroup: rows of a query block and of a candidate chunk. With d = 300
+# a group holds at most (16384 + 65536) * 300 * 8 bytes = 197 MB of float64 vectors.
+MAX_QUERY_BLOCK = 16384
+MAX_CAND_CHUNK = 65536
+# Entries of one score matrix per query slice (8 MB as float64).
+SLICE_ENTRIES = 1 << 20
+
+
+def plan_blocks(n_queries: int, n_cands: int, min_groups: int, max_query_block: int = MAX_QUERY_BLOCK,
+                max_cand_chunk: int = MAX_CAND_CHUNK) -> tuple[int, int]:
+    """Numbers of query blocks and candidate chunks.
+
+    Start from the fewest blocks the memory bounds allow (least replication: the shuffle
+    carries ``queries * chunks + candidates * blocks`` rows and the merge ``queries * chunks * k``),
+    then split the side with the larger blocks until there are ``min_groups`` groups.
+    """
+    n_qb = max(1, math.ceil(n_queries / max_query_block))
+    n_ch = max(1, math.ceil(n_cands / max_cand_chunk))
+    while n_qb * n_ch < min_groups and (n_queries / n_qb > 16 or n_cands / n_ch > 64):
+        if n_cands / n_ch >= n_queries / n_qb:
+            n_ch += 1
+        else:
+            n_qb += 1
+    return n_qb, n_ch
+
+
 def topk_panels(queries: DataFrame, cands: DataFrame, kernel: Kernel, panels: tuple[str, ...] | list[str], k: int,
-                n_queries: int | None = None, n_cands: int | None = None, query_block: int = 512,
-                cand_chunk: int = 4096, slice_rows: int = 256, min_groups: int | None = None) -> DataFrame:
+                n_queries: int | None = None, n_cands: int | None = None, query_block: int = MAX_QUERY_BLOCK,
+                cand_chunk: int = MAX_CAND_CHUNK, slice_rows: int | None = None,
+                min_groups: int | None = None) -> DataFrame:
     """Exact top ``k`` candidates per (query, panel).
 
     ``queries`` needs a long column ``q`` plus ``kernel.q_cols``; ``cands`` needs a long
@@ -130,14 +157,9 @@ def topk_panels(queries: DataFrame, cands: DataFrame, kernel: Kernel, panels: tu
         n_cands = cands.count()
     if min_groups is None:
         min_groups = 2 * spark.sparkContext.defaultParallelism
-    n_qb = max(1, math.ceil(n_queries / query_block))
-    n_ch = max(1, math.ceil(n_cands / cand_chunk))
-    # Enough groups to keep every core busy on small inputs: split the larger side further.
-    while n_qb * n_ch < min_groups and (n_queries / n_qb > 16 or n_cands / n_ch > 64):
-        if n_cands / n_ch >= n_queries / n_qb:
-            n_ch += 1
-        else:
-            n_qb += 1
+    n_qb, n_ch = plan_blocks(n_queries, n_cands, min_groups, query_block, cand_chunk)
+    if slice_rows is None:
+        slice_rows = max(8, min(1024, SLICE_ENTRIES // max(1, math.ceil(n_cands / n_ch))))
 
     # Fresh names on both sides: the two inputs often derive from the same table.
     q_rep = (queries.select(F.col("q").alias("q"), *[F.col(c).alias("q__" + c)
