@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from twinvec.functions.rand import uniform
 from twinvec.functions.text import split_tokens
 from twinvec.operators.joins import lookup_join
-from twinvec.operators.ordering import dense_prefix, ordered_prefix, row_number_global, windowed_prefix
+from twinvec.operators.ordering import (dense_prefix, key_prefix, ordered_prefix, row_number_global,
+                                        windowed_prefix)
 from twinvec.params import Word2VecParams
 from twinvec.session import checkpoint
 
@@ -33,7 +34,7 @@ def documents_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     level, far smaller than the text), joined back before the explode.
     """
     per_doc = docs.select(F.col(id_col).alias("_doc"), F.size(split_tokens(text_col)).cast("long").alias("_n"))
-    offsets = ordered_prefix(per_doc, [F.col("_doc").asc()], {"_off": F.col("_n")}).select("_doc", "_off")
+    offsets = key_prefix(per_doc, "_doc", {"_off": F.col("_n")}).select("_doc", "_off")
     with_off = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(offsets, "_doc")
     exploded = with_off.select("_off", F.posexplode(split_tokens("_text")).alias("_pos", "word"))
     return exploded.select((F.col("_off") + F.col("_pos")).alias("g"), "word")
@@ -192,7 +193,9 @@ def pair_stream(kept_k: DataFrame, window: int, batch_size: int = 16, dynamic: b
 
 def prepare_corpus(docs: DataFrame, params: Word2VecParams, id_col: str = "doc_id", text_col: str = "text"):
     """Run the corpus job once: returns (tokens, vocab, encoded, total_tokens)."""
-    toks = checkpoint(documents_tokens(docs, id_col, text_col))
+    # Tokens are not materialised: splitting the text again is cheaper than writing every
+    # token string; the id corpus (integers) is what every epoch reads.
+    toks = documents_tokens(docs, id_col, text_col)
     vocab = build_vocab(toks, params.min_count)
     total = int(vocab.agg(F.sum("freq")).first()[0] or 0)
     check_enough_data(total, params.window_size)

@@ -100,6 +100,24 @@ def ordered_prefix(df: DataFrame, order: list[Column], weights: dict[str, Column
                                         .alias(k) for k in wcols])
 
 
+def key_prefix(df: DataFrame, key: str, weights: dict[str, Column | str], block: int = DEFAULT_BLOCK,
+               fanout: int = DEFAULT_FANOUT, max_top_rows: int = 1_000_000) -> DataFrame:
+    """Exclusive prefix sums in the order of a unique integer ``key`` (e.g. a document id).
+
+    One cheap aggregate reads the key range. Blocks of ``block`` consecutive key values hold
+    at most ``block`` rows whatever the distribution, so :func:`dense_prefix` is used when
+    the range keeps the top level small; very sparse keys (hashes) take :func:`ordered_prefix`.
+    """
+    st = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+    if st["lo"] is None:
+        return df.select("*", *[F.lit(0).cast("long").alias(n) for n in weights])
+    lo, hi = int(st["lo"]), int(st["hi"])
+    if (hi - lo + 1) // (block * fanout) <= max_top_rows:
+        shifted = df.withColumn("_key0", F.col(key) - F.lit(lo))
+        return dense_prefix(shifted, "_key0", weights, block, fanout).drop("_key0")
+    return ordered_prefix(df, [F.col(key).asc()], weights)
+
+
 def row_number_global(df: DataFrame, order: list[Column], name: str, start: int = 1,
                       n_parts: int | None = None) -> DataFrame:
     """Global 1-based (or ``start``-based) row number in a unique total order, distributed."""

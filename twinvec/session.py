@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -59,6 +60,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df):
-    """Cut lineage with a reliable checkpoint in the session's checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage: write ``df`` as a parquet table under the session's checkpoint folder and read it back.
+
+    The folder is the shared one named by ``spark.checkpoint.dir``; a lost executor then
+    costs a re-read, never a replay of the lineage. Parquet keeps the schema, compresses,
+    and lets later reads prune columns and push filters (faster than RDD checkpoint files).
+    """
+    spark = df.sparkSession
+    path = ensure_checkpoint_dir(spark).rstrip("/") + "/twinvec-tables/" + uuid.uuid4().hex
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
