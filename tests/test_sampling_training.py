@@ -92,3 +92,25 @@ def test_training_lowers_the_loss(spark):
     m = [r["mean_batch_loss"] for r in st.metrics.orderBy("epoch", "round").collect()]
     assert len(m) == 6 and m[-1] < m[0]
     assert st.theta.count() == vocab.count()
+
+
+def test_untied_round_single_shard_equals_sequential_loop(spark):
+    rng = np.random.default_rng(4)
+    V, d = 7, 4
+    w_in, w_out = rng.normal(0, 0.2, (V, d)), rng.normal(0, 0.2, (V, d))
+    pairs = [(p, p // 3, int(rng.integers(0, V)), int(rng.integers(0, V))) for p in range(12)]
+    negs = [(p, j, int(rng.integers(0, V))) for p, *_ in pairs for j in range(3)]
+    negs = [(p, j, s) for p, j, s in negs if s != pairs[p][3]]
+    stream = spark.createDataFrame([(p, b, i, l, 0.3) for p, b, i, l in pairs],
+                                   "pair_idx long, batch_id long, input_id long, label_id long, lr double")
+    ndf = spark.createDataFrame(negs, "pair_idx long, draw long, sample long")
+    tin = spark.createDataFrame([(i, [float(x) for x in w_in[i]]) for i in range(V)], "word_id long, vec array<float>")
+    tout = spark.createDataFrame([(i, [float(x) for x in w_out[i]]) for i in range(V)], "word_id long, vec array<float>")
+    new_in, new_out = TR.untied_round(stream, ndf, tin, tout, shards=1)
+    a_in = np.asarray([r["vec"] for r in tin.orderBy("word_id").collect()], dtype=np.float64)
+    a_out = np.asarray([r["vec"] for r in tout.orderBy("word_id").collect()], dtype=np.float64)
+    for p, b, i, l in pairs:
+        TR.untied_step(a_in, a_out, np.array([i]), np.array([l]), [np.array([s for q, _, s in negs if q == p])], 0.3)
+    got_in = np.asarray([r["vec"] for r in new_in.orderBy("word_id").collect()])
+    got_out = np.asarray([r["vec"] for r in new_out.orderBy("word_id").collect()])
+    assert np.allclose(got_in, a_in, atol=1e-6) and np.allclose(got_out, a_out, atol=1e-6)
