@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinvec.operators.joins import lookup_join
+from twinvec.operators.ordering import ordered_prefix
 from twinvec.operators.neighbors import FAR_PANELS, PREDICT_TOP
 from twinvec.operators.scoring import (ANALOGY_EVAL_KERNEL, ANALOGY_EVAL_PANELS, ANALOGY_KERNEL, ANALOGY_PANELS,
                                        topk_panels)
@@ -21,13 +22,18 @@ def read_questions(spark, path: str, vocab: DataFrame) -> tuple[DataFrame, DataF
     A line is kept when it has exactly four words, all in the vocabulary (ids >= 1).
     All lines are parsed (the reference's loop only parses the last line: a known bug).
     """
-    lines = (spark.read.text(path).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("_pos")))
+    lines = (spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("_f"),
+                                          F.col("_metadata.file_block_start").alias("_b"),
+                                          F.monotonically_increasing_id().alias("_r")))
     is_header = F.col("line").startswith(":")
-    # Section of each line = the last header at or before it, over the file order.
-    from pyspark.sql import Window
-    w = Window.orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    tagged = lines.withColumn("section", F.last(F.when(is_header, F.trim(F.substring("line", 2, 1 << 20))),
-                                                ignorenulls=True).over(w))
+    # Section of a line = the last header at or before it: number the headers with a distributed
+    # prefix sum in file order, then an equi-join on that number (no single-partition window).
+    order = [F.col("_f").asc(), F.col("_b").asc(), F.col("_r").asc()]
+    pos = ordered_prefix(lines.withColumn("_h", is_header.cast("long")), order,
+                         {"_pos": F.lit(1).cast("long"), "_hb": F.col("_h")})
+    pos = pos.withColumn("_hidx", F.col("_hb") + F.col("_h"))
+    heads = pos.where(F.col("_h") == 1).select("_hidx", F.trim(F.substring("line", 2, 1 << 20)).alias("section"))
+    tagged = pos.join(heads, "_hidx", "left")
     body = tagged.where(~is_header).withColumn("words", F.split(F.lower(F.trim("line")), " "))
     ranked = vocab.where(F.col("word_id") >= 1).select("word", "word_id")
     q = body.withColumn("qid", F.col("_pos"))
