@@ -77,3 +77,17 @@ def test_spearman_average_ranks(spark):
     got = spearman(df, ["g"], "a", "b").first()["rho"]
     pdf = pd.DataFrame(rows, columns=["a", "b"])
     assert got == pytest.approx(round(pdf["a"].rank().corr(pdf["b"].rank()), 6))
+
+
+def test_report_caps_and_display_rounding(spark):
+    emb = _emb(spark)
+    vocab = spark.createDataFrame([(i, f"w{i}", 10 - i) for i in range(8)], "word_id long, word string, freq long")
+    q = spark.createDataFrame([(3,)], "q long")
+    caps = N.panel_caps(8)
+    caps["near_w"] = 2
+    rep = N.neighbor_report(emb, vocab, q, k=caps, decimals=3).collect()
+    per = {}
+    for r in rep:
+        per.setdefault(r["panel"], []).append(r)
+    assert len(per["near_w"]) == 2 and len(per["dot_x"]) == 8
+    assert all(round(r["cos_w"], 3) == r["cos_w"] for r in rep)

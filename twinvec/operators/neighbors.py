@@ -42,19 +42,37 @@ def nearby(emb: DataFrame, query_ids: DataFrame, panels=NEIGHBOR_PANELS, k: int
     return topk_panels(queries, cands, NEIGHBOR_KERNEL, panels, k, **kw)
 
 
-def neighbor_report(emb: DataFrame, vocab: DataFrame, query_ids: DataFrame, k: int = 20,
-                    panels=REPORT_PANELS, **kw) -> DataFrame:
+COSINE_PANELS = {"near_w", "near_x", "near_y", "far_y"}
+
+
+def panel_caps(n_vectors: int) -> dict[str, int]:
+    """K9: the reference's list lengths: 10,000 for cosine panels, 100,000 for dot panels."""
+    return {p: min(COSINE_CAP if p in COSINE_PANELS else DOT_CAP, n_vectors) for p in NEIGHBOR_PANELS}
+
+
+def neighbor_report(emb: DataFrame, vocab: DataFrame, query_ids: DataFrame, k: int | dict = 20,
+                    panels=REPORT_PANELS, decimals: int | None = None, **kw) -> DataFrame:
     """N8 / N10 in long form: ``(q, panel, rank, word_id, word, score, cos_w, cos_x, cos_y)``.
 
-    One scored pass serves all panels; far panels report the similarity itself.
-    Ranking, cut, then the id -> word join (J2) on the k rows only.
+    One scored pass serves all panels; far panels report the similarity itself. ``k`` is one
+    length or a per-panel dict (``panel_caps`` gives the reference's full lists). Ranking, cut,
+    then the id -> word join (J2) on the kept rows only. ``decimals=3`` rounds the shown values
+    after ranking, as the reference displays them (P15).
     """
-    top = nearby(emb, query_ids, panels, k, **kw)
+    caps = k if isinstance(k, dict) else {p: k for p in panels}
+    top = nearby(emb, query_ids, panels, max(caps[p] for p in panels), **kw)
+    if isinstance(k, dict):
+        cap = F.lit(0)
+        for p in panels:
+            cap = F.when(F.col("panel") == p, F.lit(caps[p])).otherwise(cap)
+        top = top.where(F.col("rank") <= cap)
     score = F.when(F.col("panel").isin(*FAR_PANELS), -F.col("score")).otherwise(F.col("score"))
     words = vocab.select(F.col("word_id").alias("id"), "word")
     joined = lookup_join(top, words, "id")
-    return joined.select("q", "panel", "rank", F.col("id").alias("word_id"), "word", score.alias("score"),
-                         "cos_w", "cos_x", "cos_y")
+    shown = [score.alias("score"), F.col("cos_w"), F.col("cos_x"), F.col("cos_y")]
+    if decimals is not None:
+        shown = [F.round(c, decimals).alias(n) for c, n in zip(shown, ("score", "cos_w", "cos_x", "cos_y"))]
+    return joined.select("q", "panel", "rank", F.col("id").alias("word_id"), "word", *shown)
 
 
 def report_wide(report: DataFrame) -> DataFrame:

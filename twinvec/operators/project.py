@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 from twinvec.functions.vectors import x_part, y_part
 
 
-def project_2d(emb: DataFrame, kind: str = "w") -> DataFrame:
-    """``(word_id, kind, p1, p2)`` for every vector of ``emb``."""
+def project_2d(emb: DataFrame, kind: str = "w", first_n: int | None = None) -> DataFrame:
+    """``(word_id, kind, p1, p2)`` for every vector of ``emb`` (P14: or the ids below ``first_n``,
+    the reference's plot selection of the most frequent words)."""
+    if first_n is not None:
+        emb = emb.where(F.col("word_id") < first_n)
     col = {"w": F.col("vec"), "x": x_part("vec"), "y": y_part("vec")}[kind]
     feats = emb.select("word_id", array_to_vector(F.transform(col, lambda e: e.cast("double"))).alias("f"))
     model = PCA(k=2, inputCol="f", outputCol="p").fit(feats)
