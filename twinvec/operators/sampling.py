@@ -79,8 +79,8 @@ def shared_negatives(batch_ids: DataFrame, noise_df: DataFrame, k: int, seed: in
     """Per batch, ``k`` distinct ids drawn without replacement from the noise distribution.
 
     Sequential draws with replacement, keeping first occurrences in draw order, equal
-    sampling without replacement. Batches still short of ``k`` distinct ids after a round
-    get the next block of draws; no batch is cut short. Returns ``(batch_id, word_id, draw)``
+    sampling without replacement. Each round draws ``2k`` per pending batch; batches still
+    short of ``k`` distinct ids get the next block of draws, so no batch is cut short. Returns ``(batch_id, word_id, draw)``
     where ``draw`` is the index of the first draw of that id.
     """
     n_pos = noise_df.where(F.col("weight") > 0).count()
@@ -88,7 +88,7 @@ def shared_negatives(batch_ids: DataFrame, noise_df: DataFrame, k: int, seed: in
         raise ValueError(f"cannot draw {k} distinct ids from {n_pos} words with positive weight")
     m = n_buckets or default_buckets(noise_df.count())
     buckets = cdf_buckets(noise_df, m)
-    step = first_draws or 4 * k
+    step = first_draws or 4 * ((2 * k + 3) // 4)  # 2k draws per round, a multiple of 4 (one md5 each)
     pending = batch_ids.select("batch_id").distinct()
     found = None
     start = 0
