@@ -204,7 +204,10 @@ def prepare_corpus(docs: DataFrame, params: Word2VecParams, id_col: str = "doc_i
 
 
 def epoch_kept(encoded: DataFrame, total_tokens: int, params: Word2VecParams, epoch: int = 0) -> DataFrame:
-    return kept_positions(subsample(encoded, total_tokens, params, epoch))
+    """``(g, word_id, freq, k)`` of the epoch's kept tokens, materialised once: the pair window
+    and the stream numbering both read it (two integers per kept token, far cheaper than
+    hashing every token again in each branch of the plan)."""
+    return checkpoint(kept_positions(subsample(encoded, total_tokens, params, epoch)).select("k", "g", "word_id"))
 
 
 def epoch_pairs(encoded: DataFrame, total_tokens: int, params: Word2VecParams, epoch: int = 0,

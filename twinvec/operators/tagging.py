@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from twinvec.functions.vectors import l2_normalize, x_part, y_part
 from twinvec.operators.joins import lookup_join
 from twinvec.operators.ordering import dense_prefix
+from twinvec.session import checkpoint
 
 TRAIN_FRACTION = 0.8
 # Fixed value: the reference's tagger batch size.
@@ -43,7 +44,7 @@ def next_tag_dataset(tagged: DataFrame, vocab: DataFrame, with_vector_ids: DataF
     ids = vocab.select("word", "word_id")
     if with_vector_ids is not None:
         ids = ids.join(with_vector_ids.select("word_id"), "word_id", "left_semi")
-    known = lookup_join(shifted, ids, "word", how="inner")         # unknown words dropped
+    known = checkpoint(lookup_join(shifted, ids, "word", how="inner"))   # unknown words dropped
     n = known.count()
     n_train = (n * 4) // 5  # floor(0.8 n) in exact integer arithmetic
     pos = dense_prefix(known, "g", {"pos": F.lit(1).cast("long")})

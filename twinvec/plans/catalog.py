@@ -95,8 +95,8 @@ SELECT k // 1000 AS sid, count(*)::BIGINT AS n, min(g) AS first_g, max(g) AS las
 FROM sent GROUP BY k // 1000""")
 def sentences_q(spark, sf_dir):
     _, _, enc, total = I.corpus(spark, sf_dir)
-    kept = C.kept_positions(C.subsample(enc, total, P, 0))
-    s = C.sentences(kept, P.sentence_size).join(kept.select("k", "g"), "k")
+    kept = C.epoch_kept(enc, total, P, 0)
+    s = kept.select((F.col("k") / F.lit(P.sentence_size)).cast("long").alias("sid"), "g", "word_id")
     return s.groupBy("sid").agg(F.count(F.lit(1)).alias("n"), F.min("g").alias("first_g"),
                                 F.max("g").alias("last_g"), F.sum("word_id").cast("long").alias("sum_word_id"))
 
