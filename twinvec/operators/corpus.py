@@ -127,7 +127,7 @@ def sentences(kept_k: DataFrame, sentence_size: int = 1000) -> DataFrame:
 
 
 def centres(kept_k: DataFrame, window: int, dynamic: bool = True, seed: int = 42, epoch: int = 0,
-            sentence_size: int = 1000) -> DataFrame:
+            sentence_size: int = 1000, n_kept: int | None = None) -> DataFrame:
     """One row per kept token with its ``2 * window`` neighbour slots.
 
     Centre ``i`` has width ``s`` (``1 + floor(u * window)`` when dynamic, else ``window``) and
@@ -139,7 +139,10 @@ def centres(kept_k: DataFrame, window: int, dynamic: bool = True, seed: int = 42
     ``nb`` is ``array<struct<off, label, p>>`` with ``label`` NULL for a slot outside the
     sentence or the width and ``p`` the index of the pair among the centre's valid labels;
     ``n`` counts the valid labels. Only scalar expressions are used (no higher-order
-    function), which keeps the projection inside whole-stage code generation.
+    function), which keeps the projection inside whole-stage code generation. When the number
+    of kept tokens ``n_kept`` is given, ``n`` is computed in closed form,
+    ``min(i, s) + min(L - 1 - i, s)`` with ``L`` the sentence length, so totals over ``n``
+    need no window.
     """
     sid = (F.col("k") / F.lit(sentence_size)).cast("long")
     base = kept_k.select(sid.alias("_blk"), sid.alias("sid"), (F.col("k") % F.lit(sentence_size)).cast("int").alias("i"),
@@ -152,14 +155,19 @@ def centres(kept_k: DataFrame, window: int, dynamic: bool = True, seed: int = 42
     keep = lambda o: same(o) & (F.lit(abs(o)) <= F.col("_s"))
     with_s = base.withColumn("_s", width)
     lab = {o: F.when(keep(o), (F.lag if o < 0 else F.lead)("word_id", abs(o)).over(w)) for o in offs}
-    win = with_s.select("_blk", "sid", "i", "k", "word_id", *[lab[o].alias(f"_l{n}") for n, o in enumerate(offs)])
+    win = with_s.select("_blk", "sid", "i", "k", "word_id", "_s",
+                        *[lab[o].alias(f"_l{n}") for n, o in enumerate(offs)])
     ind = [F.col(f"_l{n}").isNotNull().cast("int") for n in range(len(offs))]
     before = [F.lit(0)]
     for n in range(1, len(offs)):
         before.append(before[-1] + ind[n - 1])
     slots = [F.struct(F.lit(o).alias("off"), F.col(f"_l{n}").alias("label"), before[n].alias("p"))
              for n, o in enumerate(offs)]
-    total = before[-1] + ind[-1]
+    if n_kept is None:
+        total = before[-1] + ind[-1]
+    else:
+        length = F.least(F.lit(sentence_size).cast("long"), F.lit(n_kept) - F.col("sid") * F.lit(sentence_size))
+        total = F.least(F.col("i"), F.col("_s")) + F.least(length - 1 - F.col("i"), F.col("_s"))
     return win.select("_blk", "sid", "i", "k", F.col("word_id").alias("input_id"), total.cast("long").alias("n"),
                       F.array(*slots).alias("nb"))
 
@@ -184,7 +192,7 @@ def pair_stream(kept_k: DataFrame, window: int, batch_size: int = 16, dynamic: b
     The per-centre pair counts get their prefix sum inside the same blocks as the neighbour
     window (block totals go through a two-level offset table), so pairs are shuffled once.
     """
-    cen = centres(kept_k, window, dynamic, seed, epoch, sentence_size)
+    cen = centres(kept_k, window, dynamic, seed, epoch, sentence_size, n_kept=kept_k.count())
     numbered = windowed_prefix(cen, "k", {"_start": F.col("n")})
     ex = _explode_centres(numbered, ["_start"])
     ex = ex.withColumn("pair_idx", F.col("_start") + F.col("p"))
