@@ -39,10 +39,14 @@ def uniform4_sql(seed: int, tag: str, *key_sql: str, draw_sql: str) -> str:
 
 def explode_draws(df: DataFrame, seed: int, tag: str, keys: list[Column | str], start: int, count: int,
                   draw: str = "draw", u: str = "u") -> DataFrame:
-    """Rows ``draw`` in ``[start, start + count)`` with their uniform ``u``, one md5 per four draws."""
+    """Rows ``draw`` in ``[start, start + count)`` with their uniform ``u``, one md5 per four draws.
+
+    The uniforms of a row are built as one array (one md5 column per block of four) and
+    exploded once, so exactly ``count`` rows are produced per input row.
+    """
     first_b, last_b = start // 4, (start + count - 1) // 4
-    blocks = df.withColumn("_ub", F.explode(F.sequence(F.lit(first_b), F.lit(last_b))))
-    arr = uniforms4(seed, tag, *keys, F.col("_ub"))
-    ex = blocks.select("*", F.posexplode(arr).alias("_ur", u))
-    ex = ex.withColumn(draw, F.col("_ub") * 4 + F.col("_ur"))
-    return ex.where((F.col(draw) >= start) & (F.col(draw) < start + count)).drop("_ub", "_ur")
+    arrays = [uniforms4(seed, tag, *keys, F.lit(b)) for b in range(first_b, last_b + 1)]
+    allu = F.concat(*arrays) if len(arrays) > 1 else arrays[0]
+    window = F.slice(allu, start - 4 * first_b + 1, count)
+    ex = df.select("*", F.posexplode(window).alias("_ur", u))
+    return ex.withColumn(draw, F.col("_ur") + F.lit(start)).drop("_ur")
