@@ -43,3 +43,14 @@ def test_row_number_global_with_desc_order(spark):
     df = spark.createDataFrame(rows, "word string, freq long")
     got = {r["word"]: r["rn"] for r in row_number_global(df, [F.col("freq").desc(), F.col("word").asc()], "rn").collect()}
     assert got == {"c": 1, "a": 2, "b": 3, "d": 4}
+
+
+def test_salted_lookup_equals_broadcast(spark):
+    from twinvec.operators.joins import lookup_join
+    big = spark.createDataFrame([(i, f"w{i % 13}") for i in range(2000)] + [(5000 + i, "hot") for i in range(3000)],
+                                "g long, word string")
+    small = spark.createDataFrame([(f"w{i}", i + 1) for i in range(10)] + [("hot", 99)], "word string, word_id long")
+    a = sorted(tuple(r) for r in lookup_join(big, small, "word").select("g", "word", "word_id").collect())
+    b = sorted(tuple(r) for r in lookup_join(big, small, "word", max_broadcast_rows=0, salt=8)
+               .select("g", "word", "word_id").collect())
+    assert a == b and len(a) == 5000
