@@ -114,3 +114,35 @@ def test_untied_round_single_shard_equals_sequential_loop(spark):
     got_in = np.asarray([r["vec"] for r in new_in.orderBy("word_id").collect()])
     got_out = np.asarray([r["vec"] for r in new_out.orderBy("word_id").collect()])
     assert np.allclose(got_in, a_in, atol=1e-6) and np.allclose(got_out, a_out, atol=1e-6)
+
+
+def test_one_shard_one_round_equals_sequential_sgd(spark):
+    from twinvec.operators.sampling import noise
+    rng = np.random.default_rng(9)
+    words = [f"t{int(x)}" for x in rng.integers(0, 12, 600)]
+    docs = spark.createDataFrame([(i, " ".join(words[i:i + 100])) for i in range(0, 600, 100)],
+                                 "doc_id long, text string")
+    params = Word2VecParams(min_count=1, subsample=0.0, window_size=2, rounds_per_epoch=1, learning_rate=0.3)
+    toks, vocab, enc, total = C.prepare_corpus(docs, params)
+    theta0 = TR.start_matrix(vocab, 6, params.seed)
+    st = TR.train(enc, vocab, total, params, dim=6, epochs=1, theta=theta0, neg_k=4, shards=1)
+    # Sequential replay of the same stream, negatives and rate with the NumPy kernel.
+    stream = TR.epoch_stream(enc, total, params, 0, 0, 1, params.learning_rate)
+    pairs = sorted((r["batch_id"], r["pair_idx"], r["input_id"], r["label_id"]) for r in stream.collect())
+    negs = shared_negatives(stream.select("batch_id").distinct(), noise(vocab), 4, params.seed, 0)
+    by_batch = {}
+    for r in negs.collect():
+        by_batch.setdefault(r["batch_id"], []).append((r["draw"], r["word_id"]))
+    ids = sorted(r["word_id"] for r in vocab.collect())
+    W = np.asarray([r["vec"] for r in theta0.orderBy("word_id").collect()], dtype=np.float64)
+    q = TR.sign_vector(6)
+    batches = sorted({p[0] for p in pairs})
+    for b in batches:
+        bp = [p for p in pairs if p[0] == b]
+        ii = np.asarray([ids.index(p[2]) for p in bp])
+        jj = np.asarray([ids.index(p[3]) for p in bp])
+        kk = np.asarray([ids.index(w) for _, w in sorted(by_batch[b])])
+        _, rows, grads = TR.tied_loss_and_grads(W, ii, jj, kk, q)
+        np.add.at(W, rows, -params.learning_rate * grads)
+    got = np.asarray([r["vec"] for r in st.theta.orderBy("word_id").collect()], dtype=np.float64)
+    assert np.allclose(got, W.astype(np.float32), atol=1e-6)
