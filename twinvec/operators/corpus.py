@@ -57,7 +57,9 @@ def word_counts(tokens: DataFrame) -> DataFrame:
 
 def build_vocab(tokens: DataFrame, min_count: int = 5, counts: DataFrame | None = None) -> DataFrame:
     """``vocab(word_id, word, freq)`` materialised by a checkpoint."""
-    counts = counts if counts is not None else word_counts(tokens)
+    # Distinct words are far fewer than tokens: materialise them once so the range sampling,
+    # the ranking and the UNK mass do not each re-tokenize the corpus.
+    counts = checkpoint(counts if counts is not None else word_counts(tokens))
     frequent = counts.where(F.col("freq") >= min_count)
     ranked = row_number_global(frequent, [F.col("freq").desc(), F.col("word").asc()], "word_id")
     unk = counts.agg(F.coalesce(F.sum(F.when(F.col("freq") < min_count, F.col("freq"))), F.lit(0))
