@@ -221,14 +221,14 @@ def epoch_kept(encoded: DataFrame, total_tokens: int, params: Word2VecParams, ep
 
 
 def epoch_pairs(encoded: DataFrame, total_tokens: int, params: Word2VecParams, epoch: int = 0,
-                dynamic: bool = True) -> DataFrame:
-    kept = epoch_kept(encoded, total_tokens, params, epoch)
+                dynamic: bool = True, kept: DataFrame | None = None) -> DataFrame:
+    kept = kept if kept is not None else epoch_kept(encoded, total_tokens, params, epoch)
     return pairs(kept, params.window_size, dynamic=dynamic, seed=params.seed, epoch=epoch,
                  sentence_size=params.sentence_size)
 
 
 def epoch_stream(encoded: DataFrame, total_tokens: int, params: Word2VecParams, epoch: int = 0,
-                 dynamic: bool = True) -> DataFrame:
-    kept = epoch_kept(encoded, total_tokens, params, epoch)
+                 dynamic: bool = True, kept: DataFrame | None = None) -> DataFrame:
+    kept = kept if kept is not None else epoch_kept(encoded, total_tokens, params, epoch)
     return pair_stream(kept, params.window_size, params.batch_size, dynamic=dynamic, seed=params.seed, epoch=epoch,
                        sentence_size=params.sentence_size)

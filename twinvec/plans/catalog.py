@@ -95,7 +95,7 @@ SELECT k // 1000 AS sid, count(*)::BIGINT AS n, min(g) AS first_g, max(g) AS las
 FROM sent GROUP BY k // 1000""")
 def sentences_q(spark, sf_dir):
     _, _, enc, total = I.corpus(spark, sf_dir)
-    kept = C.epoch_kept(enc, total, P, 0)
+    kept = I.kept(spark, sf_dir)
     s = kept.select((F.col("k") / F.lit(P.sentence_size)).cast("long").alias("sid"), "g", "word_id")
     return s.groupBy("sid").agg(F.count(F.lit(1)).alias("n"), F.min("g").alias("first_g"),
                                 F.max("g").alias("last_g"), F.sum("word_id").cast("long").alias("sum_word_id"))
@@ -105,7 +105,7 @@ def sentences_q(spark, sf_dir):
 SELECT input_id, label_id, count(*)::BIGINT AS n FROM pairs GROUP BY input_id, label_id""")
 def pairs_fixed_q(spark, sf_dir):
     _, _, enc, total = I.corpus(spark, sf_dir)
-    prs = C.epoch_pairs(enc, total, P, 0, dynamic=False)
+    prs = C.epoch_pairs(enc, total, P, 0, dynamic=False, kept=I.kept(spark, sf_dir))
     return prs.groupBy("input_id", "label_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -113,7 +113,7 @@ def pairs_fixed_q(spark, sf_dir):
 SELECT input_id, label_id, count(*)::BIGINT AS n FROM pairs GROUP BY input_id, label_id""")
 def pairs_dynamic_q(spark, sf_dir):
     _, _, enc, total = I.corpus(spark, sf_dir)
-    prs = C.epoch_pairs(enc, total, P, 0, dynamic=True)
+    prs = C.epoch_pairs(enc, total, P, 0, dynamic=True, kept=I.kept(spark, sf_dir))
     return prs.groupBy("input_id", "label_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -124,7 +124,7 @@ SELECT batch_id::BIGINT AS batch_id, count(*)::BIGINT AS n, sum(input_id)::BIGIN
 FROM numbered GROUP BY batch_id""")
 def batches_q(spark, sf_dir):
     _, _, enc, total = I.corpus(spark, sf_dir)
-    stream = C.epoch_stream(enc, total, P, 0, dynamic=True)
+    stream = C.epoch_stream(enc, total, P, 0, dynamic=True, kept=I.kept(spark, sf_dir))
     return stream.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"),
                                           F.sum("input_id").cast("long").alias("sum_input"),
                                           F.sum("label_id").cast("long").alias("sum_label"))
@@ -377,7 +377,7 @@ def noise_q(spark, sf_dir):
 
 def _stream(spark, sf_dir):
     _, _, enc, total = I.corpus(spark, sf_dir)
-    return C.epoch_stream(enc, total, P, 0, dynamic=True)
+    return C.epoch_stream(enc, total, P, 0, dynamic=True, kept=I.kept(spark, sf_dir))
 
 
 @register("neg_pair", f"""WITH {S.pairs_sql(dynamic=True)}, {NOISE_SQL},

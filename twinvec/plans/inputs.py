@@ -48,6 +48,13 @@ def corpus(spark: SparkSession, sf_dir: str, params: Word2VecParams = PARAMS):
                  lambda: C.prepare_corpus(table(spark, sf_dir, "documents"), params))
 
 
+def kept(spark: SparkSession, sf_dir: str, epoch: int = 0, params: Word2VecParams = PARAMS) -> DataFrame:
+    """The epoch's kept positions ``(k, g, word_id)``, materialised once per session."""
+    _, _, enc, total = corpus(spark, sf_dir, params)
+    return _memo(spark, ("kept", sf_dir, epoch, params.min_count, params.subsample, params.seed),
+                 lambda: C.epoch_kept(enc, total, params, epoch))
+
+
 def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir)[1]
 
