@@ -506,12 +506,12 @@ def train_epoch_q(spark, sf_dir):
 @register("resume")
 def resume_q(spark, sf_dir):
     """Train, save, restore, then continue with the resume rate; metrics of the continuation."""
-    import tempfile
+    import uuid
     from twinvec.operators import training as TR
     from twinvec.session import ensure_checkpoint_dir
     _, vocab, enc, total = I.corpus(spark, sf_dir)
     st = _train(spark, sf_dir, 1)
-    path = ensure_checkpoint_dir(spark).rstrip("/") + "/twinvec-models/" + next(tempfile._get_candidate_names())
+    path = ensure_checkpoint_dir(spark).rstrip("/") + "/twinvec-models/" + uuid.uuid4().hex
     TR.save(st.theta, spark, path, st.epoch - 1, st.words, P.learning_rate, P.seed)
     theta, state = TR.restore(spark, path, st.epoch - 1)
     cont = TR.train(enc, vocab, total, P, dim=TRAIN_DIM, epochs=1, theta=theta, lr0=P.resume_learning_rate,
@@ -619,11 +619,11 @@ def export_words_q(spark, sf_dir):
 @register("roundtrip", """SELECT count(*)::BIGINT AS n, count(*)::BIGINT AS n_equal FROM embeddings""")
 def roundtrip_q(spark, sf_dir):
     """Write the vectors as a checkpoint and read them back; every row must come back equal."""
-    import tempfile
+    import uuid
     from twinvec.operators import training as TR
     from twinvec.session import ensure_checkpoint_dir
     e = I.emb(spark, sf_dir)
-    path = ensure_checkpoint_dir(spark).rstrip("/") + "/twinvec-roundtrip/" + next(tempfile._get_candidate_names())
+    path = ensure_checkpoint_dir(spark).rstrip("/") + "/twinvec-roundtrip/" + uuid.uuid4().hex
     TR.save(e, spark, path, 0, 0, P.learning_rate, P.seed)
     back, _ = TR.restore(spark, path, 0)
     j = e.join(back.select("word_id", F.col("vec").alias("vec2")), "word_id", "full")
