@@ -480,6 +480,33 @@ def nce_loss_q(spark, sf_dir):
     return out.where(F.col("kind") == "loss").select("batch_id", F.round("loss", 6).alias("loss"))
 
 
+@register("tied_logits", f"""WITH {S.pairs_sql(dynamic=True)}, {NOISE_SQL}, {S.EMB}, {THETA0_SQL},
+sb AS (SELECT (row_number() OVER (ORDER BY k, j) - 1) // {P.batch_size} AS batch_id, input_id, label_id FROM pairs),
+bt AS (SELECT DISTINCT batch_id FROM sb),
+draws AS (SELECT batch_id, d AS draw, {uniform4_sql(S.SEED, 'neg', '0', 'batch_id', draw_sql='d')} AS u
+          FROM bt, range(0, {NEG_SHARED_ORACLE_DRAWS}) r(d)),
+s AS (SELECT draws.batch_id, draws.draw, cdf.word_id FROM draws ASOF JOIN cdf ON draws.u >= cdf.lo),
+firsts AS (SELECT batch_id, word_id, min(draw) AS draw FROM s GROUP BY batch_id, word_id),
+negs AS (SELECT batch_id, word_id FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY draw) AS r FROM firsts)
+         WHERE r <= {TRAIN_NEG_K}),
+pz AS (SELECT sb.batch_id, ti.w AS wi, list_inner_product(ti.w, tj.qw) AS zt
+       FROM sb JOIN theta ti ON ti.word_id = sb.input_id JOIN qtheta tj ON tj.word_id = sb.label_id),
+tl AS (SELECT batch_id, sum(zt) AS st FROM pz GROUP BY batch_id),
+zs AS (SELECT pz.batch_id, list_inner_product(pz.wi, tk.qw) AS z FROM pz JOIN negs ON negs.batch_id = pz.batch_id
+       JOIN qtheta tk ON tk.word_id = negs.word_id),
+sl AS (SELECT batch_id, sum(z) AS ss FROM zs GROUP BY batch_id)
+SELECT tl.batch_id::BIGINT AS batch_id, round(tl.st, 6) AS sum_true, round(sl.ss, 6) AS sum_sampled
+FROM tl JOIN sl ON sl.batch_id = tl.batch_id""")
+def tied_logits_q(spark, sf_dir):
+    """Per batch, the sums of the true logits and of the sampled logits at the starting parameters."""
+    from twinvec.operators.training import evaluate_at
+    stream = _stream(spark, sf_dir).withColumn("lr", F.lit(0.0))
+    out = evaluate_at(stream, _negs0(spark, sf_dir, stream), _theta0(spark, sf_dir), spark.sparkContext.defaultParallelism)
+    sums = out.where(F.col("kind").isin("sum_true", "sum_sampled")).groupBy("batch_id").pivot(
+        "kind", ["sum_true", "sum_sampled"]).agg(F.first("loss"))
+    return sums.select("batch_id", F.round("sum_true", 6).alias("sum_true"), F.round("sum_sampled", 6).alias("sum_sampled"))
+
+
 @register("tied_grad")
 def tied_grad_q(spark, sf_dir):
     """Sum over all epoch-0 batches of the tied-step gradient at the starting parameters."""
