@@ -450,6 +450,19 @@ def _negs0(spark, sf_dir, stream):
     return shared_negatives(stream.select("batch_id").distinct(), noise(I.vocab(spark, sf_dir)), TRAIN_NEG_K, P.seed, 0)
 
 
+def _eval0(spark, sf_dir):
+    """Loss, logit sums and gradient sums of every epoch-0 batch at the starting parameters
+    (one materialised pass shared by ``tied_logits``, ``nce_loss`` and ``tied_grad``)."""
+    from twinvec.operators.training import evaluate_at
+    from twinvec.session import checkpoint
+
+    def build():
+        stream = _stream(spark, sf_dir).withColumn("lr", F.lit(0.0))
+        return checkpoint(evaluate_at(stream, _negs0(spark, sf_dir, stream), _theta0(spark, sf_dir),
+                                      spark.sparkContext.defaultParallelism))
+    return I._memo(spark, ("eval0", sf_dir), build)
+
+
 THETA0_SQL = f"""theta AS (
   SELECT v.word_id, coalesce(e.w, list_transform(range(0, {TRAIN_DIM}),
            lambda s: ((({S.uniform_sql(S.SEED, 'init', 'v.word_id', 's')}) - 0.5) / {TRAIN_DIM})::FLOAT::DOUBLE)) AS w
@@ -474,9 +487,7 @@ zs AS (SELECT pz.batch_id, list_inner_product(pz.wi, tk.qw) AS z FROM pz JOIN ne
 sl AS (SELECT batch_id, sum(greatest(z, 0) + ln(1 + exp(-abs(z)))) AS ls FROM zs GROUP BY batch_id)
 SELECT tl.batch_id::BIGINT AS batch_id, round((tl.lt + sl.ls) / tl.n, 6) AS loss FROM tl JOIN sl ON sl.batch_id = tl.batch_id""")
 def nce_loss_q(spark, sf_dir):
-    from twinvec.operators.training import evaluate_at
-    stream = _stream(spark, sf_dir).withColumn("lr", F.lit(0.0))
-    out = evaluate_at(stream, _negs0(spark, sf_dir, stream), _theta0(spark, sf_dir), spark.sparkContext.defaultParallelism)
+    out = _eval0(spark, sf_dir)
     return out.where(F.col("kind") == "loss").select("batch_id", F.round("loss", 6).alias("loss"))
 
 
@@ -499,9 +510,7 @@ SELECT tl.batch_id::BIGINT AS batch_id, round(tl.st, 6) AS sum_true, round(sl.ss
 FROM tl JOIN sl ON sl.batch_id = tl.batch_id""")
 def tied_logits_q(spark, sf_dir):
     """Per batch, the sums of the true logits and of the sampled logits at the starting parameters."""
-    from twinvec.operators.training import evaluate_at
-    stream = _stream(spark, sf_dir).withColumn("lr", F.lit(0.0))
-    out = evaluate_at(stream, _negs0(spark, sf_dir, stream), _theta0(spark, sf_dir), spark.sparkContext.defaultParallelism)
+    out = _eval0(spark, sf_dir)
     sums = out.where(F.col("kind").isin("sum_true", "sum_sampled")).groupBy("batch_id").pivot(
         "kind", ["sum_true", "sum_sampled"]).agg(F.first("loss"))
     return sums.select("batch_id", F.round("sum_true", 6).alias("sum_true"), F.round("sum_sampled", 6).alias("sum_sampled"))
@@ -510,9 +519,8 @@ def tied_logits_q(spark, sf_dir):
 @register("tied_grad")
 def tied_grad_q(spark, sf_dir):
     """Sum over all epoch-0 batches of the tied-step gradient at the starting parameters."""
-    from twinvec.operators.training import evaluate_at, merge_gradients
-    stream = _stream(spark, sf_dir).withColumn("lr", F.lit(0.0))
-    out = evaluate_at(stream, _negs0(spark, sf_dir, stream), _theta0(spark, sf_dir), spark.sparkContext.defaultParallelism)
+    from twinvec.operators.training import merge_gradients
+    out = _eval0(spark, sf_dir)
     g = merge_gradients(out)
     return g.select("word_id", F.posexplode("grad").alias("slot", "grad")).select(
         "word_id", F.col("slot").cast("long").alias("slot"), F.round("grad", 9).alias("grad"))

@@ -23,7 +23,7 @@ from twinvec.params import Word2VecParams
 
 PARAMS = Word2VecParams()
 _MEMO: dict = {}
-_LOCK = threading.Lock()
+_LOCK = threading.RLock()  # builds may use other memoised inputs
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
