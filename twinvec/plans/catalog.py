@@ -401,9 +401,7 @@ firsts AS (SELECT batch_id, word_id, min(draw) AS draw FROM s GROUP BY batch_id,
 ranked AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY draw) AS r FROM firsts)
 SELECT batch_id::BIGINT AS batch_id, word_id, draw::BIGINT AS draw FROM ranked WHERE r <= {NEG_SHARED_K}""")
 def neg_shared_q(spark, sf_dir):
-    from twinvec.operators.sampling import noise, shared_negatives
-    batches = _stream(spark, sf_dir).select("batch_id").distinct()
-    out = shared_negatives(batches, noise(I.vocab(spark, sf_dir)), NEG_SHARED_K, P.seed, 0)
+    out = _negs0(spark, sf_dir)  # NEG_SHARED_K == TRAIN_NEG_K: the same table the trainer queries use
     return out.select("batch_id", "word_id", F.col("draw").cast("long").alias("draw"))
 
 
@@ -445,9 +443,16 @@ def _theta0(spark, sf_dir):
     return start_matrix(I.vocab(spark, sf_dir), TRAIN_DIM, P.seed, I.emb(spark, sf_dir))
 
 
-def _negs0(spark, sf_dir, stream):
+def _negs0(spark, sf_dir, stream=None):
+    """Epoch-0 shared negatives (K = 20) of every batch, materialised once per session."""
     from twinvec.operators.sampling import noise, shared_negatives
-    return shared_negatives(stream.select("batch_id").distinct(), noise(I.vocab(spark, sf_dir)), TRAIN_NEG_K, P.seed, 0)
+    from twinvec.session import checkpoint
+
+    def build():
+        st = stream if stream is not None else _stream(spark, sf_dir)
+        return checkpoint(shared_negatives(st.select("batch_id").distinct(), noise(I.vocab(spark, sf_dir)),
+                                           TRAIN_NEG_K, P.seed, 0))
+    return I._memo(spark, ("negs0", sf_dir), build)
 
 
 def _eval0(spark, sf_dir):
