@@ -532,9 +532,14 @@ def tied_grad_q(spark, sf_dir):
 
 
 def _train(spark, sf_dir, epochs=1):
+    """One training run from the starting parameters, kept per session (``resume`` continues it)."""
     from twinvec.operators.training import train
-    _, vocab, enc, total = I.corpus(spark, sf_dir)
-    return train(enc, vocab, total, P, dim=TRAIN_DIM, epochs=epochs, theta=_theta0(spark, sf_dir), neg_k=TRAIN_NEG_K)
+
+    def build():
+        _, vocab, enc, total = I.corpus(spark, sf_dir)
+        return train(enc, vocab, total, P, dim=TRAIN_DIM, epochs=epochs, theta=_theta0(spark, sf_dir),
+                     neg_k=TRAIN_NEG_K)
+    return I._memo(spark, ("train", sf_dir, epochs), build)
 
 
 @register("train_epoch")
