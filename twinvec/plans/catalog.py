@@ -12,7 +12,6 @@ from twinvec.functions.vectors import safe_norm, sign_flip, sq_norm, x_part, y_p
 from twinvec.operators import analogy as A
 from twinvec.operators import corpus as C
 from twinvec.operators import neighbors as N
-from twinvec.operators.scoring import NEIGHBOR_PANELS
 from twinvec.plans import inputs as I
 from twinvec.plans import sql as S
 
@@ -52,6 +51,34 @@ def vocab_q(spark, sf_dir):
     return I.vocab(spark, sf_dir)
 
 
+CONV_VOCAB_SQL = f"""conv_ws AS (
+  SELECT conv_id, turn, list_filter(regexp_split_to_array(coalesce(text, ''), '{S.BLANKS_REGEX_SQL}'), lambda t: t <> '') AS ws
+  FROM conversations),
+conv_off AS (SELECT ws, coalesce(sum(len(ws)) OVER (ORDER BY conv_id, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
+             FROM conv_ws),
+conv_tokens AS (SELECT off + i - 1 AS g, ws[i] AS word FROM conv_off, range(1, len(ws) + 1) r(i)),
+conv_counts AS (SELECT word, count(*) AS freq FROM conv_tokens GROUP BY word)"""
+
+
+@register("conversation_vocab", f"""WITH {CONV_VOCAB_SQL}
+SELECT (row_number() OVER (ORDER BY freq DESC, word ASC))::BIGINT AS word_id, word, freq::BIGINT AS freq
+FROM conv_counts WHERE freq >= {S.MIN_COUNT}
+UNION ALL
+SELECT 0::BIGINT, 'UNK', coalesce(sum(freq) FILTER (WHERE freq < {S.MIN_COUNT}), 0)::BIGINT FROM conv_counts""")
+def conversation_vocab_q(spark, sf_dir):
+    """S1, A1, A3, W1 on the second corpus: conversation turns in (conv_id, turn, pos) order."""
+    toks = C.ordered_tokens(I.table(spark, sf_dir, "conversations"), ["conv_id", "turn"])
+    return C.build_vocab(toks, P.min_count)
+
+
+@register("conversation_positions", f"""WITH {CONV_VOCAB_SQL}
+SELECT word, count(*)::BIGINT AS n, min(g)::BIGINT AS first_g, max(g)::BIGINT AS last_g FROM conv_tokens GROUP BY word""")
+def conversation_positions_q(spark, sf_dir):
+    """Global positions of the second corpus (composite order key): first and last position per word."""
+    toks = C.ordered_tokens(I.table(spark, sf_dir, "conversations"), ["conv_id", "turn"])
+    return toks.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min("g").alias("first_g"), F.max("g").alias("last_g"))
+
+
 @register("corpus_stats", f"""WITH {S.TOKENS},
 counts AS (SELECT word, count(*) AS freq FROM tokens GROUP BY word)
 SELECT (SELECT coalesce(sum(strlen(text)), 0)::BIGINT FROM documents) AS bytes,
