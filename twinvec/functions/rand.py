@@ -41,12 +41,16 @@ def explode_draws(df: DataFrame, seed: int, tag: str, keys: list[Column | str],
                   draw: str = "draw", u: str = "u") -> DataFrame:
     """Rows ``draw`` in ``[start, start + count)`` with their uniform ``u``, one md5 per four draws.
 
-    The uniforms of a row are built as one array (one md5 column per block of four) and
-    exploded once, so exactly ``count`` rows are produced per input row.
+    Exactly ``count`` uniforms are built as one array (the md5 of a block of four is shared by
+    its draws through subexpression elimination) and exploded once.
     """
-    first_b, last_b = start // 4, (start + count - 1) // 4
-    arrays = [uniforms4(seed, tag, *keys, F.lit(b)) for b in range(first_b, last_b + 1)]
-    allu = F.concat(*arrays) if len(arrays) > 1 else arrays[0]
-    window = F.slice(allu, start - 4 * first_b + 1, count)
-    ex = df.select("*", F.posexplode(window).alias("_ur", u))
+    parts = [F.lit(str(seed)), F.lit(tag)] + [F.col(k) if isinstance(k, str) else k for k in keys]
+    hashes = {}
+    vals = []
+    for d in range(start, start + count):
+        b = d // 4
+        if b not in hashes:
+            hashes[b] = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts + [F.lit(b)]]))
+        vals.append(F.conv(F.substring(hashes[b], 1 + 8 * (d % 4), 8), 16, 10).cast("long") / F.lit(TWO32))
+    ex = df.select("*", F.posexplode(F.array(*vals)).alias("_ur", u))
     return ex.withColumn(draw, F.col("_ur") + F.lit(start)).drop("_ur")
