@@ -67,8 +67,10 @@ def unit_features(emb: DataFrame, kind: str) -> DataFrame:
 
 
 def tag_accuracy(data: DataFrame, emb: DataFrame, kinds=("y", "x", "w"), max_iter: int = 100) -> DataFrame:
-    """Multinomial softmax regression per vector kind; accuracy per (kind, split)."""
+    """Multinomial softmax regression per vector kind; accuracy, true mean cost and
+    the reference's ``ref_cost`` per (kind, split). ``data`` needs ``pos`` (0-based row order)."""
     spark = data.sparkSession
+    n_train = data.where(F.col("split") == "train").count()
     indexer = StringIndexer(inputCol="tag", outputCol="label", stringOrderType="alphabetAsc").fit(data)
     labeled = indexer.transform(data)
     rows = []
@@ -81,11 +83,18 @@ def tag_accuracy(data: DataFrame, emb: DataFrame, kinds=("y", "x", "w"), max_ite
         # Probability of the true tag; A10: mean cross-entropy (the true mean, not the
         # reference's sum of batch means divided by rows, which is about 1/64 of it).
         p_true = F.element_at(vector_to_array("probability"), (F.col("label") + 1).cast("int"))
+        cost = -F.log(F.greatest(p_true, F.lit(1e-300)))
         acc = pred.groupBy("split").agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"),
-                                        F.count(F.lit(1)).alias("n"),
-                                        F.avg(-F.log(F.greatest(p_true, F.lit(1e-300)))).alias("mean_cost"))
+                                        F.count(F.lit(1)).alias("n"), F.avg(cost).alias("mean_cost"))
+        # The reference's printed cost: sum of the batch means over the training rows divided by the
+        # number of training rows (batches as numpy.array_split of the ordered rows).
+        per_batch = (pred.where(F.col("split") == "train")
+                     .select(batch_of(F.col("pos"), n_train).alias("_b"), cost.alias("_c"))
+                     .groupBy("_b").agg(F.avg("_c").alias("_m")))
+        ref = per_batch.agg((F.sum("_m") / F.lit(max(n_train, 1))).alias("ref_cost")).withColumn("split", F.lit("train"))
+        acc = acc.join(ref, "split", "left")
         rows.append(acc.select(F.lit(kind).alias("kind"), "split", "n", F.round("accuracy", 6).alias("accuracy"),
-                               F.round("mean_cost", 6).alias("mean_cost")))
+                               F.round("mean_cost", 6).alias("mean_cost"), F.round("ref_cost", 6).alias("ref_cost")))
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
