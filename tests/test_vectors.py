@@ -91,3 +91,14 @@ def test_report_caps_and_display_rounding(spark):
         per.setdefault(r["panel"], []).append(r)
     assert len(per["near_w"]) == 2 and len(per["dot_x"]) == 8
     assert all(round(r["cos_w"], 3) == r["cos_w"] for r in rep)
+
+
+def test_eval_similarity_on_word_pairs(spark):
+    from twinvec import api
+    emb = _emb(spark)
+    vocab = spark.createDataFrame([(0, "UNK", 5)] + [(i, f"w{i}", 10) for i in range(1, 8)], "word_id long, word string, freq long")
+    pairs = spark.createDataFrame([("w1", "w3", 1.0), ("w4", "w5", 3.0), ("w6", "w7", 2.0), ("w1", "zzz", 5.0),
+                                   ("w3", "w6", 4.0)], "w1 string, w2 string, gold double")
+    got = {r["kind"]: r for r in api.eval_similarity(emb, vocab, pairs).collect()}
+    assert set(got) == {"w", "x", "y"} and all(r["n"] == 4 and r["n_unknown"] == 1 for r in got.values())
+    assert -1.0 <= got["w"]["rho"] <= 1.0

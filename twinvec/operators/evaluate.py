@@ -36,3 +36,24 @@ def wordsim(similarities: DataFrame, gold: str = "gold") -> DataFrame:
         *[F.struct(F.lit(k).alias("kind"), F.col(f"cos_{k}").alias("cos")) for k in "wxy"])).alias("s"))
     long = long.select(F.col("s.kind").alias("kind"), F.col(gold).alias("gold"), F.col("s.cos").alias("cos"))
     return spearman(long, ["kind"], "gold", "cos")
+
+
+def eval_similarity(emb: DataFrame, vocab: DataFrame, pairs: DataFrame) -> DataFrame:
+    """E1 on a word-pair set ``(w1, w2, gold)`` (see ``sources.corpus.read_similarity``).
+
+    Words map to ids through the vocabulary (ids >= 1); a pair with an unknown word or a word
+    without a vector is dropped and counted in ``n_unknown``. Returns ``(kind, n, n_unknown, rho)``.
+    """
+    from twinvec.operators.joins import lookup_join
+    from twinvec.operators.neighbors import similarities
+
+    ids = vocab.where(F.col("word_id") >= 1).select("word", "word_id")
+    with_vec = ids.join(emb.select("word_id"), "word_id", "left_semi")
+    p = pairs.select(F.monotonically_increasing_id().alias("pid"), "w1", "w2", "gold")
+    p = lookup_join(p, with_vec.select(F.col("word").alias("w1"), F.col("word_id").alias("a")), "w1")
+    p = lookup_join(p, with_vec.select(F.col("word").alias("w2"), F.col("word_id").alias("b")), "w2")
+    known = p.where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    unknown = p.agg(F.count(F.when(F.col("a").isNull() | F.col("b").isNull(), 1)).alias("n_unknown"))
+    rho = wordsim(similarities(emb, known.select("pid", "a", "b", "gold")))
+    return rho.withColumn("_k", F.lit(1)).join(unknown.withColumn("_k", F.lit(1)), "_k").select(
+        "kind", "n", "n_unknown", "rho")
