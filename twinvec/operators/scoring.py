@@ -40,8 +40,9 @@ class Kernel:
 
     ``prepare_q`` / ``prepare_c`` map the raw float64 matrices of the array columns to a dict
     of derived matrices (done once per block). ``scores`` gets the two dicts for a slice of
-    queries and returns ``{panel: score matrix}`` where larger is better. ``extras`` returns
-    additional per-pair values reported for the selected pairs.
+    queries and returns ``{panel: function returning the score matrix}`` (larger is better;
+    only requested panels are evaluated). ``extras`` returns additional per-pair values
+    (same lazy form) reported for the selected pairs.
     """
 
     q_cols: tuple[str, ...]
@@ -98,15 +99,15 @@ def _make_udf(kernel: Kernel, panels: tuple[str, ...], k: int, slice_rows: int):
                 qm[c] = qdf["q__" + c].to_numpy(dtype=np.int64)[start:stop]
             cm["_id"] = cids
             qids = qids_all[start:stop]
-            scores = kernel.scores(qm, cm)
+            scores = kernel.scores(qm, cm)          # panel -> zero-argument function (lazy)
             extras = kernel.extras(qm, cm) if kernel.extras else {}
             for p in panels:
-                s = np.round(scores[p], SCORE_DECIMALS)
+                s = np.round(scores[p](), SCORE_DECIMALS)
                 mask = _local_topk(s, k) & np.isfinite(s)
                 r, c = np.nonzero(mask)
                 frame = {"q": qids[r], "panel": np.full(len(r), p, dtype=object), "id": cids[c], "score": s[r, c]}
                 for e in extra_names:
-                    frame[e] = np.round(extras[e][r, c], SCORE_DECIMALS)
+                    frame[e] = np.round(extras[e]()[r, c], SCORE_DECIMALS)
                 out.append(pd.DataFrame(frame))
         return pd.concat(out, ignore_index=True) if out else empty
 
@@ -200,22 +201,34 @@ def _split(w: np.ndarray) -> dict:
             "nw": np.sqrt(np.maximum(sx + sy, NORM_EPS))}
 
 
+def _once(fn):
+    """A zero-argument function computed at most once (panels share intermediate matrices)."""
+    cell = []
+
+    def get():
+        if not cell:
+            cell.append(fn())
+        return cell[0]
+    return get
+
+
 def _neighbor_scores(qm: dict, cm: dict) -> dict:
-    xx = qm["x"] @ cm["x"].T
-    yy = qm["y"] @ cm["y"].T
-    cos_w = (xx + yy) / (qm["nw"][:, None] * cm["nw"][None, :])
-    cos_x = xx / (qm["nx"][:, None] * cm["nx"][None, :])
-    cos_y = yy / (qm["ny"][:, None] * cm["ny"][None, :])
+    """Only the requested panels are computed; ``x.x'`` and ``y.y'`` are shared by all of them."""
+    xx = _once(lambda: qm["x"] @ cm["x"].T)
+    yy = _once(lambda: qm["y"] @ cm["y"].T)
+    cos_w = _once(lambda: (xx() + yy()) / (qm["nw"][:, None] * cm["nw"][None, :]))
+    cos_x = _once(lambda: xx() / (qm["nx"][:, None] * cm["nx"][None, :]))
+    cos_y = _once(lambda: yy() / (qm["ny"][:, None] * cm["ny"][None, :]))
     qm["_cache"] = (cos_w, cos_x, cos_y)
     return {
-        "near_w": cos_w,          # K1: nearest by cosine of the whole vector
-        "near_x": cos_x,          # K2: nearest by cosine of x
-        "near_y": cos_y,          # K3: nearest by cosine of y
-        "far_y": -cos_y,          # K4: farthest by cosine of y
-        "context": xx - yy,       # K5: w_i . Q . w_j
-        "dot_w": xx + yy,         # K6: w_i . w_j
-        "dot_x": xx,              # K7: x_i . x_j
-        "dot_y": -yy,             # K8: -(y_i . y_j)
+        "near_w": cos_w,                       # K1: nearest by cosine of the whole vector
+        "near_x": cos_x,                       # K2: nearest by cosine of x
+        "near_y": cos_y,                       # K3: nearest by cosine of y
+        "far_y": lambda: -cos_y(),             # K4: farthest by cosine of y
+        "context": lambda: xx() - yy(),        # K5: w_i . Q . w_j
+        "dot_w": lambda: xx() + yy(),          # K6: w_i . w_j
+        "dot_x": xx,                           # K7: x_i . x_j
+        "dot_y": lambda: -yy(),                # K8: -(y_i . y_j)
     }
 
 
@@ -277,17 +290,18 @@ def _multiplicative(qm: dict, cm: dict, kind: str) -> np.ndarray:
 
 
 def _analogy_scores(qm: dict, cm: dict) -> dict:
-    sw, sx, sy = (_additive(qm, cm, k) for k in "wxy")
-    return {"near_w": sw, "near_x": sx, "near_y": sy, "far_w": -sw, "far_x": -sx, "far_y": -sy}
+    sw, sx, sy = (_once(lambda k=k: _additive(qm, cm, k)) for k in "wxy")
+    return {"near_w": sw, "near_x": sx, "near_y": sy,
+            "far_w": lambda: -sw(), "far_x": lambda: -sx(), "far_y": lambda: -sy()}
 
 
 def _eval_scores(qm: dict, cm: dict) -> dict:
     """Additive and multiplicative objectives, question words excluded."""
-    ex = _exclusion(qm, cm)
+    ex = _once(lambda: _exclusion(qm, cm))
     out = {}
     for k in "wxy":
-        out["add_" + k] = np.where(ex, -np.inf, _additive(qm, cm, k))
-        out["mul_" + k] = np.where(ex, -np.inf, _multiplicative(qm, cm, k))
+        out["add_" + k] = lambda k=k: np.where(ex(), -np.inf, _additive(qm, cm, k))
+        out["mul_" + k] = lambda k=k: np.where(ex(), -np.inf, _multiplicative(qm, cm, k))
     return out
 
 
