@@ -102,3 +102,19 @@ def test_eval_similarity_on_word_pairs(spark):
     got = {r["kind"]: r for r in api.eval_similarity(emb, vocab, pairs).collect()}
     assert set(got) == {"w", "x", "y"} and all(r["n"] == 4 and r["n_unknown"] == 1 for r in got.values())
     assert -1.0 <= got["w"]["rho"] <= 1.0
+
+
+def test_panels_match_brute_force_many_blocks(spark):
+    # Enough rows for several query blocks and candidate chunks (the cogroup keys must meet).
+    rng = np.random.default_rng(11)
+    vecs = rng.normal(0, 1, (1500, 8)).astype(np.float32)
+    emb = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vecs)], "word_id long, vec array<float>")
+    q = spark.createDataFrame([(i,) for i in range(1500)], "q long")
+    top = N.nearby(emb, q, ("near_w", "dot_y"), 3, query_block=200, cand_chunk=300)
+    got = {}
+    for r in top.collect():
+        got.setdefault((r["q"], r["panel"]), []).append((r["rank"], r["id"]))
+    assert len(got) == 3000
+    for qi in range(0, 1500, 97):
+        for panel in ("near_w", "dot_y"):
+            assert [i for _, i in sorted(got[(qi, panel)])] == _brute(vecs.tolist(), panel, qi)[:3]

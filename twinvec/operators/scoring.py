@@ -162,14 +162,15 @@ def topk_panels(queries: DataFrame, cands: DataFrame, kernel: Kernel, panels: tu
     if slice_rows is None:
         slice_rows = max(8, min(1024, SLICE_ENTRIES // max(1, math.ceil(n_cands / n_ch))))
 
-    # Fresh names on both sides: the two inputs often derive from the same table.
+    # Fresh names on both sides: the two inputs often derive from the same table. The cogroup
+    # keys must have the same type on both sides (long), or equal keys hash apart.
     q_rep = (queries.select(F.col("q").alias("q"), *[F.col(c).alias("q__" + c)
                                                      for c in kernel.q_cols + kernel.q_scalars])
-             .withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(n_qb)))
-             .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_ch - 1)))))
+             .withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(n_qb)).cast("long"))
+             .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_ch - 1).cast("long")))))
     c_rep = (cands.select(F.col("id").alias("id"), *[F.col(c).alias("c__" + c) for c in kernel.c_cols])
-             .withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(n_ch)))
-             .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1)))))
+             .withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(n_ch)).cast("long"))
+             .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_qb - 1).cast("long")))))
 
     extra_fields = [T.StructField(e, T.DoubleType()) for e in kernel.extra_names]
     schema = T.StructType([T.StructField("q", T.LongType()), T.StructField("panel", T.StringType()),
