@@ -19,8 +19,8 @@ def test_inverse_cdf_matches_searchsorted(spark):
     us = np.random.default_rng(1).random(3000)
     draws = spark.createDataFrame([(i, float(u)) for i, u in enumerate(us)], "i long, u double")
     got = {r["i"]: r["sample"] for r in inverse_cdf(draws, cdf_buckets(nz, 16), 16).collect()}
-    w = np.asarray(freqs, dtype=float) ** 0.75
-    lo = np.concatenate([[0], np.cumsum(w)[:-1]]) / w.sum()
+    w = np.round(np.asarray(freqs, dtype=float) ** 0.75 * 4096).astype(np.int64)  # fixed-point weights
+    lo = np.concatenate([[0], np.cumsum(w)[:-1]]).astype(float) / float(w.sum())
     pos = np.flatnonzero(w > 0)
     expect = pos[np.searchsorted(lo[pos], us, side="right") - 1]
     assert len(got) == len(us)

@@ -20,24 +20,35 @@ from twinvec.params import Word2VecParams
 from twinvec.session import checkpoint
 
 
+# Our own fixed point for the sampling CDF: weights are rounded to 1/4096, summed as integers
+# (exact, and below 2^53 for any corpus up to ~1e15 tokens), then divided once. Floating sums in
+# different orders disagree near interval ends; integer sums do not.
+WEIGHT_SCALE = 4096
+
+
 def noise(vocab: DataFrame, distortion: float = 0.75) -> DataFrame:
-    """``(word_id, weight, prob, lo, cum)``; ``weight = freq^distortion``, UNK included.
+    """``(word_id, weight, prob, lo, cum, wq)``; ``weight = freq^distortion``, UNK included.
 
-    ``lo`` / ``cum`` are the exclusive / inclusive cumulative probabilities in id order.
+    ``prob`` is ``weight / sum(weight)``; the sampling interval of a word is ``[lo, cum)``, the
+    exclusive / inclusive cumulative share of the fixed-point weights ``wq`` in id order.
     """
     w = vocab.select("word_id", F.pow(F.col("freq").cast("double"), F.lit(distortion)).alias("weight"))
-    total = float(w.agg(F.sum("weight")).first()[0] or 0.0)  # one scalar
-    if total <= 0:
+    w = w.withColumn("wq", F.round(F.col("weight") * F.lit(WEIGHT_SCALE)).cast("long"))
+    tot = w.agg(F.sum("weight").alias("t"), F.sum("wq").alias("tq")).first()  # two scalars
+    total, total_q = float(tot["t"] or 0.0), int(tot["tq"] or 0)
+    if total <= 0 or total_q <= 0:
         raise ValueError("noise distribution has no positive weight")
-    pre = dense_prefix(w, "word_id", {"_lo": F.col("weight")})
+    pre = dense_prefix(w, "word_id", {"_lo": F.col("wq")})
+    tq = F.lit(float(total_q))
     return pre.select("word_id", "weight", (F.col("weight") / total).alias("prob"),
-                      (F.col("_lo") / total).alias("lo"), ((F.col("_lo") + F.col("weight")) / total).alias("cum"))
+                      (F.col("_lo").cast("double") / tq).alias("lo"),
+                      ((F.col("_lo") + F.col("wq")).cast("double") / tq).alias("cum"), "wq")
 
 
 def cdf_buckets(noise_df: DataFrame, n_buckets: int) -> DataFrame:
     """``(bucket, word_id, lo_eff, next_lo)`` for the bucketed inverse-CDF join."""
     m = F.lit(n_buckets)
-    pos = noise_df.where(F.col("weight") > 0)
+    pos = noise_df.where(F.col("wq") > 0)
     b_lo = F.least(F.floor(F.col("lo") * m), m - 1).cast("long")
     b_hi = F.least(F.floor(F.col("cum") * m), m - 1).cast("long")
     rows = pos.select("word_id", "lo", F.explode(F.sequence(b_lo, F.greatest(b_lo, b_hi))).alias("bucket"))
@@ -83,7 +94,7 @@ def shared_negatives(batch_ids: DataFrame, noise_df: DataFrame, k: int, seed: in
     short of ``k`` distinct ids get the next block of draws, so no batch is cut short. Returns ``(batch_id, word_id, draw)``
     where ``draw`` is the index of the first draw of that id.
     """
-    n_pos = noise_df.where(F.col("weight") > 0).count()
+    n_pos = noise_df.where(F.col("wq") > 0).count()
     if k > n_pos:
         raise ValueError(f"cannot draw {k} distinct ids from {n_pos} words with positive weight")
     m = n_buckets or default_buckets(noise_df.count())

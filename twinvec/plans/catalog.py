@@ -383,10 +383,11 @@ def neighbor_report_wide_q(spark, sf_dir):
 # Sampling
 # --------------------------------------------------------------------------------------
 
-NOISE_SQL = f"""nw AS (SELECT word_id, pow(freq::DOUBLE, 0.75) AS weight FROM vocab),
-tot AS (SELECT sum(weight) AS t FROM nw),
-cdf AS (SELECT word_id, coalesce(sum(weight) OVER (ORDER BY word_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
-               / (SELECT t FROM tot) AS lo FROM nw WHERE weight > 0)"""
+NOISE_SQL = f"""nw AS (SELECT word_id, pow(freq::DOUBLE, 0.75) AS weight,
+                   round(pow(freq::DOUBLE, 0.75) * 4096)::BIGINT AS wq FROM vocab),
+tot AS (SELECT sum(weight) AS t, sum(wq)::DOUBLE AS tq FROM nw),
+cdf AS (SELECT word_id, coalesce(sum(wq) OVER (ORDER BY word_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE
+               / (SELECT tq FROM tot) AS lo FROM nw WHERE wq > 0)"""
 NEG_PAIR_K = 5
 NEG_SHARED_K = 20
 NEG_SHARED_ORACLE_DRAWS = 12 * NEG_SHARED_K
@@ -394,7 +395,7 @@ NEG_SHARED_ORACLE_DRAWS = 12 * NEG_SHARED_K
 
 @register("noise", f"""WITH {S.VOCAB}, {NOISE_SQL}
 SELECT word_id, round(weight / (SELECT t FROM tot), 9) AS prob,
-       round(sum(weight) OVER (ORDER BY word_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / (SELECT t FROM tot), 9) AS cum
+       round(sum(wq) OVER (ORDER BY word_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::DOUBLE / (SELECT tq FROM tot), 9) AS cum
 FROM nw""")
 def noise_q(spark, sf_dir):
     from twinvec.operators.sampling import noise
