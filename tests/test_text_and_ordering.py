@@ -54,3 +54,17 @@ def test_salted_lookup_equals_broadcast(spark):
     b = sorted(tuple(r) for r in lookup_join(big, small, "word", max_broadcast_rows=0, salt=8)
                .select("g", "word", "word_id").collect())
     assert a == b and len(a) == 5000
+
+
+def test_key_prefix_dense_and_sparse_keys(spark):
+    from twinvec.operators.ordering import key_prefix
+    rnd = random.Random(5)
+    for keys in (list(range(100, 900)), rnd.sample(range(1 << 60), 800)):
+        rows = [(k, rnd.randint(1, 5)) for k in keys]
+        df = spark.createDataFrame(rows, "k long, w long").repartition(6)
+        expect, run = {}, 0
+        for k, w in sorted(rows):
+            expect[k] = run
+            run += w
+        got = {r["k"]: r["p"] for r in key_prefix(df, "k", {"p": F.col("w")}).collect()}
+        assert got == expect
