@@ -118,3 +118,21 @@ def test_panels_match_brute_force_many_blocks(spark):
     for qi in range(0, 1500, 97):
         for panel in ("near_w", "dot_y"):
             assert [i for _, i in sorted(got[(qi, panel)])] == _brute(vecs.tolist(), panel, qi)[:3]
+
+
+def test_word_level_analogy_file_end_to_end(spark, tmp_path):
+    from twinvec import api
+    rng = np.random.default_rng(0)
+    names = ["king", "man", "woman", "queen"] + [f"n{i}" for i in range(20)]
+    base = {"king": [1, 1, 0, 0], "man": [1, 0, 0, 0], "woman": [0, 0, 1, 0], "queen": [0, 1, 1, 0]}
+    vecs = [np.asarray(base.get(w, rng.normal(0, 0.3, 4)), dtype=float) * 3 + rng.normal(0, 0.05, 4) for w in names]
+    emb = spark.createDataFrame([(i + 1, [float(x) for x in v]) for i, v in enumerate(vecs)],
+                                "word_id long, vec array<float>")
+    vocab = spark.createDataFrame([(0, "UNK", 1)] + [(i + 1, w, 100 - i) for i, w in enumerate(names)],
+                                  "word_id long, word string, freq long")
+    p = tmp_path / "questions.txt"
+    p.write_text(": family\nMan King Woman Queen\nman king woman nobody\n")
+    good, skipped = api.read_questions(spark, str(p), vocab)
+    assert skipped.first()["skipped"] == 1
+    ev = api.eval_analogies(emb, good).first()
+    assert (ev["correct"], ev["total"]) == (1, 1)
