@@ -1,6 +1,6 @@
 """Imports every module that registers a query."""
 
-from twinvec.llm import bpe, line_dedup, ngram_jaccard, packing, quality_rules, url_filter  # noqa: F401
+from twinvec.llm import bpe, line_dedup, ngram_jaccard, packing, quality_lm, quality_rules, substring_dedup, url_filter  # noqa: F401
 from twinvec.llm.registry import ORACLE, QUERIES
 
 
