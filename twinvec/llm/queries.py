@@ -1,6 +1,7 @@
 """Imports every module that registers a query."""
 
-from twinvec.llm import bpe, line_dedup, ngram_jaccard, packing, quality_lm, quality_rules, substring_dedup, url_filter  # noqa: F401
+from twinvec.llm import (bpe, embedding_dedup, license_scan, line_dedup, ngram_jaccard, packing, quality_lm,  # noqa: F401
+                         quality_rules, substring_dedup, url_filter)
 from twinvec.llm.registry import ORACLE, QUERIES
 
 

@@ -14,13 +14,14 @@ passage that a third of all documents share costs no more than one in each block
 
 Windows are compared by 64-bit hashes of 64-bit word hashes; among N different windows the expected number of false
 pairs is N * N / 2**65. Defined results: a null text has no words; texts shorter than a window are unchanged; a null id sorts
-first; rows of one id in different blocks come in the order of their blocks; extra columns are not read.
+first; rows of one id in different blocks come in the order of their blocks; extra columns pass through.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -131,8 +132,11 @@ def _code(codes: dict, word: bytes) -> int:
     return codes[word]
 
 
-def removed_words(blocks: DataFrame, shards: int, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
-    """``doc_id, n_words, n_removed, text``: the words that stay, joined by one space, for every row of the blocks."""
+def removed_words(blocks: DataFrame, shards: int, columns: list[tuple[str, str]], respace: bool, window: int = WINDOW,
+                  phrase: int = PHRASE) -> DataFrame:
+    """``columns`` of the blocks with the words that stay, and ``n_words, n_removed``, for every row. ``columns``: (name, type)."""
+    names = [c for c, _ in columns]
+
     def run(docs, answers):
         w = _Windows(S.unpack(docs["docs"][0]), window)
         again_first, later_first = np.zeros((2, len(w.first)), dtype=bool)
@@ -177,20 +181,24 @@ def removed_words(blocks: DataFrame, shards: int, window: int = WINDOW, phrase:
             base += len(words)
             n = int(lost.sum())
             kept = words if not n else [x for x, y in zip(words, lost) if not y]
-            rows.append((len(words), n, b" ".join(kept)))
-        return pa.table({"doc_id": w.batch["doc_id"].cast(pa.int64()), "n_words": pa.array([r[0] for r in rows], pa.int64()),
-                         "n_removed": pa.array([r[1] for r in rows], pa.int64()),
-                         "text": pa.array([r[2] for r in rows], pa.binary()).cast(pa.string())})
+            rows.append((len(words), n, b" ".join(kept) if n or respace else None))
+        text = pa.array([r[2] for r in rows], pa.binary()).cast(pa.string())
+        own = {c: w.batch[c] for c in names} | {"text": text if respace else pa.compute.coalesce(text, w.batch["text"])}
+        return pa.table(own | {"n_words": pa.array([r[0] for r in rows], pa.int64()), "n_removed": pa.array([r[1] for r in rows], pa.int64())})
 
     answers = recurring(blocks, shards, window)
     return (blocks.select("block", "docs").groupBy("block").cogroup(answers.groupBy("block"))
-            .applyInArrow(run, "doc_id long, n_words long, n_removed long, text string"))
+            .applyInArrow(run, ", ".join(f"`{c}` {t}" for c, t in [*columns, ("n_words", "long"), ("n_removed", "long")])))
+
 
+def dedup(docs: DataFrame, respace: bool = False, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
+    """``docs`` with repeated words removed from ``text``, plus ``n_words`` and ``n_removed`` (these replace columns of that name).
 
-def dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
-    """``doc_id, n_words, n_removed, text`` for every row of ``docs (doc_id, text)``."""
-    blocks = S.pack_blocks(docs, ["doc_id", "text"])
-    return removed_words(blocks, S.shards_for(blocks), window, phrase)
+    What stays of a text is joined by single spaces; a text that loses nothing is left as it is, unless ``respace``.
+    """
+    columns = [(c, t) for c, t in docs.dtypes if c not in ("n_words", "n_removed")]
+    blocks = S.pack_blocks(docs, [c for c, _ in columns])
+    return removed_words(blocks, S.shards_for(blocks), columns, respace, window, phrase)
 
 
 SQL = r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -205,5 +213,5 @@ FROM w LEFT JOIN k USING (doc_id)"""
 
 @register("op8_substring_dedup", SQL)
 def op8_substring_dedup(spark, sf_dir):
-    d = dedup(table(spark, sf_dir, "documents"))
+    d = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), respace=True)
     return d.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
