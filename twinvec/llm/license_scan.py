@@ -7,7 +7,8 @@ all but ``false_alarms`` of what the held-out paragraphs reach. A family is then
 its templates (a share of ``CONFIRM`` of a template); licence-like text that has only ``RELATED`` of one is ``unknown``, and
 text that has less is plain.
 
-Paragraphs are lines; longer ones are judged in overlapping stretches of ``STRETCH`` words, over the whole text. The model is a table
+Paragraphs are lines; longer ones are judged in overlapping stretches of ``STRETCH`` words, over the whole text, and a stretch is
+compared with the templates together with up to ``AROUND`` words of its paragraph on either side. The model is a table
 of ``FEATURES`` by number of classes, whatever the corpus; the negatives are at most ``negatives`` paragraphs, the ones with the smallest
 hashes (a bounded sample, for training only).
 
@@ -72,8 +73,8 @@ TEMPLATES = {
 }
 PLAIN = "plain"
 CUES = "(?i)licen[sc]e|licensed|copyright|redistribut|all rights reserved|creative commons"
-FEATURES, STRETCH, STEP = 1 << 14, 40, 20
-NEGATIVES, VARIANTS, FALSE_ALARMS, CONFIRM, RELATED, SEED = 1500, 25, 0.01, 0.6, 0.3, 5
+FEATURES, STRETCH, STEP, AROUND = 1 << 14, 16, 8, 24
+NEGATIVES, VARIANTS, FALSE_ALARMS, CONFIRM, RELATED, SEED = 1500, 25, 0.03, 0.6, 0.3, 5
 CHUNK = 1 << 20
 
 
@@ -104,6 +105,7 @@ class Stretches:
         self.size = np.minimum(STRETCH, first[self.paragraph] + counts[self.paragraph] - self.start)
         owner = np.searchsorted(ends, line_ends, side="left")
         self.text = owner[self.paragraph]
+        self.low, self.high = first[self.paragraph], first[self.paragraph] + counts[self.paragraph]
         self.paragraphs = np.bincount(owner[counts > 0], minlength=len(ends))
 
     def features(self) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +151,7 @@ class Model:
         if held:
             p = self.probabilities(Stretches(pa.array(held, pa.string())))
             if len(p):
-                self.limit = float(max(0.5, np.quantile(1 - p[:, -1], 1 - false_alarms)))
+                self.limit = float(max(0.3, np.quantile(1 - p[:, -1], 1 - false_alarms)))
         self.templates = {n: [pairs(Stretches(pa.array([t])).h) for t in TEMPLATES[n]] for n in self.classes[:-1]}
 
     def probabilities(self, s: Stretches) -> np.ndarray:
@@ -166,7 +168,7 @@ class Model:
         p = self.probabilities(s)
         families, unknown = [{} for _ in range(len(texts))], [set() for _ in range(len(texts))]
         for i in np.flatnonzero(1 - p[:, -1] > self.limit):
-            shares = self.compared(s.h[s.start[i]:s.start[i] + s.size[i]])
+            shares = self.compared(s.h[max(s.low[i], s.start[i] - AROUND):min(s.high[i], s.start[i] + s.size[i] + AROUND)])
             found = {n: x for n, x in shares.items() if x >= CONFIRM and n != "unknown"}
             if found:  # among the families that the templates confirm, the likeliest one
                 name = max(found, key=lambda n: (found[n], p[i, self.classes.index(n)]))
@@ -180,13 +182,13 @@ def pairs(h: np.ndarray) -> set[int]:
     return set(h.tolist()) | set(S.windows(h, 2).tolist())
 
 
-def vary(text: str, filler: list[str], rng) -> str:
-    """A template with words left out or put in, and other words around it."""
+def vary(text: str, filler: list[str], rng, around: int = 4) -> str:
+    """A template with words left out or put in, and up to ``around`` other words on either side."""
     words = [w for w in text.split() if rng.random() > 0.08]
     for _ in range(rng.integers(0, 3)):
         words.insert(int(rng.integers(0, len(words) + 1)), filler[int(rng.integers(len(filler)))])
-    around = lambda: [filler[int(i)] for i in rng.integers(0, len(filler), size=int(rng.integers(0, 12)))]
-    return " ".join(around() + words + around())
+    some = lambda: [filler[int(i)] for i in rng.integers(0, len(filler), size=int(rng.integers(0, around + 1)))]
+    return " ".join(some() + words + some())
 
 
 def fit(s: Stretches, target: np.ndarray, classes: int, rounds: int = 120, rate: float = 0.5, ridge: float = 1e-4):
