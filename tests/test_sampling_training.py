@@ -59,24 +59,52 @@ def test_untied_step_matches_loop():
     rng = np.random.default_rng(2)
     w_in, w_out = rng.normal(0, 0.1, (5, 3)), rng.normal(0, 0.1, (5, 3))
     a_in, a_out = w_in.copy(), w_out.copy()
-    ex, lab, negs = np.array([0, 1]), np.array([2, 2]), [np.array([2, 3]), np.array([4])]
+    ex, lab, negs = np.array([0, 1]), np.array([2, 2]), [np.array([2, 3]), np.array([4, 4, 1])]
     TR.untied_step(w_in, w_out, ex, lab, negs, 0.5)
-    sig = lambda z: 1 / (1 + np.exp(-z))
     for e, l, ns in zip(ex, lab, negs):
-        buf = np.zeros(3)
-        g = sig(-(a_in[e] @ a_out[l])) * 0.5
-        buf += g * a_out[l]
-        a_out[l] += g * a_in[e]
-        for s in ns:
-            if s == l:
-                continue
-            g = -sig(a_in[e] @ a_out[s]) * 0.5
-            buf += g * a_out[s]
-            a_out[s] += g * a_in[e]
-        a_in[e] += buf
+        x, move = a_in[e].copy(), 0
+        for t in [l, *ns[ns != l]]:
+            err = 0.5 * ((t == l) - 1 / (1 + np.exp(-a_out[t] @ x)))
+            move, a_out[t] = move + err * a_out[t], a_out[t] + err * x
+        a_in[e] = x + move
     assert np.allclose(w_in, a_in) and np.allclose(w_out, a_out)
 
 
+def test_untied_step_saturates():
+    for z in (2000.0, -2000.0):
+        w_in, w_out = np.array([[z, 0.0]]), np.array([[1.0, 0.0], [1.0, 0.0]])
+        TR.untied_step(w_in, w_out, np.array([0]), np.array([0]), [np.array([1])], 0.1)
+        # Far right: the label is certain and the negative costs a whole step; far left the other way round.
+        assert np.allclose(w_out[:, 0], [1.0, 1.0 - 0.1 * z] if z > 0 else [1.0 + 0.1 * z, 1.0])
+        assert np.isfinite(w_in).all()
+
+
+def test_vectors_do_not_depend_on_the_cores(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"t{(i * 7 + k * k) % 30}" for k in range(80))) for i in range(40)], "doc_id long, text string")
+    params = Word2VecParams(min_count=1, subsample=0.0, window_size=2, shards=3, pairs_per_round=1024, learning_rate=0.3)
+    got, evals = [], []
+    for parts in (2, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        _, vocab, enc, total = C.prepare_corpus(docs.repartition(parts), params)
+        st = TR.train(enc, vocab, total, params, dim=6, epochs=2, neg_k=4, evaluate=lambda theta, e: evals.append((e, theta.count())))
+        got.append(np.asarray([r["vec"] for r in st.theta.orderBy("word_id").collect()], dtype=np.float64))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert np.allclose(got[0], got[1], atol=1e-6)
+    assert evals == [(0, vocab.count()), (1, vocab.count())] * 2
+
+
+def test_resume_continues_from_the_newest_checkpoint(spark, tmp_path):
+    docs = spark.createDataFrame([(i, " ".join(f"t{(i * 7 + k * k) % 30}" for k in range(80))) for i in range(20)], "doc_id long, text string")
+    params = Word2VecParams(min_count=1, subsample=0.0, window_size=2, shards=2, learning_rate=0.3, resume_epochs=2, resume_learning_rate=0.05)
+    _, vocab, enc, total = C.prepare_corpus(docs, params)
+    TR.train(enc, vocab, total, params, dim=6, epochs=2, neg_k=4, checkpoint_path=str(tmp_path))
+    st = TR.resume_from(str(tmp_path), enc, vocab, total, params, dim=6, neg_k=4)
+    m = st.metrics.orderBy("epoch", "round").collect()
+    assert [r["epoch"] for r in m] == [2, 3] and st.epoch == 4
+    assert m[0]["lr"] == 0.05  # the schedule restarts and falls over this run's two epochs
+    assert abs(m[1]["lr"] - 0.05 * (1 - 1.2 * m[1]["words_before"] / (total * 2.0))) < 1e-12
+
+
 def test_training_lowers_the_loss(spark):
     rng = np.random.default_rng(5)
     # A corpus with structure: word pairs that always co-occur.
@@ -86,11 +114,11 @@ def test_training_lowers_the_loss(spark):
         words += [f"a{a}", f"b{a}"]
     docs = spark.createDataFrame([(i, " ".join(words[i:i + 500])) for i in range(0, len(words), 500)],
                                  "doc_id long, text string")
-    params = Word2VecParams(min_count=1, subsample=0.0, window_size=1, rounds_per_epoch=2, learning_rate=0.5)
+    params = Word2VecParams(min_count=1, subsample=0.0, window_size=1, pairs_per_round=3008, learning_rate=0.5)
     toks, vocab, enc, total = C.prepare_corpus(docs, params)
     st = TR.train(enc, vocab, total, params, dim=8, epochs=3, neg_k=5, shards=2)
     m = [r["mean_batch_loss"] for r in st.metrics.orderBy("epoch", "round").collect()]
-    assert len(m) == 6 and m[-1] < m[0]
+    assert len(m) >= 6 and m[-1] < m[0]
     assert st.theta.count() == vocab.count()
 
 
@@ -122,12 +150,12 @@ def test_one_shard_one_round_equals_sequential_sgd(spark):
     words = [f"t{int(x)}" for x in rng.integers(0, 12, 600)]
     docs = spark.createDataFrame([(i, " ".join(words[i:i + 100])) for i in range(0, 600, 100)],
                                  "doc_id long, text string")
-    params = Word2VecParams(min_count=1, subsample=0.0, window_size=2, rounds_per_epoch=1, learning_rate=0.3)
+    params = Word2VecParams(min_count=1, subsample=0.0, window_size=2, learning_rate=0.3)
     toks, vocab, enc, total = C.prepare_corpus(docs, params)
     theta0 = TR.start_matrix(vocab, 6, params.seed)
     st = TR.train(enc, vocab, total, params, dim=6, epochs=1, theta=theta0, neg_k=4, shards=1)
     # Sequential replay of the same stream, negatives and rate with the NumPy kernel.
-    stream = TR.epoch_stream(enc, total, params, 0, 0, 1, params.learning_rate)
+    stream = C.epoch_stream(enc, total, params, 0)
     pairs = sorted((r["batch_id"], r["pair_idx"], r["input_id"], r["label_id"]) for r in stream.collect())
     negs = shared_negatives(stream.select("batch_id").distinct(), noise(vocab), 4, params.seed, 0)
     by_batch = {}

@@ -83,13 +83,14 @@ def test_report_caps_and_display_rounding(spark):
     emb = _emb(spark)
     vocab = spark.createDataFrame([(i, f"w{i}", 10 - i) for i in range(8)], "word_id long, word string, freq long")
     q = spark.createDataFrame([(3,)], "q long")
-    caps = N.panel_caps(8)
-    caps["near_w"] = 2
+    caps = {p: 2 if p == "near_w" else 8 for p in N.REPORT_PANELS}
     rep = N.neighbor_report(emb, vocab, q, k=caps, decimals=3).collect()
     per = {}
     for r in rep:
         per.setdefault(r["panel"], []).append(r)
     assert len(per["near_w"]) == 2 and len(per["dot_x"]) == 8
+    whole = N.neighbor_report(emb, vocab, q, k=None).groupBy("panel").count().collect()
+    assert {r["count"] for r in whole} <= {7, 8}
     assert all(round(r["cos_w"], 3) == r["cos_w"] for r in rep)
 
 

@@ -32,7 +32,7 @@ def read_questions(spark, path: str, vocab: DataFrame) -> tuple[DataFrame, DataF
     pos = ordered_prefix(lines.withColumn("_h", is_header.cast("long")), order,
                          {"_pos": F.lit(1).cast("long"), "_hb": F.col("_h")})
     pos = pos.withColumn("_hidx", F.col("_hb") + F.col("_h"))
-    heads = pos.where(F.col("_h") == 1).select("_hidx", F.trim(F.substring("line", 2, 1 << 20)).alias("section"))
+    heads = pos.where(F.col("_h") == 1).select("_hidx", F.trim(F.expr("substring(line, 2)")).alias("section"))
     tagged = pos.join(heads, "_hidx", "left")
     body = tagged.where(~is_header).withColumn("words", F.split(F.lower(F.trim("line")), " "))
     ranked = vocab.where(F.col("word_id") >= 1).select("word", "word_id")

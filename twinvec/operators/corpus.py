@@ -40,6 +40,11 @@ def documents_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return exploded.select((F.col("_off") + F.col("_pos")).alias("g"), "word")
 
 
+def text_word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """A1 straight from the texts: counting needs no positions, so no text is shuffled."""
+    return word_counts(docs.select(F.explode(split_tokens(text_col)).alias("word")))
+
+
 def ordered_tokens(df: DataFrame, order: list[str], text_col: str = "text") -> DataFrame:
     """Like :func:`documents_tokens` for a composite order key (e.g. conversations by conv_id, turn)."""
     keyed = df.select(*[F.col(c) for c in order], F.col(text_col).alias("_text"))
@@ -69,9 +74,9 @@ def build_vocab(tokens: DataFrame, min_count: int = 5, counts: DataFrame | None
     return checkpoint(vocab)
 
 
-def corpus_stats(docs_text: DataFrame, tokens: DataFrame, min_count: int = 5, text_col: str = "text") -> DataFrame:
+def corpus_stats(docs_text: DataFrame, min_count: int = 5, text_col: str = "text") -> DataFrame:
     """A2: bytes, tokens, distinct words, frequent words, vocabulary size (with UNK), words per epoch."""
-    counts = word_counts(tokens)
+    counts = text_word_counts(docs_text, text_col)
     by_word = counts.agg(F.sum("freq").cast("long").alias("tokens"), F.count(F.lit(1)).alias("distinct_words"),
                          F.count(F.when(F.col("freq") >= min_count, 1)).alias("frequent_words"))
     nbytes = docs_text.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).cast("long").alias("bytes"))
@@ -82,9 +87,9 @@ def corpus_stats(docs_text: DataFrame, tokens: DataFrame, min_count: int = 5, te
 
 
 def check_enough_data(n_tokens: int, window: int) -> None:
-    """The reference refuses corpora with fewer than 10 x window tokens."""
+    """A corpus of fewer than 10 x window tokens is refused."""
     if n_tokens < 10 * window:
-        raise ValueError(f"The corpus contains too little data: {n_tokens} words (need {10 * window})")
+        raise ValueError(f"{n_tokens} tokens are not enough for windows of {window}: at least {10 * window} are needed")
 
 
 def encode(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -206,7 +211,7 @@ def prepare_corpus(docs: DataFrame, params: Word2VecParams, id_col: str = "doc_i
     # Tokens are not materialised: splitting the text again is cheaper than writing every
     # token string; the id corpus (integers) is what every epoch reads.
     toks = documents_tokens(docs, id_col, text_col)
-    vocab = build_vocab(toks, params.min_count)
+    vocab = build_vocab(toks, params.min_count, text_word_counts(docs, text_col))
     total = int(vocab.agg(F.sum("freq")).first()[0] or 0)
     check_enough_data(total, params.window_size)
     enc = checkpoint(encode(toks, vocab))  # the id corpus is reused by every epoch

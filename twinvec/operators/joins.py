@@ -21,7 +21,7 @@ def lookup_join(big: DataFrame, small: DataFrame, key: str | list[str], how: str
     n = small_rows if small_rows is not None else small.count()
     if n <= max_broadcast_rows:
         return big.join(F.broadcast(small), keys, how)
-    # Any salt value finds exactly one copy of its key, so the result does not depend on it.
-    big_s = big.withColumn("_salt", F.floor(F.rand(7) * salt).cast("int"))
+    # Any salt value finds exactly one copy of its key; a hash of the row comes out the same when a task is repeated.
+    big_s = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salt)).cast("int"))
     small_s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     return big_s.join(small_s, keys + ["_salt"], how).drop("_salt")

@@ -10,10 +10,6 @@ from twinvec.operators.joins import lookup_join
 from twinvec.operators.scoring import (NEIGHBOR_KERNEL, NEIGHBOR_PANELS, REPORT_PANELS, SCORE_DECIMALS,
                                        topk_panels)
 
-# The reference's caps on list length per panel kind (K9).
-COSINE_CAP = 10_000
-DOT_CAP = 100_000
-ANALOGY_CAP = 1_000
 PREDICT_TOP = 4
 
 # Panels whose score is a negated similarity (ranked ascending); reports show the similarity.
@@ -42,23 +38,16 @@ def nearby(emb: DataFrame, query_ids: DataFrame, panels=NEIGHBOR_PANELS, k: int
     return topk_panels(queries, cands, NEIGHBOR_KERNEL, panels, k, **kw)
 
 
-COSINE_PANELS = {"near_w", "near_x", "near_y", "far_y"}
-
-
-def panel_caps(n_vectors: int) -> dict[str, int]:
-    """K9: the reference's list lengths: 10,000 for cosine panels, 100,000 for dot panels."""
-    return {p: min(COSINE_CAP if p in COSINE_PANELS else DOT_CAP, n_vectors) for p in NEIGHBOR_PANELS}
-
-
-def neighbor_report(emb: DataFrame, vocab: DataFrame, query_ids: DataFrame, k: int | dict = 20,
+def neighbor_report(emb: DataFrame, vocab: DataFrame, query_ids: DataFrame, k: int | dict | None = 20,
                     panels=REPORT_PANELS, decimals: int | None = None, **kw) -> DataFrame:
     """N8 / N10 in long form: ``(q, panel, rank, word_id, word, score, cos_w, cos_x, cos_y)``.
 
-    One scored pass serves all panels; far panels report the similarity itself. ``k`` is one
-    length or a per-panel dict (``panel_caps`` gives the reference's full lists). Ranking, cut,
+    One scored pass serves all panels; far panels report the similarity itself. ``k`` (K9) is the
+    caller's choice: one length, a dict with one for each panel, or None for whole lists. Ranking, cut,
     then the id -> word join (J2) on the kept rows only. ``decimals=3`` rounds the shown values
     after ranking, as the reference displays them (P15).
     """
+    k = emb.count() if k is None else k
     caps = k if isinstance(k, dict) else {p: k for p in panels}
     top = nearby(emb, query_ids, panels, max(caps[p] for p in panels), **kw)
     if isinstance(k, dict):

@@ -25,9 +25,8 @@ class Word2VecParams:
     resume_learning_rate: float = 0.052
     # Our own knobs (no counterpart in the reference).
     seed: int = 42
-    rounds_per_epoch: int = 4
-    tied: bool = True
-    max_broadcast_bytes: int = 1 << 30
+    shards: int = 16
+    pairs_per_round: int = 65_536
 
     def with_(self, **kw) -> "Word2VecParams":
         return replace(self, **kw)

@@ -88,9 +88,7 @@ SELECT (SELECT coalesce(sum(strlen(text)), 0)::BIGINT FROM documents) AS bytes,
        sum(freq)::BIGINT AS words_per_epoch
 FROM counts""")
 def corpus_stats_q(spark, sf_dir):
-    docs = I.table(spark, sf_dir, "documents")
-    toks = C.documents_tokens(docs)
-    return C.corpus_stats(docs, toks, P.min_count)
+    return C.corpus_stats(I.table(spark, sf_dir, "documents"), P.min_count)
 
 
 @register("encode", f"""WITH {S.ENCODED}
@@ -491,8 +489,7 @@ def _eval0(spark, sf_dir):
 
     def build():
         stream = _stream(spark, sf_dir).withColumn("lr", F.lit(0.0))
-        return checkpoint(evaluate_at(stream, _negs0(spark, sf_dir, stream), _theta0(spark, sf_dir),
-                                      spark.sparkContext.defaultParallelism))
+        return checkpoint(evaluate_at(stream, _negs0(spark, sf_dir, stream), _theta0(spark, sf_dir)))
     return I._memo(spark, ("eval0", sf_dir), build)
 
 
@@ -573,7 +570,7 @@ def _train(spark, sf_dir, epochs=1):
 @register("train_epoch")
 def train_epoch_q(spark, sf_dir):
     """One epoch of distributed training; returns the metrics table (loss per sync round)."""
-    return _train(spark, sf_dir, 1).metrics
+    return _train(spark, sf_dir, 1).metrics.drop("seconds", "words_per_sec")
 
 
 @register("resume")
@@ -587,9 +584,8 @@ def resume_q(spark, sf_dir):
     path = ensure_checkpoint_dir(spark).rstrip("/") + "/twinvec-models/" + uuid.uuid4().hex
     TR.save(st.theta, spark, path, st.epoch - 1, st.words, P.learning_rate, P.seed)
     theta, state = TR.restore(spark, path, st.epoch - 1)
-    cont = TR.train(enc, vocab, total, P, dim=TRAIN_DIM, epochs=1, theta=theta, lr0=P.resume_learning_rate,
-                    start_epoch=int(state["epoch"]) + 1, words_before=0, neg_k=TRAIN_NEG_K)
-    return cont.metrics
+    cont = TR.resume(enc, vocab, total, P, theta, int(state["epoch"]) + 1, dim=TRAIN_DIM, epochs=1, neg_k=TRAIN_NEG_K)
+    return cont.metrics.drop("seconds", "words_per_sec")
 
 
 # --------------------------------------------------------------------------------------
@@ -598,7 +594,7 @@ def resume_q(spark, sf_dir):
 
 TAGGED_SQL = f"""en_ws AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{S.BLANKS_REGEX_SQL}'), lambda t: t <> '') AS ws
-  FROM documents WHERE lang = 'en'),
+  FROM documents),
 en_off AS (SELECT doc_id, ws, coalesce(sum(len(ws)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM en_ws),
 en_tok AS (SELECT off + i - 1 AS g, ws[i] AS tok FROM en_off, range(1, len(ws) + 1) r(i)),
 tagged AS (SELECT g, lower(tok) AS word,
@@ -612,7 +608,7 @@ dsplit AS (SELECT *, (n * 4) // 5 AS n_train, CASE WHEN pos < (n * 4) // 5 THEN
 
 def _next_tag(spark, sf_dir):
     from twinvec.operators.tagging import next_tag_dataset, rule_tags
-    docs = I.table(spark, sf_dir, "documents").where(F.col("lang") == "en")
+    docs = I.table(spark, sf_dir, "documents")
     tagged = rule_tags(C.documents_tokens(docs))
     return next_tag_dataset(tagged, I.vocab(spark, sf_dir), I.emb(spark, sf_dir).select("word_id"))
 
@@ -713,7 +709,7 @@ def untied_step_q(spark, sf_dir):
     negs = per_pair_negatives(stream, noise(I.vocab(spark, sf_dir)), NEG_PAIR_K, P.seed, 0)
     theta_in = _theta0(spark, sf_dir)
     theta_out = theta_in.select("word_id", F.transform("vec", lambda e: F.lit(0.0).cast("float")).alias("vec"))
-    new_in, new_out = TR.untied_round(stream, negs, theta_in, theta_out, spark.sparkContext.defaultParallelism)
+    new_in, new_out = TR.untied_round(stream, negs, theta_in, theta_out, P.shards)
     def summary(df, which):
         flat = df.select(F.explode("vec").alias("v"))
         return flat.agg(F.lit(which).alias("which"), F.count(F.lit(1)).alias("n"),

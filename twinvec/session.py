@@ -53,13 +53,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="twinvec-ckpt-", dir=os.environ.get("TWINVEC_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
-def checkpoint(df):
+def checkpoint(df, *partition_by: str):
     """Cut lineage: write ``df`` as a parquet table under the session's checkpoint folder and read it back.
 
     The folder is the shared one named by ``spark.checkpoint.dir``; a lost executor then
@@ -68,5 +70,17 @@ def checkpoint(df):
     """
     spark = df.sparkSession
     path = ensure_checkpoint_dir(spark).rstrip("/") + "/twinvec-tables/" + uuid.uuid4().hex
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    back = spark.read.parquet(path)
+    if partition_by:
+        back = back.select(*[back[c].cast(t) for c, t in df.dtypes])
+    back.stored_at = path
+    return back
+
+
+def discard(*tables) -> None:
+    """Delete the files of tables that ``checkpoint`` returned and that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -22,12 +22,17 @@ def word_count_stream(spark: SparkSession, path: str, max_files_per_trigger: int
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
 
 
-def start_word_counts(spark: SparkSession, path: str, query_name: str, sink: str = "memory",
+def start_word_counts(spark: SparkSession, path: str, query_name: str, sink: str | None = None,
                       checkpoint_location: str | None = None, available_now: bool = True):
-    """Start the counting query; ``complete`` output mode keeps the whole (bounded) vocabulary table."""
+    """Start the counting query. By default each trigger replaces the table ``query_name`` (parquet in the warehouse);
+    the ``memory`` sink collects the whole word table in the driver and is for tests."""
     loc = checkpoint_location or (ensure_checkpoint_dir(spark).rstrip("/") + "/twinvec-streams/" + uuid.uuid4().hex)
-    writer = (word_count_stream(spark, path).writeStream.outputMode("complete").format(sink)
+    writer = (word_count_stream(spark, path).writeStream.outputMode("complete")
               .queryName(query_name).option("checkpointLocation", loc))
+    if sink is None:
+        writer = writer.foreachBatch(lambda counts, _: counts.write.mode("overwrite").saveAsTable(query_name))
+    else:
+        writer = writer.format(sink)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
