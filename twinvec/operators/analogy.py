@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from twinvec.operators.joins import lookup_join
 from twinvec.operators.ordering import ordered_prefix
-from twinvec.operators.neighbors import FAR_PANELS, PREDICT_TOP
+from twinvec.operators.neighbors import FAR_PANELS, PREDICT_TOP, lookup_ids
 from twinvec.operators.scoring import (ANALOGY_EVAL_KERNEL, ANALOGY_EVAL_PANELS, ANALOGY_KERNEL, ANALOGY_PANELS,
                                        topk_panels)
 
@@ -77,6 +77,16 @@ def analogy_panels(emb: DataFrame, questions: DataFrame, panels=ANALOGY_PANELS,
     return topk_panels(queries, cands, ANALOGY_KERNEL, panels, k, **kw)
 
 
+def analogy_words(emb: DataFrame, vocab: DataFrame, questions: DataFrame, panels=ANALOGY_PANELS, k: int = PREDICT_TOP, **kw) -> DataFrame:
+    """N1-N6 for words ``(qid, wa, wb, wc)``: ``(qid, panel, rank, word, score)``; unknown words stand for UNK."""
+    q = questions.select("qid", "wa", "wb", "wc")
+    for c in "abc":
+        q = lookup_ids(q, vocab, "w" + c).withColumnRenamed("word_id", c)
+    top = analogy_panels(emb, q.select("qid", "a", "b", "c"), panels, k, **kw)
+    words = vocab.select(F.col("word_id").alias("id"), "word")
+    return lookup_join(top, words, "id").select(F.col("q").alias("qid"), "panel", "rank", "word", "score")
+
+
 def answer(emb: DataFrame, questions: DataFrame, **kw) -> DataFrame:
     """First of the top 4 (whole vectors) that is not a, b or c; NULL means 'unknown'."""
     top = analogy_panels(emb, questions, ("near_w",), PREDICT_TOP, **kw)

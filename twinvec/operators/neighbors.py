@@ -71,6 +71,22 @@ def report_wide(report: DataFrame) -> DataFrame:
     return wide.select("q", "rank", *[F.col(p).alias(f"{p}_word") for p in panels])
 
 
+def near_words(emb: DataFrame, vocab: DataFrame, words: DataFrame, k: int | dict | None = 20, panels=REPORT_PANELS, **kw) -> DataFrame:
+    """P13 + P10 + N8: the report for query words ``words(word)``; unknown words ask for the UNK vector (id 0).
+
+    ``(query_word, panel, rank, word_id, word, score, cos_w, cos_x, cos_y)``; words of one id share one scoring.
+    """
+    ids = lookup_ids(words.select("word").distinct(), vocab).select(F.col("word").alias("query_word"), F.col("word_id").alias("q"))
+    report = neighbor_report(emb, vocab, ids.select("q").distinct(), k, panels, **kw)
+    return ids.join(report, "q").drop("q")
+
+
+def similar_words(emb: DataFrame, vocab: DataFrame, pairs: DataFrame) -> DataFrame:
+    """N7 / J5 for pairs of words ``(a_word, b_word)``; unknown words stand for UNK."""
+    a = lookup_ids(pairs.select("a_word", "b_word"), vocab, "a_word").withColumnRenamed("word_id", "a")
+    return similarities(emb, lookup_ids(a, vocab, "b_word").withColumnRenamed("word_id", "b"))
+
+
 def similarities(emb: DataFrame, pairs: DataFrame, a_col: str = "a", b_col: str = "b") -> DataFrame:
     """Cosine of w, x and y for each ``(a, b)`` pair of word ids."""
     e = emb.select("word_id", x_part("vec").alias("x"), y_part("vec").alias("y"))

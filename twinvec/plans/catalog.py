@@ -239,6 +239,33 @@ def similarities_q(spark, sf_dir):
     return N.similarities(I.emb(spark, sf_dir), pairs).select("pid", "a", "b", "cos_w", "cos_x", "cos_y")
 
 
+@register("near_words", f"""WITH {S.VOCAB}, {S.NEIGHBOR_PAIRS},
+bw AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(text, '{S.BLANKS_REGEX_SQL}'), lambda t: t <> '')) AS word FROM benchmark),
+ids AS (SELECT bw.word, coalesce(v.word_id, 0) AS q FROM bw LEFT JOIN (SELECT * FROM vocab WHERE word_id >= 1) v ON v.word = bw.word)
+SELECT i.word AS query_word, r.rank, v.word, r.score FROM ids i JOIN ranked r ON r.q = i.q LEFT JOIN vocab v ON v.word_id = r.id
+WHERE r.panel = 'near_w' AND r.rank <= {PANEL_K}""")
+def near_words_q(spark, sf_dir):
+    """P13, P10, N8 by words: every word of ``benchmark``; unknown ones ask for UNK."""
+    from twinvec.functions.text import split_tokens
+    words = I.table(spark, sf_dir, "benchmark").select(F.explode(split_tokens("text")).alias("word"))
+    near = N.near_words(I.emb(spark, sf_dir), I.vocab(spark, sf_dir), words, PANEL_K, ("near_w",))
+    return near.select("query_word", "rank", "word", "score")
+
+
+@register("similar_words", f"""WITH {S.VOCAB}, {S.EMB},
+p AS (SELECT a.word AS a_word, b.word AS b_word, a.word_id AS a, b.word_id AS b FROM vocab a JOIN vocab b ON b.word_id = a.word_id + 1
+      WHERE a.word_id >= 1)
+SELECT a_word, b_word,
+  round((list_inner_product(na.x, nb.x) + list_inner_product(na.y, nb.y)) / (sqrt(greatest(na.sx + na.sy, 1e-12)) * sqrt(greatest(nb.sx + nb.sy, 1e-12))), 6) AS cos_w
+FROM p JOIN normed na ON na.id = p.a JOIN normed nb ON nb.id = p.b""")
+def similar_words_q(spark, sf_dir):
+    """N7 by words: neighbours in the vocabulary's order."""
+    v = I.vocab(spark, sf_dir).where("word_id >= 1")
+    nxt = v.select((F.col("word_id") - 1).alias("word_id"), F.col("word").alias("b_word"))
+    pairs = v.select("word_id", F.col("word").alias("a_word")).join(nxt, "word_id")
+    return N.similar_words(I.emb(spark, sf_dir), I.vocab(spark, sf_dir), pairs).select("a_word", "b_word", "cos_w")
+
+
 # --------------------------------------------------------------------------------------
 # Analogies
 # --------------------------------------------------------------------------------------
@@ -260,6 +287,19 @@ SELECT qid, rank, id AS vec_id, score FROM aranked WHERE panel = '{_panel}' AND
         _analogy_query(_panel, _k))
 
 
+@register("analogy_words", f"""WITH {S.VOCAB}, {S.ANALOGY_SCORED}
+SELECT qid, rank, v.word, score FROM aranked LEFT JOIN vocab v ON v.word_id = aranked.id WHERE panel = 'near_w' AND rank <= 4
+  AND qid IN (SELECT qid FROM qs JOIN vocab x ON x.word_id = qs.a JOIN vocab y ON y.word_id = qs.b JOIN vocab z ON z.word_id = qs.c)""")
+def analogy_words_q(spark, sf_dir):
+    """N1 by words: the questions' ids as words of the vocabulary."""
+    q = I.analogy_questions(spark, sf_dir)
+    v = I.vocab(spark, sf_dir).select("word_id", "word")
+    for c in "abc":
+        q = q.join(v.withColumnRenamed("word_id", c).withColumnRenamed("word", "w" + c), c)
+    top = A.analogy_words(I.emb(spark, sf_dir), I.vocab(spark, sf_dir), q, ("near_w",), 4)
+    return top.select("qid", "rank", "word", "score")
+
+
 @register("analogy_answer", f"""WITH {S.ANALOGY_SCORED},
 best AS (SELECT r.qid, min_by(r.id, r.rank) AS answer FROM aranked r JOIN qs q ON q.qid = r.qid
          WHERE r.panel = 'near_w' AND r.rank <= 4 AND r.id NOT IN (q.a, q.b, q.c) GROUP BY r.qid)
