@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinvec.llm.workers import per_process
+from twinvec.llm.workers import lean, per_process
 from twinvec.session import checkpoint
 
-#: Most text and rows of a block (one longer text is a block by itself), and of a stretch hashed at once.
-BLOCK_BYTES, BLOCK_ROWS, STRETCH = 4 << 20, 4096, 1 << 20
+#: Most text and rows of a block (one longer text is a block by itself), a stretch hashed at once, and rows of a batch.
+BLOCK_BYTES, BLOCK_ROWS, STRETCH, BATCH_ROWS = 4 << 20, 4096, 1 << 17, 1000
 NO_ID = -(1 << 63)
 
 
@@ -121,9 +121,9 @@ def pack_blocks(docs: DataFrame, columns: list[str], level: int = 3, most: int =
         import zstandard
         from pyspark import TaskContext
 
+        lean()
         squeeze, block = zstandard.ZstdCompressor(level=level), TaskContext.get().partitionId() << 32
         for b in batches:
-            b = b.filter(pa.array([True] * len(b))) if b.num_rows and b["text"].offset else b
             size = np.cumsum(np.diff(np.concatenate([[0], flat(b["text"])[1]])))
             at = 0
             while at < len(b):
@@ -136,12 +136,20 @@ def pack_blocks(docs: DataFrame, columns: list[str], level: int = 3, most: int =
                     [pa.array([block]), pa.array([squeeze.compress(sink.getvalue())], pa.binary()), pa.array([int(size[to - 1] - base)])],
                     names=["block", "docs", "size"])
                 at, block = to, block + 1
-    return checkpoint(docs.select(*columns).mapInArrow(run, "block long, docs binary, size long"))
+    # Fewer rows at a time between Spark and Python than by default, for the time of this job: whole texts are large rows.
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        return checkpoint(docs.select(*columns).mapInArrow(run, "block long, docs binary, size long"))
+    finally:
+        conf.set(key, before)
 
 
 def unpack(cell: pa.Scalar) -> pa.RecordBatch:
     import zstandard
 
+    lean()
     data = zstandard.ZstdDecompressor().decompressobj().decompress(cell.as_buffer())
     with pa.ipc.open_stream(data) as r:
         return r.read_next_batch()

@@ -15,3 +15,22 @@ def per_process(key, build):
     if key not in held:
         held[key] = build()
     return held[key]
+
+
+def lean() -> None:
+    """Make this worker return large arrays to the machine as soon as they are freed, so that idle workers leave their
+    executor's memory to Spark. Without effect where the C library has no such setting."""
+    def settle():
+        import ctypes
+
+        import pyarrow as pa
+
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            libc = ctypes.CDLL("libc.so.6")
+            for option, value in ((-3, 1 << 18), (-1, 1 << 20), (-8, 2)):  # mmap threshold, trim threshold, arenas
+                libc.mallopt(option, value)
+        except (OSError, AttributeError):
+            pass
+        return True
+    per_process("lean", settle)
