@@ -10,7 +10,8 @@
 3. Equal sets are one class. Classes with the same prefix and size are one group. Groups that share a prefix n-gram
    and fit in size are pairs; pairs of groups are expanded to their members, and these are verified on whole sets.
    N-grams that many groups share first link every group to one of them (a few rounds with changing centres); then only
-   pairs from different components are left to expand, so a large cluster of copies costs a few pairs for each member,
+   pairs from different components are left to expand, and of these the ones whose sets must differ too much, as their parities
+   show, are left out; so a large cluster of copies costs a few pairs for each member,
    and no link between components is lost.
 
 Defined results: a null or blank text has an empty set and links with nothing; a text of fewer words than n is one
@@ -27,11 +28,11 @@ from pyspark.sql import functions as F
 from twinvec.llm import shingles as S
 from twinvec.llm.components import components
 from twinvec.llm.registry import register, table
-from twinvec.session import checkpoint
+from twinvec.session import checkpoint, discard
 
 WORDS, PERCENT = 5, 80
-#: Rounds of linking to centres, and pairs per index row that are few enough to expand at once.
-ROUNDS, FEW_PAIRS = 5, 32
+#: Rounds of linking to centres, pairs per index row that are few enough to expand at once, and pairs that may be broadcast, and bits of a set's parity.
+ROUNDS, FEW_PAIRS, MOST_BROADCAST, BITS = 5, 32, 1_000_000, 512
 
 
 def spare(n: np.ndarray) -> np.ndarray:
@@ -136,24 +137,40 @@ def signatures(blocks: DataFrame, shards: int, words: int, percent: int) -> Data
         own = [hashlib.blake2b(gram[a:b].tobytes(), digest_size=16).digest() if ok else None
                for a, b, ok in zip(ends[:-1], ends[1:], alive)]
         keep = alive[doc]
+        # Parity of the n-grams that fall to each of BITS bits: two sets differ in at least as many as their bits do.
+        row, bit = np.cumsum(alive) - 1, (gram[keep] >> np.uint64(24)) & np.uint64(BITS - 1)
+        odd = np.bincount(row[doc[keep]] * BITS + bit.astype(np.int64), minlength=int(alive.sum()) * BITS) & 1
+        parity = np.packbits(odd.astype(np.uint8)).view(np.uint64)
         return pa.table({"doc_id": batch["doc_id"].cast(pa.int64()), "n": pa.array(n), "key": pa.array(own, pa.binary()),
-                         "prefix": lists(pdoc[used], pgram[used]), "grams": lists(doc[keep], gram[keep])})
+                         "prefix": lists(pdoc[used], pgram[used]), "grams": lists(doc[keep], gram[keep]),
+                         "parity": lists(np.repeat(np.flatnonzero(alive), BITS // 64), parity)})
 
     counts = gram_counts(blocks, shards, words, percent)
     return (blocks.select("block", "docs").groupBy("block").cogroup(counts.groupBy("block"))
-            .applyInArrow(run, "doc_id long, n long, key binary, prefix array<long>, grams array<long>"))
+            .applyInArrow(run, "doc_id long, n long, key binary, prefix array<long>, grams array<long>, parity array<long>"))
 
 
 def fits(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def near_parity(a: Column, b: Column, n: Column, percent: int) -> Column:
+    """Whether two sets of ``n`` n-grams in all may be similar enough, by the bits in which their parities differ."""
+    apart = sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
+    return apart * (100 + percent) <= (100 - percent) * n
+
+
 def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs ``(a, b)`` of classes those whose whole sets are similar enough."""
-    side = lambda x: classes.select(F.col("cls").alias(x), F.col("grams").alias("grams_" + x))
-    j = pairs.join(side("a"), "a").join(side("b"), "b")
+    """Of the pairs ``(a, b)`` of classes those whose whole sets are similar enough.
+
+    Up to ``MOST_BROADCAST`` pairs (16 bytes each) are sent to all tasks to pick the sets they need; more are shuffled to them."""
+    pairs = checkpoint(pairs.distinct())
+    near = F.broadcast if pairs.count() <= MOST_BROADCAST else (lambda x: x)
+    sets = classes.select("cls", "grams")
+    a = sets.join(near(pairs), F.col("cls") == F.col("a")).select("a", "b", F.col("grams").alias("grams_a"))
+    b = sets.join(near(pairs.select("b").distinct()), F.col("cls") == F.col("b")).select("b", F.col("grams").alias("grams_b"))
     both = F.size(F.array_intersect("grams_a", "grams_b"))
-    return j.where(100 * both >= percent * (F.size("grams_a") + F.size("grams_b") - both)).select("a", "b")
+    return a.join(b, "b").where(100 * both >= percent * (F.size("grams_a") + F.size("grams_b") - both)).select("a", "b")
 
 
 def class_components(classes: DataFrame, percent: int) -> DataFrame:
@@ -167,7 +184,7 @@ def class_components(classes: DataFrame, percent: int) -> DataFrame:
     comp, links = members.select("cls", F.col("cls").alias("comp")), None
     for turn in range(ROUNDS + 1):
         placed = members.join(comp, "cls")
-        own = placed.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        own = placed.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"))
         open_ = index.join(own, "gid")
         split = open_.groupBy("gram").agg(F.min("lo").alias("l"), F.max("hi").alias("h"), F.count(F.lit(1)).alias("c"),
                                           F.min_by(F.struct("gid", "n"), F.xxhash64("gid", F.lit(turn))).alias("centre")).where("l <> h")
@@ -176,11 +193,14 @@ def class_components(classes: DataFrame, percent: int) -> DataFrame:
         last = not work["rows"] or work["pairs"] <= FEW_PAIRS * work["rows"] or turn == ROUNDS
         open_ = open_.join(split.select("gram", "centre"), "gram")
         if last:  # every pair of groups that is not in one component, expanded to members
-            x, y = open_.select("gram", *[F.col(c).alias(c + "1") for c in ("gid", "n", "lo", "hi")]), open_.select(
-                "gram", *[F.col(c).alias(c + "2") for c in ("gid", "n", "lo", "hi")])
+            open_ = open_.join(classes.select(F.col("cls").alias("gid"), "parity"), "gid")
+            x, y = [open_.select("gram", *[F.col(c).alias(c + i) for c in ("gid", "n", "lo", "hi", "m", "parity")]) for i in "12"]
+            lone = (F.col("m1") == 1) & (F.col("m2") == 1)  # a group of one is its head, whose parity is known here
             groups = x.join(y, "gram").where(
                 (F.col("gid1") < F.col("gid2")) & fits(F.col("n1"), F.col("n2"), percent)
-                & ~((F.col("lo1") == F.col("hi2")) & (F.col("hi1") == F.col("lo2")))).select("gid1", "gid2").distinct()
+                & ~((F.col("lo1") == F.col("hi2")) & (F.col("hi1") == F.col("lo2")))
+                & (~lone | near_parity(F.col("parity1"), F.col("parity2"), F.col("n1") + F.col("n2"), percent))
+            ).select("gid1", "gid2").distinct()
             same = own.where("lo <> hi").select(F.col("gid").alias("gid1"), F.col("gid").alias("gid2"))
             one, two = [placed.select(F.col("gid").alias("gid" + i), F.col("cls").alias(c), F.col("comp").alias("comp" + i))
                         for i, c in (("1", "a"), ("2", "b"))]
@@ -192,7 +212,7 @@ def class_components(classes: DataFrame, percent: int) -> DataFrame:
             pairs = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             if turn == 0:
                 pairs = pairs.union(members.where("gid <> cls").select("gid", "cls"))
-        found = checkpoint(verified(pairs.distinct(), classes, percent))
+        found = checkpoint(verified(pairs, classes, percent))
         links = found if links is None else links.union(found)
         named = components(links).withColumnRenamed("node", "cls")
         comp = checkpoint(members.select("cls").join(named, "cls", "left").select(
@@ -206,10 +226,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     blocks = S.pack_blocks(docs, ["doc_id", "text"])
     shards = S.shards_for(blocks, 16 << 20)
     sig = checkpoint(signatures(blocks, shards, words, percent))
+    discard(blocks)
     may = sig.where("key is not null and doc_id is not null")
     named = checkpoint(may.groupBy("key").agg(F.min("doc_id").alias("cls")))
     first = may.join(named, "key").where("doc_id = cls")
-    classes = checkpoint(first.select("key", "cls", "n", "prefix", "grams").dropDuplicates(["key"]).drop("key").dropDuplicates(["cls"]))
+    classes = checkpoint(first.select("key", "cls", "n", "prefix", "grams", "parity").dropDuplicates(["key"]).drop("key").dropDuplicates(["cls"]))
     comp = class_components(classes, percent)
     placed = may.select("doc_id", "n", "key").join(named, "key").join(comp, "cls", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "cls").alias("component_id"))
