@@ -26,14 +26,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
 from twinvec.llm.registry import register, table
-from twinvec.llm.workers import per_process
+from twinvec.llm.workers import lean, per_process
 
 # Blanks of the tokenizer's regular expressions, and its pattern of pieces.
 _BLANK = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_BLANK}\p{{L}}\p{{N}}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
 NEVER = 1 << 60
-#: Pieces remembered by a Python worker, and the longest of them.
-MEMO_PIECES, MEMO_CHARS = 400_000, 64
+#: Pieces and words remembered by a Python worker, the longest of them, and ids decoded at once.
+MEMO_PIECES, MEMO_WORDS, MEMO_CHARS, PART = 100_000, 800_000, 64, 1 << 18
+CLOSING = frozenset(".,;:!?")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -58,7 +59,7 @@ class Codec:
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
-        self.verdicts: dict[tuple[int, int], bool] = {}
+        self.verdicts: dict[int, bool] = {}
         known = {i for i, b in self.bytes.items() if len(b) == 1}
         for k, (a, b) in enumerate(merges):
             self.rank[vocab[a], vocab[b]] = k
@@ -75,7 +76,7 @@ class Codec:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.odd = regex.compile(f"[{_BLANK.replace(' ', '', 1).replace(chr(10), '', 1)}]").search
         self.memo = _Memo(lambda piece: array("i", self.piece_ids(piece)).tobytes(), MEMO_PIECES)
-        self.words = _Memo(lambda word: self._stretch(word if word[:1] == "\n" else " " + word), MEMO_PIECES)
+        self.words = _Words(self._word, MEMO_WORDS, self.memo)
         for t, i in self.special.items():
             self.bytes[i] = t.encode()
         top = max(self.bytes) + 2  # one more, without bytes, stands for unknown ids
@@ -110,20 +111,19 @@ class Codec:
     def piece_ids(self, piece: str) -> list[int]:
         """Ids of one piece by the dynamic program over its prefixes."""
         data = piece.encode("utf-8").decode("latin-1")
-        last, verdicts = [-1] * (len(data) + 1), self.verdicts
+        last, verdicts, done = [-1] * (len(data) + 1), self.verdicts, 0
         for end, (token, size) in self.automaton.iter(data):
-            end += 1
-            if last[end] >= 0:
+            if end < done:
                 continue
-            before = end - size
-            if before:
-                pair = (last[before], token)
+            if size <= end:
+                pair = last[end + 1 - size] << 20 | token
                 fits = verdicts.get(pair)
                 if fits is None:
-                    fits = verdicts[pair] = self._meet(*pair) < 0
+                    fits = verdicts[pair] = self._meet(last[end + 1 - size], token) < 0
                 if not fits:
                     continue
-            last[end] = token
+            done = end + 1
+            last[done] = token
         ids, at = [], len(data)
         while at:
             ids.append(last[at])
@@ -134,6 +134,12 @@ class Codec:
         """Ids of a text without special tokens, piece by piece."""
         return b"".join(map(self.memo.__getitem__, self.pieces(text)))
 
+    def _word(self, word: str) -> bytes:
+        """Ids of a word with the blank before it (a space, unless the word begins with a line feed)."""
+        if word.isalpha():  # letters after a space are one piece
+            return array("i", self.piece_ids(" " + word)).tobytes()
+        return self._stretch(word if word[:1] == "\n" else " " + word)
+
     def _text(self, text: str) -> bytes:
         if self.cut is not None and any(t in text for t in self.special):
             return b"".join(np.int32(self.special[part]).tobytes() if part in self.special else self._stretch(part)
@@ -150,16 +156,21 @@ class Codec:
         ends = np.cumsum([0] + [len(r) // 4 for r in rows])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), dtype=np.int32)))
 
+    def _bytes(self, ids: np.ndarray) -> bytes:
+        ids = np.where((ids < 0) | (ids >= len(self.size)), len(self.size) - 1, ids)
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.start[ids] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+
     def decode(self, ids: pa.Array) -> pa.Array:
         ids = ids.fill_null([]) if ids.null_count else ids
-        at = ids.offsets.to_numpy().astype(np.int64)
-        flat = ids.values.fill_null(-1).to_numpy()[at[0]:at[-1]]
-        flat = np.where((flat < 0) | (flat >= len(self.size)), len(self.size) - 1, flat)
-        size = self.size[flat]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        data = self.flat[np.repeat(self.start[flat] - ends[:-1], size) + np.arange(ends[-1])].tobytes()
-        cuts = ends[at - at[0]]
-        return pa.array([data[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:])], pa.string())
+        at = ids.offsets.to_numpy()
+        flat = ids.values.fill_null(-1).to_numpy()
+        out = []
+        for lo, hi in zip(at[:-1], at[1:]):  # a long text in parts; a part may end inside a character
+            data = b"".join(self._bytes(flat[k:min(k + PART, hi)]) for k in range(lo, hi, PART))
+            out.append(data.decode("utf-8", "replace"))
+        return pa.array(out, pa.string())
 
 
 class _Memo(dict):
@@ -178,7 +189,21 @@ class _Memo(dict):
         return ids
 
 
+class _Words(_Memo):
+    """The same for words; one with closing punctuation after a letter, a piece of its own, is put together each time."""
+
+    def __init__(self, ids, most: int, pieces: _Memo):
+        super().__init__(ids, most)
+        self.pieces = pieces
+
+    def __missing__(self, word: str) -> bytes:
+        if word[-1:] in CLOSING and word[-2:-1].isalpha():
+            return self[word[:-1]] + self.pieces[word[-1]]
+        return super().__missing__(word)
+
+
 def codec(path: str) -> Codec:
+    lean()
     return per_process(("codec", path), lambda: Codec(path))
 
 
