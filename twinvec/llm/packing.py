@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinvec.llm.registry import register, table
-from twinvec.llm.workers import per_process
+from twinvec.llm.workers import lean, per_process
 
 LENGTH, CLOSING_ID, GROUP_DOCS = 4096, 2, 2048
 #: Pieces of text remembered by a Python worker, and the longest of them.
-MEMO_PIECES, MEMO_CHARS = 500_000, 64
+MEMO_PIECES, MEMO_CHARS = 1_200_000, 64
 PIECE_SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
@@ -46,7 +46,14 @@ class _Words(dict):
         self[""] = b""
 
     def __missing__(self, word: str) -> bytes:
-        ids = array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        """Two kinds of words are put together from shorter ones: the tokenizer takes capital letters as small ones, and
+        closing punctuation after a letter is a piece of its own."""
+        if "A" <= word[0] <= "Z":
+            ids = self[word[0].lower() + word[1:]]
+        elif word[-1] in ".,;:!?" and word[-2:-1].isalpha():
+            ids = self[word[:-1]] + self[word[-1]]
+        else:
+            ids = array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         if len(word) <= MEMO_CHARS:
             if len(self) >= MEMO_PIECES:
                 self.clear()
@@ -60,6 +67,7 @@ class _Words(dict):
 
 
 def words(path: str) -> _Words:
+    lean()
     return per_process(("words", path), lambda: _Words(path))
 
 
