@@ -118,18 +118,19 @@ def phrase_automaton(w: _Windows, again: np.ndarray, texts: list[list[bytes]], w
     for at in chosen[one]:
         doc = int(np.searchsorted(ends, at, side="right"))
         i = int(at - (ends[doc] - w.counts[doc]))
-        automaton.add_word("".join(chr(_code(codes, x)) for x in texts[doc][i:i + phrase]), 1)
+        automaton.add_word("".join([codes[x] if x in codes else _code(codes, x) for x in texts[doc][i:i + phrase]]), 1)
     automaton.make_automaton()
     return automaton, codes
 
 
-def _code(codes: dict, word: bytes) -> int:
-    """A character for each word: 1 on, leaving out the surrogates. Should a very long text use up all characters, they
-    serve again; that only adds places, and every place is looked up in the confirmed windows."""
-    if word not in codes:
-        n = len(codes) % 1_100_000 + 1
-        codes[word] = n if n < 0xD800 else n + 0x800
-    return codes[word]
+def _code(codes: dict, word: bytes) -> str:
+    """Three characters for each word, each from 128 of its own, so that no node of the automaton has many children and
+    matches begin at words. Should a very long text use up the codes, they serve again; that only adds places, and
+    every place is looked up in the confirmed windows."""
+    n = len(codes) % (1 << 21)
+    code = chr(0x100 + (n >> 14)) + chr(0x200 + (n >> 7 & 127)) + chr(0x300 + (n & 127))
+    codes[word] = code
+    return code
 
 
 def removed_words(blocks: DataFrame, shards: int, columns: list[tuple[str, str]], respace: bool, window: int = WINDOW,
@@ -164,8 +165,8 @@ def removed_words(blocks: DataFrame, shards: int, columns: list[tuple[str, str]]
         for words in texts if built else []:
             automaton, codes = built
             if len(words) >= window:
-                code = "".join([chr(codes.get(x, 0)) for x in words])
-                places = np.fromiter((e for e, _ in automaton.iter(code)), dtype=np.int64) - (phrase - 1)
+                code = "".join([codes.get(x, "---") for x in words])
+                places = np.fromiter((e for e, _ in automaton.iter(code)), dtype=np.int64) // 3 - (phrase - 1)
                 if len(places):
                     near = np.zeros(len(words) + 1, dtype=np.int64)
                     np.add.at(near, np.maximum(0, places - (window - phrase)), 1)
