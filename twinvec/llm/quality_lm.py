@@ -31,7 +31,7 @@ from twinvec.llm.registry import register, table
 from twinvec.session import checkpoint
 
 ORDER, BITS = 4, 12
-QUANTILE, SLACK, PRIOR_CHARS = 0.995, 0.1, 100
+QUANTILE, SLACK, PRIOR_CHARS = 0.995, 0.4, 100
 #: Labelled ids are sent to every task up to this number (16 bytes each) and joined by a shuffle beyond it.
 MOST_BROADCAST = 1_000_000
 TRAIN, HELD_OUT = 1, 2
@@ -142,9 +142,11 @@ def probabilities(seen: DataFrame, order: int = ORDER) -> DataFrame:
         t = tables[o]
         n = [F.sum((F.col("c") == i).cast("long")) for i in (1, 2, 3, 4)]
         d = t.groupBy("lang").agg(*[x.alias(f"n{i}") for i, x in enumerate(n, 1)])
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-        d = d.select("lang", *[F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(float(i)), F.when(
-            F.col(f"n{i}") > 0, i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")))), F.lit(0.0)).alias(f"d{i}") for i in (1, 2, 3)])
+        y = F.col("n1") / F.nullif(F.col("n1") + 2 * F.col("n2"), F.lit(0))
+        # Chen and Goodman's discounts; half the count where a count of counts is missing.
+        raw = lambda i: i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")
+        d = d.select("lang", *[F.when(y.isNotNull() & (F.col(f"n{i}") > 0), F.greatest(F.lit(0.0), F.least(F.lit(float(i)), raw(i))))
+                               .otherwise(i / 2).alias(f"d{i}") for i in (1, 2, 3)])
         # The number of languages is small but not known to be, so Spark chooses how to join.
         off = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         t = t.join(d, "lang").select("lang", "gram", F.shiftright("gram", BITS).alias("ctx"), "c", off.alias("off"))
@@ -159,7 +161,7 @@ def probabilities(seen: DataFrame, order: int = ORDER) -> DataFrame:
         p = F.when(F.col("total").isNull(), F.col("below")).otherwise((own + F.col("free") * F.col("below")) / F.col("total"))
         lower = checkpoint(q.select("lang", F.col("gram").alias("suffix"), p.alias("below")))
     return seen.select("shard", "lang", "gram").join(lower.withColumnRenamed("suffix", "gram"), ["lang", "gram"]).select(
-        "shard", "lang", "gram", F.log("below").alias("logp"))
+        "shard", "lang", "gram", F.log(F.greatest("below", F.lit(1e-12))).alias("logp"))
 
 
 def answers(asked: DataFrame, probs: DataFrame) -> DataFrame:
