@@ -29,7 +29,7 @@ RATES = {
     "repeats": ("n_repeat_words", "n_words", 1000, 150, False),
     "word_length": ("word_chars", "n_words", 10, 10, True),
 }
-MIN_WORDS, MAX_REPEAT_PERCENT, FENCE, MIN_DOCS = 50, 50, 3, 50
+MIN_WORDS, MAX_REPEAT_PERCENT, FENCE, MIN_DOCS, SALTS = 50, 50, 3, 50, 32
 
 
 def words_of(text: Column) -> Column:
@@ -115,8 +115,10 @@ def judge(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat_percent: int =
         within = within & (_bin(r) <= F.col(f"{r}_hi"))
         if low:
             within = within & (_bin(r) >= F.col(f"{r}_lo"))
-    # A group whose documents all fail has no thresholds, hence the left join; AQE splits the hot source.
-    return stats.join(t, ["lang", "source"], "left").select(
+    # A group whose documents all fail has no thresholds, hence the left join; a salt spreads a hot source.
+    t = t.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    stats = stats.withColumn("salt", F.pmod(F.xxhash64("doc_id", "word_chars"), F.lit(SALTS)).cast("int"))
+    return stats.join(t, ["lang", "source", "salt"], "left").select(
         "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.coalesce(~F.col("base_failed") & within, F.lit(False)).alias("kept"))
 
