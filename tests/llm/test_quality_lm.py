@@ -21,8 +21,8 @@ def brute_model(texts, order):
     off, total, free = {}, {}, {}
     for o, c in counts.items():
         n = [0] + [sum(x == i for x in c.values()) for i in (1, 2, 3, 4)]
-        y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else 0
-        off[o] = [0] + [min(i, max(0, i - (i + 1) * y * n[i + 1] / n[i])) if n[i] else 0 for i in (1, 2, 3)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else None
+        off[o] = [0] + [i / 2 if y is None or not n[i] else min(i, max(0, i - (i + 1) * y * n[i + 1] / n[i])) for i in (1, 2, 3)]
         total[o], free[o] = defaultdict(int), defaultdict(float)
         for g, x in c.items():
             total[o][g[:-1]] += x

@@ -27,7 +27,7 @@ def collection():
     for i in range(80):
         parts = [prose(i * 7 + k, r.randrange(0, 40), 10_000) for k in range(3)]
         docs[i] = "\n".join(x + "  " + r.choice(passages) for x in parts)
-    docs |= {80: None, 81: "", 82: " \t\n", 83: "one", 84: docs[3], 85: "again " * 5000, 86: prose(5, 60_000, 10 ** 6), 87: docs[86][40:],
+    docs |= {80: None, 81: "", 82: " \t\n", 83: "one", 84: docs[3], 85: "again " * 5000, 86: prose(5, 60_000, 10 ** 6), 87: prose(5, 60_000, 10 ** 6)[40:],
              88: "é " * 30 + "\x85 x y " * 30}
     return docs
 
