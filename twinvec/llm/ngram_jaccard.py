@@ -178,9 +178,10 @@ def class_components(classes: DataFrame, percent: int) -> DataFrame:
     alike = classes.groupBy(F.xxhash64("prefix").alias("p"), "n").agg(F.min("cls").alias("gid"))
     members = checkpoint(classes.select("cls", "n", F.xxhash64("prefix").alias("p")).join(alike, ["p", "n"]).select("gid", "cls", "n"))
     heads = members.where("gid = cls").select("gid")
-    index = checkpoint(classes.join(heads, F.col("cls") == F.col("gid")).select("gid", "n", F.explode("prefix").alias("gram")))
-    shared = index.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
-    index = checkpoint(index.join(shared, "gram"))
+    every = checkpoint(classes.join(heads, F.col("cls") == F.col("gid")).select("gid", "n", F.explode("prefix").alias("gram")))
+    shared = every.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
+    index = checkpoint(every.join(shared, "gram"))
+    discard(every)
     comp, links = members.select("cls", F.col("cls").alias("comp")), None
     for turn in range(ROUNDS + 1):
         placed = members.join(comp, "cls")
@@ -227,14 +228,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     shards = S.shards_for(blocks, 16 << 20)
     sig = checkpoint(signatures(blocks, shards, words, percent))
     discard(blocks)
+    slim = checkpoint(sig.select("doc_id", "n", "key"))
     may = sig.where("key is not null and doc_id is not null")
     named = checkpoint(may.groupBy("key").agg(F.min("doc_id").alias("cls")))
     first = may.join(named, "key").where("doc_id = cls")
     classes = checkpoint(first.select("key", "cls", "n", "prefix", "grams", "parity").dropDuplicates(["key"]).drop("key").dropDuplicates(["cls"]))
+    discard(sig)
     comp = class_components(classes, percent)
-    placed = may.select("doc_id", "n", "key").join(named, "key").join(comp, "cls", "left").select(
+    discard(classes)
+    placed = slim.where("key is not null and doc_id is not null").join(named, "key").join(comp, "cls", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "cls").alias("component_id"))
-    alone = sig.where("key is null or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    alone = slim.where("key is null or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return placed.union(alone)
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from twinvec.llm import shingles as S
 from twinvec.llm.registry import register, table
-from twinvec.session import checkpoint
+from twinvec.session import checkpoint, discard
 
 ORDER, BITS = 4, 12
 QUANTILE, SLACK, PRIOR_CHARS = 0.995, 0.4, 100
@@ -211,6 +211,7 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack:
     asked = checkpoint(requests(blocks, shards))
     probs = probabilities(checkpoint(totals(asked)))
     scored = checkpoint(scores(blocks, answers(asked, probs), shards))
+    discard(blocks, asked)
     held = scored.where(F.col("role") == HELD_OUT)
     mean = held.groupBy("lang").agg((F.sum("loss") / F.greatest(F.sum("n_chars"), F.lit(1))).alias("mean"))
     score = (F.col("loss") + prior_chars * F.col("mean")) / (F.col("n_chars") + prior_chars)
