@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinvec.llm.bpe import byte_alphabet
 from twinvec.llm.registry import register, table
 from twinvec.llm.workers import lean, per_process
 
@@ -43,6 +44,7 @@ class _Words(dict):
         self.tokenizer.no_padding()
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.kind = np.dtype(self.code)
+        self.model, self.alphabet = self.tokenizer.model, {b: c for c, b in byte_alphabet().items()}
         self[""] = b""
 
     def __missing__(self, word: str) -> bytes:
@@ -52,6 +54,9 @@ class _Words(dict):
             ids = self[word[0].lower() + word[1:]]
         elif word[-1] in ".,;:!?" and word[-2:-1].isalpha():
             ids = self[word[:-1]] + self[word[-1]]
+        elif max(word) < "\u0100" and word.isalpha() and word.islower():  # one piece that normalizing leaves as it is
+            piece = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(self.alphabet)
+            ids = array(self.code, [t.id for t in self.model.tokenize(piece)]).tobytes()
         else:
             ids = array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         if len(word) <= MEMO_CHARS:
