@@ -90,3 +90,12 @@ def test_most_labelled_documents_are_judged_rightly(spark):
     good = [kept[r["doc_id"]] for r in labels if r["quality"] == 1 and r["toxic"] == 0]
     bad = [not kept[r["doc_id"]] for r in labels if r["quality"] == 0]
     assert sum(good) / len(good) > 0.98 and sum(bad) / len(bad) > 0.85
+
+
+def test_toxic_documents_go_and_clean_ones_stay(spark):
+    sf = "/root/testdata/sf0.01"
+    kept = {r["doc_id"]: r["kept"] for r in Q.op6_quality_lm(spark, sf).collect()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
+    clean = [kept[r["doc_id"]] for r in labels if r["quality"] == 1 and r["toxic"] == 0]
+    toxic = [not kept[r["doc_id"]] for r in labels if r["quality"] == 1 and r["toxic"] == 1]
+    assert sum(toxic) / len(toxic) > 0.6 and sum(clean) / len(clean) > 0.98

@@ -10,7 +10,7 @@ set the thresholds. Counts cover every trusted text:
 
 A document's score is its mean negative log-probability a character, drawn to the language's mean by ``prior_chars`` characters
 so that short texts do not swing. It is rejected if the score is above the language's threshold, a quantile of the
-held-out trusted documents' scores plus ``slack``.
+held-out trusted documents' scores.
 
 Characters below 3000 stand for themselves, others share 1096 classes, so an n-gram of four fits 48 bits.
 Defined results: a null text is empty, an empty text has the language's mean score and is kept; a null language is the language
@@ -31,7 +31,7 @@ from twinvec.llm.registry import register, table
 from twinvec.session import checkpoint, discard
 
 ORDER, BITS = 4, 12
-QUANTILE, SLACK, PRIOR_CHARS = 0.995, 0.4, 100
+QUANTILE, PRIOR_CHARS = 0.995, 100
 #: Labelled ids are sent to every task up to this number (16 bytes each) and joined by a shuffle beyond it.
 MOST_BROADCAST = 1_000_000
 TRAIN, HELD_OUT = 1, 2
@@ -203,8 +203,7 @@ def scores(blocks: DataFrame, answered: DataFrame, shards: int) -> DataFrame:
             .applyInArrow(run, "doc_id long, lang string, role int, n_chars long, loss double"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK,
-          prior_chars: int = PRIOR_CHARS) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, prior_chars: int = PRIOR_CHARS) -> DataFrame:
     """``doc_id, lang, n_chars, perplexity, score, kept`` for every row of ``docs (doc_id, text, lang)``."""
     blocks = S.pack_blocks(with_roles(docs, labels), ["doc_id", "text", "lang", "role"], level=9, most=BLOCK_BYTES)
     shards = S.shards_for(blocks, 64 << 20)
@@ -216,7 +215,7 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack:
     mean = held.groupBy("lang").agg((F.sum("loss") / F.greatest(F.sum("n_chars"), F.lit(1))).alias("mean"))
     score = (F.col("loss") + prior_chars * F.col("mean")) / (F.col("n_chars") + prior_chars)
     limit = held.join(mean, "lang").groupBy("lang").agg(
-        (F.percentile_approx(score, quantile, 10_000) + slack).alias("limit"))
+        F.percentile_approx(score, quantile, 10_000).alias("limit"))
     per_lang = mean.join(limit, "lang")
     return scored.join(per_lang, "lang", "left").select(
         "doc_id", "lang", "n_chars", F.exp(F.col("loss") / F.greatest("n_chars", F.lit(1))).alias("perplexity"), score.alias("score"),
