@@ -144,6 +144,38 @@ def test_untied_round_single_shard_equals_sequential_loop(spark):
     assert np.allclose(got_in, a_in, atol=1e-6) and np.allclose(got_out, a_out, atol=1e-6)
 
 
+def test_untied_epoch_runs_in_bounded_rounds(spark):
+    rng = np.random.default_rng(6)
+    V, d, shards, per_round = 9, 4, 2, 2
+    pairs = [(p, p // 3, int(rng.integers(0, V)), int(rng.integers(0, V))) for p in range(40)]
+    negs = [(p, j, int(rng.integers(0, V))) for p, *_ in pairs for j in range(3)]
+    negs = [(p, j, s) for p, j, s in negs if s != pairs[p][3]]
+    stream = spark.createDataFrame([(p, b, i, l, 0.3) for p, b, i, l in pairs],
+                                   "pair_idx long, batch_id long, input_id long, label_id long, lr double")
+    ndf = spark.createDataFrame(negs, "pair_idx long, draw long, sample long")
+    theta = [spark.createDataFrame([(i, [float(x) for x in rng.normal(0, 0.2, d)]) for i in range(V)], "word_id long, vec array<float>")
+             for _ in range(2)]
+    work = TR.untied_epoch_work(stream, ndf, shards, 14, per_round)
+    sizes = [r["count"] for r in work.where("kind = 0").groupBy("round", "shard").count().collect()]
+    assert sum(sizes) == len(pairs) and max(sizes) <= 3 * per_round and work.where("kind = 1").count() == len(negs)
+    want = [np.asarray([r["vec"] for r in t.orderBy("word_id").collect()], dtype=np.float64) for t in theta]
+    for r in range(4):
+        deltas = []
+        for s in range(shards):
+            own = [x.copy() for x in want]
+            for p, b, i, l in pairs:
+                if b // 7 == s and b % 7 // per_round == r:
+                    TR.untied_step(*own, np.array([i]), np.array([l]), [np.array([x for q, _, x in negs if q == p])], 0.3)
+            deltas.append([a - w for a, w in zip(own, want)])
+        for k in range(2):
+            moved = sum(np.any(x[k] != 0, axis=1).astype(int) for x in deltas)
+            want[k] = want[k] + sum(x[k] for x in deltas) / np.maximum(moved, 1)[:, None]
+    got = TR.untied_epoch(stream, ndf, *theta, shards, per_round)
+    for g, w in zip(got, want):
+        assert np.allclose(np.asarray([r["vec"] for r in g.orderBy("word_id").collect()]), w, atol=1e-5)
+    assert TR.untied_epoch(stream.limit(0), ndf, *theta, shards, per_round)[0].count() == V
+
+
 def test_one_shard_one_round_equals_sequential_sgd(spark):
     from twinvec.operators.sampling import noise
     rng = np.random.default_rng(9)

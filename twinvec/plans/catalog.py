@@ -741,15 +741,15 @@ def roundtrip_q(spark, sf_dir):
 
 @register("untied_step")
 def untied_step_q(spark, sf_dir):
-    """One untied sync round over the epoch-0 stream (input rows start at theta0, output rows
-    at zero, five per-pair negatives); rows only: the summed change per table."""
+    """The untied step over the whole epoch-0 stream in sync rounds of ``pairs_per_round`` pairs a shard (input
+    rows start at theta0, output rows at zero, five per-pair negatives); rows only: the summed change per table."""
     from twinvec.operators import training as TR
     from twinvec.operators.sampling import noise, per_pair_negatives
     stream = _stream(spark, sf_dir).withColumn("lr", F.lit(P.learning_rate))
     negs = per_pair_negatives(stream, noise(I.vocab(spark, sf_dir)), NEG_PAIR_K, P.seed, 0)
     theta_in = _theta0(spark, sf_dir)
     theta_out = theta_in.select("word_id", F.transform("vec", lambda e: F.lit(0.0).cast("float")).alias("vec"))
-    new_in, new_out = TR.untied_round(stream, negs, theta_in, theta_out, P.shards)
+    new_in, new_out = TR.untied_epoch(stream, negs, theta_in, theta_out, P.shards, max(1, P.pairs_per_round // P.batch_size))
     def summary(df, which):
         flat = df.select(F.explode("vec").alias("v"))
         return flat.agg(F.lit(which).alias("which"), F.count(F.lit(1)).alias("n"),
