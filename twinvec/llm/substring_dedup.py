@@ -5,7 +5,7 @@
    each, whether the window recurs and whether an earlier document of another block has it.
 2. Each block is a shard of automata: from the windows that recur in it, phrases of ``phrase`` words are chosen so that
    every one of them holds a phrase (the smallest phrase hash in the window), and compiled by pyahocorasick over the
-   block's own words, so a match is a match of words and not of hashes.
+   block's own words. The phrases are found as words, but what is removed is decided by the hashes of step 1.
 3. The automaton streams every document of its block and reports each place of a phrase. The windows around a place are
    looked up in the confirmed ones; a window that also starts earlier removes its words.
 
