@@ -206,3 +206,13 @@ def test_one_shard_one_round_equals_sequential_sgd(spark):
         np.add.at(W, rows, -params.learning_rate * grads)
     got = np.asarray([r["vec"] for r in st.theta.orderBy("word_id").collect()], dtype=np.float64)
     assert np.allclose(got, W.astype(np.float32), atol=1e-6)
+
+
+def test_training_queries_take_epochs_dimensions_and_negatives(spark):
+    from twinvec.plans import catalog
+    sf = "/root/testdata/sf0.001"
+    m = catalog.train_epoch_q(spark, sf, epochs=2, dim=8, neg_k=5).collect()
+    assert {r["epoch"] for r in m} == {0, 1}
+    m = catalog.resume_q(spark, sf, epochs=2, resume_epochs=2, dim=8, neg_k=5).collect()
+    assert {r["epoch"] for r in m} == {2, 3}
+    assert catalog.neg_shared_q(spark, sf, neg_k=5).groupBy("batch_id").count().select("count").distinct().collect()[0][0] == 5

@@ -466,8 +466,9 @@ s AS (SELECT draws.batch_id, draws.draw, cdf.word_id FROM draws ASOF JOIN cdf ON
 firsts AS (SELECT batch_id, word_id, min(draw) AS draw FROM s GROUP BY batch_id, word_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY draw) AS r FROM firsts)
 SELECT batch_id::BIGINT AS batch_id, word_id, draw::BIGINT AS draw FROM ranked WHERE r <= {NEG_SHARED_K}""")
-def neg_shared_q(spark, sf_dir):
-    out = _negs0(spark, sf_dir)  # NEG_SHARED_K == TRAIN_NEG_K: the same table the trainer queries use
+def neg_shared_q(spark, sf_dir, neg_k=NEG_SHARED_K):
+    """``neg_k`` distinct negatives a batch of epoch 0 (20 unless given; the trainer's default is 100)."""
+    out = _negs0(spark, sf_dir, neg_k=neg_k)  # NEG_SHARED_K == TRAIN_NEG_K: the same table the trainer queries use
     return out.select("batch_id", "word_id", F.col("draw").cast("long").alias("draw"))
 
 
@@ -504,21 +505,22 @@ TRAIN_DIM = 64
 TRAIN_NEG_K = NEG_SHARED_K
 
 
-def _theta0(spark, sf_dir):
+def _theta0(spark, sf_dir, dim=TRAIN_DIM):
+    """Starting vectors; those of ``embeddings`` (64 dimensions) are taken where ``dim`` is theirs."""
     from twinvec.operators.training import start_matrix
-    return start_matrix(I.vocab(spark, sf_dir), TRAIN_DIM, P.seed, I.emb(spark, sf_dir))
+    return start_matrix(I.vocab(spark, sf_dir), dim, P.seed, I.emb(spark, sf_dir) if dim == TRAIN_DIM else None)
 
 
-def _negs0(spark, sf_dir, stream=None):
-    """Epoch-0 shared negatives (K = 20) of every batch, materialised once per session."""
+def _negs0(spark, sf_dir, stream=None, neg_k=TRAIN_NEG_K):
+    """Epoch-0 shared negatives of every batch, materialised once per session."""
     from twinvec.operators.sampling import noise, shared_negatives
     from twinvec.session import checkpoint
 
     def build():
         st = stream if stream is not None else _stream(spark, sf_dir)
         return checkpoint(shared_negatives(st.select("batch_id").distinct(), noise(I.vocab(spark, sf_dir)),
-                                           TRAIN_NEG_K, P.seed, 0))
-    return I._memo(spark, ("negs0", sf_dir), build)
+                                           neg_k, P.seed, 0))
+    return I._memo(spark, ("negs0", sf_dir, neg_k), build)
 
 
 def _eval0(spark, sf_dir):
@@ -596,35 +598,36 @@ def tied_grad_q(spark, sf_dir):
         "word_id", F.col("slot").cast("long").alias("slot"), F.round("grad", 9).alias("grad"))
 
 
-def _train(spark, sf_dir, epochs=1):
+def _train(spark, sf_dir, epochs, dim, neg_k):
     """One training run from the starting parameters, kept per session (``resume`` continues it)."""
     from twinvec.operators.training import train
 
     def build():
         _, vocab, enc, total = I.corpus(spark, sf_dir)
-        return train(enc, vocab, total, P, dim=TRAIN_DIM, epochs=epochs, theta=_theta0(spark, sf_dir),
-                     neg_k=TRAIN_NEG_K)
-    return I._memo(spark, ("train", sf_dir, epochs), build)
+        return train(enc, vocab, total, P, dim=dim, epochs=epochs, theta=_theta0(spark, sf_dir, dim), neg_k=neg_k)
+    return I._memo(spark, ("train", sf_dir, epochs, dim, neg_k), build)
 
 
 @register("train_epoch")
-def train_epoch_q(spark, sf_dir):
-    """One epoch of distributed training; returns the metrics table (loss per sync round)."""
-    return _train(spark, sf_dir, 1).metrics.drop("seconds", "words_per_sec")
+def train_epoch_q(spark, sf_dir, epochs=1, dim=TRAIN_DIM, neg_k=TRAIN_NEG_K):
+    """``epochs`` of distributed training; returns the metrics table (loss per sync round). Unless given: 1 epoch, 64
+    dimensions and 20 negatives a batch (the trainer's defaults: 15, 200 and 100)."""
+    return _train(spark, sf_dir, epochs, dim, neg_k).metrics.drop("seconds", "words_per_sec")
 
 
 @register("resume")
-def resume_q(spark, sf_dir):
-    """Train, save, restore, then continue with the resume rate; metrics of the continuation."""
+def resume_q(spark, sf_dir, epochs=1, resume_epochs=1, dim=TRAIN_DIM, neg_k=TRAIN_NEG_K):
+    """Train, save, restore, then continue with the resume rate; metrics of the continuation. Unless given: 1 epoch and 1
+    more, 64 dimensions and 20 negatives a batch (the trainer's defaults: 15, 10, 200 and 100)."""
     import uuid
     from twinvec.operators import training as TR
     from twinvec.session import ensure_checkpoint_dir
     _, vocab, enc, total = I.corpus(spark, sf_dir)
-    st = _train(spark, sf_dir, 1)
+    st = _train(spark, sf_dir, epochs, dim, neg_k)
     path = ensure_checkpoint_dir(spark).rstrip("/") + "/twinvec-models/" + uuid.uuid4().hex
     TR.save(st.theta, spark, path, st.epoch - 1, st.words, P.learning_rate, P.seed)
     theta, state = TR.restore(spark, path, st.epoch - 1)
-    cont = TR.resume(enc, vocab, total, P, theta, int(state["epoch"]) + 1, dim=TRAIN_DIM, epochs=1, neg_k=TRAIN_NEG_K)
+    cont = TR.resume(enc, vocab, total, P, theta, int(state["epoch"]) + 1, dim=dim, epochs=resume_epochs, neg_k=neg_k)
     return cont.metrics.drop("seconds", "words_per_sec")
 
 
