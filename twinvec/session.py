@@ -71,9 +71,10 @@ def checkpoint(df, *partition_by: str):
     spark = df.sparkSession
     path = ensure_checkpoint_dir(spark).rstrip("/") + "/twinvec-tables/" + uuid.uuid4().hex
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    back = spark.read.parquet(path)
-    if partition_by:
-        back = back.select(*[back[c].cast(t) for c, t in df.dtypes])
+    if partition_by:  # with the schema, since a table without rows has no file that tells it
+        back = spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    else:
+        back = spark.read.parquet(path)
     back.stored_at = path
     return back
 
