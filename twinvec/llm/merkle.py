@@ -175,8 +175,8 @@ def top_paths(roots: DataFrame, levels: int) -> DataFrame:
     steps = steps.select("tree", "level", (F.col("at") % 2 == 1).alias("left"), F.col("at").bitwiseXOR(F.lit(1)).alias("index"))
     steps = steps.join(node, ["level", "index"], "left").groupBy("tree").agg(
         F.array_sort(F.collect_list(F.struct("level", "hash", "left"))).alias("steps"))  # a row for each level of the top tree
-    root = grown.where("kind = 'root'").select(F.col("hash").alias("root"), F.lit(1).alias("one"))
-    out = t.select("tree", F.col("hash").alias("subroot"), F.lit(1).alias("one")).join(root, "one").join(steps, "tree")
+    root = grown.where("kind = 'root'").first()  # one value
+    out = t.select("tree", F.col("hash").alias("subroot"), F.lit(root and root["hash"]).cast("string").alias("root")).join(steps, "tree")
     return out.select("tree", "subroot", "root", F.when(F.lit(n > 1), F.col("steps")).otherwise(F.array().cast(
         "array<struct<level:int,hash:string,left:boolean>>")).alias("steps"))
 
