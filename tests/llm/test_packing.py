@@ -78,3 +78,22 @@ def test_query(spark):
 
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
     check(op5_packing(spark, "/root/testdata/sf0.001").collect(), {r["doc_id"]: r["text"] for r in d})
+
+
+def test_ids_equal_the_librarys_on_random_texts():
+    """Letters that normalizing takes apart or puts together, marks, digits and punctuation in any order."""
+    import random
+
+    from twinvec.llm.packing import words
+
+    tokenizer, own = Tokenizer.from_file(PATH), words(PATH)
+    letters = list("aZkI") + ["é", "É", "İ", "ı", "ß", "ǆ", "ﬁ", "क", "़", "क़", "ñ", "ñ", "Å", "Å", "ª", "µ", "ÿ", "Ω", "한", "中", "ー", "Ａ", "́", "̇",
+                             "‍", "\xa0", "日", "́a"]
+    marks = list(".,;:!?'\"()-_&%$#@/\\0179 \n\t") + ["…", "。", "’", "½", "²", " "]
+    r = random.Random(8)
+    for n in range(20_000):
+        text = "".join(r.choice(letters if r.random() < 0.6 else marks) for _ in range(r.randrange(1, 14)))
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(own.ids(text), dtype=own.kind).tolist() == want, (n, text)
+    for text in ("BİTTİ.", "İ!", "日İ:", "क़:", "İstanbul ΑΣ."):
+        assert np.frombuffer(own.ids(text), dtype=own.kind).tolist() == tokenizer.encode(text, add_special_tokens=False).ids

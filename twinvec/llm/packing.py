@@ -49,10 +49,11 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         """Two kinds of words are put together from shorter ones: the tokenizer takes capital letters as small ones, and
-        closing punctuation after a letter is a piece of its own."""
+        closing punctuation after a letter is a piece of its own. The letter has to be one that normalizing leaves alone: of a
+        letter that becomes a letter and a mark, the mark and the punctuation are one piece."""
         if "A" <= word[0] <= "Z":
             ids = self[word[0].lower() + word[1:]]
-        elif word[-1] in ".,;:!?" and word[-2:-1].isalpha():
+        elif word[-1] in ".,;:!?" and word[-2:-1].isascii() and word[-2:-1].isalpha():
             ids = self[word[:-1]] + self[word[-1]]
         elif max(word) < "\u0100" and word.isalpha() and word.islower():  # one piece that normalizing leaves as it is
             piece = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(self.alphabet)
