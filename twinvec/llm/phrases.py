@@ -325,12 +325,13 @@ def mine(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, to
     """``lang, rank, phrase, a, l, r, n, score``: each language's best phrases."""
     n, streams = count(docs, min_count, longest)
     tables, found = parts(streams), None
+    big = lambda c: F.col(c).cast("decimal(19,0)")
     for k in range(2, longest + 1):
         t = tables[k - 1]
         if k < longest:
-            t = t.join(extensions(streams[k]).hint("merge"), "name", "left").where(F.coalesce(100 * F.col("m") < COVERS * F.col("a"), F.lit(True)))
+            t = t.join(extensions(streams[k]).hint("merge"), "name", "left").where(F.coalesce(100 * big("m") < COVERS * big("a"), F.lit(True)))
         cut = F.array(*[F.struct(
-            F.expr(f"(cast(a as decimal(19,0)) * {SCALE}bd) div cast(pre[{i - 1}] + suf[{k - i - 1}] as decimal(20,0))").alias("score"),
+            F.expr(f"(cast(a as decimal(19,0)) * {SCALE}bd) div (cast(pre[{i - 1}] as decimal(19,0)) + suf[{k - i - 1}])").alias("score"),
             F.lit(i).alias("k"), F.col("pre")[i - 1].alias("l"), F.col("suf")[k - i - 1].alias("r")) for i in range(1, k)])
         t = t.select("lang", "phrase", "a", F.array_min(cut).alias("cut"))
         found = t if found is None else found.unionByName(t)
