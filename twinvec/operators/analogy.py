@@ -12,7 +12,7 @@ from twinvec.operators.joins import lookup_join
 from twinvec.operators.ordering import ordered_prefix
 from twinvec.operators.neighbors import FAR_PANELS, PREDICT_TOP, lookup_ids
 from twinvec.operators.scoring import (ANALOGY_EVAL_KERNEL, ANALOGY_EVAL_PANELS, ANALOGY_KERNEL, ANALOGY_PANELS,
-                                       topk_panels)
+                                       rank_interval, topk_panels)
 
 
 def read_questions(spark, path: str, vocab: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -65,16 +65,25 @@ def known(questions: DataFrame, emb: DataFrame, cols: str = "abcd") -> DataFrame
     return q
 
 
+# Far panels that the reference cuts from the end of its capped list (for y it shows the first ranks).
+TAIL_PANELS = ("far_w", "far_x")
+
+
 def analogy_panels(emb: DataFrame, questions: DataFrame, panels=ANALOGY_PANELS, k: int = PREDICT_TOP,
-                   **kw) -> DataFrame:
+                   tail_of: int | None = None, **kw) -> DataFrame:
     """Top ``k`` per (question, panel): ``(q, panel, rank, id, score)``.
 
     Scores: ``(u_c + u_b - u_a) . u_v`` on unit whole vectors (near_w), unit x (near_x), unit y
-    (near_y); the far panels rank the same score ascending.
+    (near_y); the far panels rank the same score ascending. ``tail_of`` (1000 in the reference): far_w and far_x show the last ``k`` ranks of
+    a list of that length, ``tail_of - k + 1`` to ``tail_of``, instead of the first ones.
     """
     queries = _with_vectors(questions, emb)
     cands = emb.select(F.col("word_id").alias("id"), "vec")
-    return topk_panels(queries, cands, ANALOGY_KERNEL, panels, k, **kw)
+    tails = [p for p in panels if tail_of and p in TAIL_PANELS]
+    heads = [p for p in panels if p not in tails]
+    found = [topk_panels(queries, cands, ANALOGY_KERNEL, heads, k, **kw)] if heads else []
+    found += [rank_interval(queries, cands, ANALOGY_KERNEL, tails, tail_of - k + 1, tail_of, **kw)] if tails else []
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 
 def analogy_words(emb: DataFrame, vocab: DataFrame, questions: DataFrame, panels=ANALOGY_PANELS, k: int = PREDICT_TOP, **kw) -> DataFrame:
@@ -118,7 +127,8 @@ def evaluate(emb: DataFrame, questions: DataFrame, **kw) -> DataFrame:
 
 
 def report(emb: DataFrame, vocab: DataFrame, questions: DataFrame, k: int = 20, **kw) -> DataFrame:
-    """N9 in long form: six panels, ``(qid, panel, rank, word_id, word, score)``; far panels show the similarity."""
+    """N9 in long form: six panels, ``(qid, panel, rank, word_id, word, score)``; far panels show the similarity (``tail_of``: see
+    :func:`analogy_panels`)."""
     top = analogy_panels(emb, questions, ANALOGY_PANELS, k, **kw)
     score = F.when(F.col("panel").isin(*FAR_PANELS), -F.col("score")).otherwise(F.col("score"))
     words = vocab.select(F.col("word_id").alias("id"), "word")

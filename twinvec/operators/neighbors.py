@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from twinvec.functions.vectors import dot, safe_norm, sq_norm, x_part, y_part
 from twinvec.operators.joins import lookup_join
-from twinvec.operators.scoring import (NEIGHBOR_KERNEL, NEIGHBOR_PANELS, REPORT_PANELS, SCORE_DECIMALS,
-                                       topk_panels)
+from twinvec.operators.scoring import (FEW_QUERIES, NEIGHBOR_KERNEL, NEIGHBOR_PANELS, REPORT_PANELS, SCORE_DECIMALS,
+                                       rank_interval, topk_panels)
 
 PREDICT_TOP = 4
 
+# Our own bound: longer lists are found by rank_interval, in memory that does not grow with them.
+LONG_LIST = 1000
+
 # Panels whose score is a negated similarity (ranked ascending); reports show the similarity.
 FAR_PANELS = {"far_y", "far_w", "far_x"}
 
@@ -22,20 +25,24 @@ def lookup_ids(words: DataFrame, vocab: DataFrame, word_col: str = "word") -> Da
     return lookup_join(words, ranked, word_col).withColumn("word_id", F.coalesce("word_id", F.lit(0)).cast("long"))
 
 
-def query_vectors(query_ids: DataFrame, emb: DataFrame, q_col: str = "q") -> DataFrame:
-    """Attach the vector of each query id (inner join on ``word_id``)."""
-    return query_ids.select(F.col(q_col).cast("long").alias("q")).join(
-        emb.select(F.col("word_id").alias("q"), "vec"), "q")
+def query_vectors(query_ids: DataFrame, emb: DataFrame, q_col: str = "q", few: bool = False) -> DataFrame:
+    """Attach the vector of each query id (inner join on ``word_id``). ``few``: the ids go to the vectors, which stay where they lie."""
+    ids = query_ids.select(F.col(q_col).cast("long").alias("q"))
+    return emb.select(F.col("word_id").alias("q"), "vec").join(F.broadcast(ids) if few else ids, "q")
 
 
 def nearby(emb: DataFrame, query_ids: DataFrame, panels=NEIGHBOR_PANELS, k: int = 20, **kw) -> DataFrame:
     """Top ``k`` per (query, panel): ``(q, panel, rank, id, score, cos_w, cos_x, cos_y)``.
 
-    ``query_ids`` has a column ``q`` of word ids; ``emb`` is ``(word_id, vec)``.
+    ``query_ids`` has a column ``q`` of word ids; ``emb`` is ``(word_id, vec)``. Up to ``FEW_QUERIES`` queries are answered by a scan of
+    ``emb`` without a shuffle of it; lists longer than ``LONG_LIST`` by two passes in bounded memory.
     """
-    queries = query_vectors(query_ids, emb)
+    n = query_ids.count()
+    queries = query_vectors(query_ids, emb, few=n <= FEW_QUERIES)
     cands = emb.select(F.col("word_id").alias("id"), "vec")
-    return topk_panels(queries, cands, NEIGHBOR_KERNEL, panels, k, **kw)
+    if k > LONG_LIST:
+        return rank_interval(queries, cands, NEIGHBOR_KERNEL, panels, 1, k, n_queries=n, **kw)
+    return topk_panels(queries, cands, NEIGHBOR_KERNEL, panels, k, n_queries=n, **kw)
 
 
 def neighbor_report(emb: DataFrame, vocab: DataFrame, query_ids: DataFrame, k: int | dict | None = 20,

@@ -6,10 +6,15 @@ Inverse-CDF draws use a bucketed equi-join instead of a range join: ``[0, 1)`` i
 lower bound (at most ``V + M`` rows overall); a draw ``u`` joins its bucket ``floor(u M)`` on
 equality and keeps the single row with ``lo <= u < next_lo``, i.e. the word with the
 greatest lower bound not above ``u``.
+
+A training task makes the same draws by itself (:class:`Sampler`), so that they are never rows.
 """
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,6 +125,57 @@ def shared_negatives(batch_ids: DataFrame, noise_df: DataFrame, k: int, seed: in
     return found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
+# Our own bound on the words whose intervals every training task holds (12 bytes each).
+MAX_SAMPLER_WORDS = 4_000_000
+
+
+class Sampler:
+    """The draws of :func:`shared_negatives` and :func:`per_pair_negatives`, made inside a task from the sorted CDF."""
+
+    def __init__(self, ids: np.ndarray, lo: np.ndarray):
+        order = np.argsort(lo, kind="stable")
+        self.ids, self.lo = ids[order].astype(np.int32 if len(ids) < 1 << 31 else np.int64), lo[order]
+
+    @classmethod
+    def of(cls, noise_df: DataFrame) -> "Sampler | None":
+        """None where the vocabulary is larger than :data:`MAX_SAMPLER_WORDS`."""
+        positive = noise_df.where(F.col("wq") > 0).select("word_id", "lo")
+        if positive.count() > MAX_SAMPLER_WORDS:
+            return None
+        t = positive.toArrow()
+        return cls(t["word_id"].to_numpy(), t["lo"].to_numpy())
+
+    @staticmethod
+    def uniforms(seed: int, tag: str, epoch: int, keys: np.ndarray, start: int, count: int) -> np.ndarray:
+        """Draws ``start`` to ``start + count`` of every key, four from an md5 (see ``functions.rand.explode_draws``)."""
+        first, last = start // 4, (start + count + 3) // 4
+        data = b"".join(hashlib.md5(f"{seed}:{tag}:{epoch}:{k}:{b}".encode()).digest() for k in keys.tolist() for b in range(first, last))
+        u = np.frombuffer(data, dtype=">u4").reshape(len(keys), 4 * (last - first)) / 4294967296.0
+        return u[:, start - 4 * first:start - 4 * first + count]
+
+    def words(self, u: np.ndarray) -> np.ndarray:
+        return self.ids[np.maximum(np.searchsorted(self.lo, u, side="right") - 1, 0)].astype(np.int64)
+
+    def pair(self, seed: int, epoch: int, pair_idx: np.ndarray, k: int) -> np.ndarray:
+        """T4: ``k`` draws a pair, as a row each; those equal to the label are the caller's to leave out."""
+        return self.words(self.uniforms(seed, "negp", epoch, pair_idx, 0, k))
+
+    def shared(self, seed: int, epoch: int, batch_ids: np.ndarray, k: int) -> list[np.ndarray]:
+        """``k`` distinct words a batch, in the order of their first draws."""
+        if k > len(self.ids):
+            raise ValueError(f"cannot draw {k} distinct ids from {len(self.ids)} words with positive weight")
+        step = 4 * ((2 * k + 3) // 4)
+        drawn, out = self.words(self.uniforms(seed, "neg", epoch, batch_ids, 0, step)), []
+        for b, row in zip(batch_ids, drawn):
+            while True:
+                first = np.sort(np.unique(row, return_index=True)[1])
+                if len(first) >= k:
+                    break
+                row = np.concatenate([row, self.words(self.uniforms(seed, "neg", epoch, np.array([b]), len(row), step))[0]])
+            out.append(row[first[:k]])
+        return out
+
+
 def init_vectors(vocab: DataFrame, dim: int, seed: int = 42) -> DataFrame:
     """T5: ``emb(word_id, vec)`` with entries uniform in ``[-0.5/dim, 0.5/dim)``."""
     slots = vocab.select("word_id", F.explode(F.sequence(F.lit(0), F.lit(dim - 1))).alias("slot"))
@@ -144,3 +200,8 @@ def learning_rate(words: F.Column, words_per_epoch: int, params: Word2VecParams,
     lr0 = params.learning_rate if lr0 is None else lr0
     frac = words.cast("double") / F.lit(float(words_per_epoch) * float(epochs))
     return F.lit(lr0) * F.greatest(F.lit(params.lr_floor), F.lit(1.0) - F.lit(params.lr_decay) * frac)
+
+
+def rate_at(words: int, words_per_epoch: int, params: Word2VecParams, epochs: int, lr0: float) -> float:
+    """:func:`learning_rate` for one value of the word counter."""
+    return lr0 * max(params.lr_floor, 1.0 - params.lr_decay * (float(words) / (float(words_per_epoch) * float(epochs))))

@@ -16,6 +16,12 @@ The reference computes a dense [queries x vocabulary] product and runs top-k on
 
 No pair is emitted as a row, no cross join is planned, and nothing is collected.
 Several panels (scores) share one pass, which replaces the reference's separate products.
+
+Two other plans give the same rows. A few queries (:data:`FEW_QUERIES`, counted) are sent to every task and the
+candidates are scanned where they lie, each task keeping the best ``k`` so far (:func:`topk_few`): the table is not shuffled. Long lists
+and stretches of ranks (:func:`rank_interval`) first count scores in bins, which gives the scores between which the ranks lie,
+and then emit only the pairs in that band, so the memory of a task does not depend on ``k``. In every plan a pair whose score is not
+finite has no rank.
 """
 
 from __future__ import annotations
@@ -30,6 +36,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from twinvec.session import checkpoint
+
 # Fixed value: scores are rounded to this many decimals before ranking (stable ties).
 SCORE_DECIMALS = 6
 
@@ -140,6 +148,27 @@ def plan_blocks(n_queries: int, n_cands: int, min_groups: int, max_query_block:
     return n_qb, n_ch
 
 
+def _replicas(queries: DataFrame, cands: DataFrame, kernel: Kernel, n_qb: int, n_ch: int, more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The two sides of the cogroup: each query once per chunk, each candidate once per query block."""
+    # Fresh names on both sides: the two inputs often derive from the same table. The cogroup
+    # keys must have the same type on both sides (long), or equal keys hash apart.
+    q_rep = (queries.select(F.col("q").alias("q"), *[F.col(c).alias("q__" + c)
+                                                     for c in kernel.q_cols + kernel.q_scalars], *more)
+             .withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(n_qb)).cast("long"))
+             .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_ch - 1).cast("long")))))
+    c_rep = (cands.select(F.col("id").alias("id"), *[F.col(c).alias("c__" + c) for c in kernel.c_cols])
+             .withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(n_ch)).cast("long"))
+             .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_qb - 1).cast("long")))))
+    return q_rep, c_rep
+
+
+def _ranked(local: DataFrame, kernel: Kernel, k: int) -> DataFrame:
+    """The best ``k`` of the local lists."""
+    w = Window.partitionBy("q", "panel").orderBy(F.col("score").desc(), F.col("id").asc())
+    ranked = local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.select("q", "panel", F.col("rank").cast("long").alias("rank"), "id", "score", *kernel.extra_names)
+
+
 def topk_panels(queries: DataFrame, cands: DataFrame, kernel: Kernel, panels: tuple[str, ...] | list[str], k: int,
                 n_queries: int | None = None, n_cands: int | None = None, query_block: int = MAX_QUERY_BLOCK,
                 cand_chunk: int = MAX_CAND_CHUNK, slice_rows: int | None = None,
@@ -154,6 +183,8 @@ def topk_panels(queries: DataFrame, cands: DataFrame, kernel: Kernel, panels: tu
     spark = queries.sparkSession
     if n_queries is None:
         n_queries = queries.count()
+    if n_queries <= FEW_QUERIES and n_queries * len(panels) * k <= FEW_ENTRIES:
+        return topk_few(queries, cands, kernel, panels, k)
     if n_cands is None:
         n_cands = cands.count()
     if min_groups is None:
@@ -162,27 +193,123 @@ def topk_panels(queries: DataFrame, cands: DataFrame, kernel: Kernel, panels: tu
     if slice_rows is None:
         slice_rows = max(8, min(1024, SLICE_ENTRIES // max(1, math.ceil(n_cands / n_ch))))
 
-    # Fresh names on both sides: the two inputs often derive from the same table. The cogroup
-    # keys must have the same type on both sides (long), or equal keys hash apart.
-    q_rep = (queries.select(F.col("q").alias("q"), *[F.col(c).alias("q__" + c)
-                                                     for c in kernel.q_cols + kernel.q_scalars])
-             .withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(n_qb)).cast("long"))
-             .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_ch - 1).cast("long")))))
-    c_rep = (cands.select(F.col("id").alias("id"), *[F.col(c).alias("c__" + c) for c in kernel.c_cols])
-             .withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(n_ch)).cast("long"))
-             .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_qb - 1).cast("long")))))
-
-    extra_fields = [T.StructField(e, T.DoubleType()) for e in kernel.extra_names]
-    schema = T.StructType([T.StructField("q", T.LongType()), T.StructField("panel", T.StringType()),
-                           T.StructField("id", T.LongType()), T.StructField("score", T.DoubleType())]
-                          + extra_fields)
+    q_rep, c_rep = _replicas(queries, cands, kernel, n_qb, n_ch)
     udf = _make_udf(kernel, panels, k, slice_rows)
     local = (q_rep.groupBy("qb", "chunk").cogroup(c_rep.groupBy("qb", "chunk"))
-             .applyInPandas(lambda a, b: udf(a, b), schema=schema))
+             .applyInPandas(lambda a, b: udf(a, b), schema=_schema(kernel)))
+    return _ranked(local, kernel, k)
+
+
+def _schema(kernel: Kernel) -> T.StructType:
+    return T.StructType([T.StructField("q", T.LongType()), T.StructField("panel", T.StringType()), T.StructField("id", T.LongType()),
+                         T.StructField("score", T.DoubleType())] + [T.StructField(e, T.DoubleType()) for e in kernel.extra_names])
+
+
+# Our own bounds on the plan for a few queries: rows sent to every task, and entries of a task's lists.
+FEW_QUERIES, FEW_ENTRIES = 64, 1 << 20
+
+
+def topk_few(queries: DataFrame, cands: DataFrame, kernel: Kernel, panels: tuple[str, ...] | list[str], k: int) -> DataFrame:
+    """:func:`topk_panels` for queries that every task can hold (at most :data:`FEW_QUERIES` rows are collected): candidates are
+    read where they lie and never shuffled; a task merges each stretch of them into its lists of ``k``."""
+    rows = queries.select("q", *kernel.q_cols, *kernel.q_scalars).limit(FEW_QUERIES + 1).toPandas()
+    if len(rows) > FEW_QUERIES:
+        raise ValueError(f"more than {FEW_QUERIES} queries")
+    sent = queries.sparkSession.sparkContext.broadcast(rows.rename(columns={c: "q__" + c for c in kernel.q_cols + kernel.q_scalars}))
+    find = _make_udf(kernel, tuple(panels), k, max(8, len(rows)))
+    names = ["q", "panel", "id", "score", *kernel.extra_names]
+
+    def scan(frames):
+        best = pd.DataFrame({n: [] for n in names})
+        for cdf in frames:
+            found = find(sent.value, cdf)
+            if len(found):
+                both = pd.concat([best, found], ignore_index=True) if len(best) else found
+                both = both.sort_values(["q", "panel", "score", "id"], ascending=[True, True, False, True], kind="stable")
+                best = both[both.groupby(["q", "panel"], sort=False).cumcount() < k]
+        if len(best):
+            yield best[names].astype({"q": "int64", "id": "int64"})
+    local = cands.select("id", *[F.col(c).alias("c__" + c) for c in kernel.c_cols]).mapInPandas(scan, _schema(kernel))
+    return _ranked(local, kernel, k)
+
+
+def _bins(score: np.ndarray) -> np.ndarray:
+    """Numbers that rise with the (rounded) score: its sign, exponent and first bits, 512 bins a power of two."""
+    bits = (score + 0.0).view(np.int64)
+    return np.where(bits >= 0, bits, np.int64(-1 << 63) - bits) >> 43
+
+
+def _scored(kernel: Kernel, panels: tuple[str, ...], slice_rows: int, emit):
+    """A cogroup function that calls ``emit(queries' frame rows, panel, scores, extras, candidate ids)`` for slices of queries."""
+    def run(qdf: pd.DataFrame, cdf: pd.DataFrame):
+        out = []
+        if len(qdf) and len(cdf):
+            cdf = cdf.sort_values("id", kind="stable")
+            cm = kernel.prepare_c({c: _stack(cdf["c__" + c]) for c in kernel.c_cols})
+            cm["_id"] = cdf["id"].to_numpy(dtype=np.int64)
+            for at in range(0, len(qdf), slice_rows):
+                own = qdf.iloc[at:at + slice_rows]
+                qm = kernel.prepare_q({c: _stack(own["q__" + c]) for c in kernel.q_cols})
+                for c in kernel.q_scalars:
+                    qm[c] = own["q__" + c].to_numpy(dtype=np.int64)
+                scores = kernel.scores(qm, cm)
+                extras = kernel.extras(qm, cm) if kernel.extras else {}
+                for p in panels:
+                    out.append(emit(own, p, np.round(scores[p](), SCORE_DECIMALS), extras, cm["_id"]))
+        return out
+    return run
+
+
+def rank_interval(queries: DataFrame, cands: DataFrame, kernel: Kernel, panels: tuple[str, ...] | list[str], first: int, last: int,
+                  n_queries: int | None = None, n_cands: int | None = None, query_block: int = MAX_QUERY_BLOCK,
+                  cand_chunk: int = MAX_CAND_CHUNK) -> DataFrame:
+    """Ranks ``first`` to ``last`` of each (query, panel), as :func:`topk_panels` numbers them, in two passes.
+
+    The first counts the scores of every block and chunk by bins; the merged counts tell in which bins the wanted ranks lie, and
+    how many pairs stand above them. The second emits the pairs in those bins. No task holds a list: its memory is a slice of scores.
+    """
+    panels = tuple(panels)
+    parallel = 2 * queries.sparkSession.sparkContext.defaultParallelism
+    n_queries = queries.count() if n_queries is None else n_queries
+    n_cands = cands.count() if n_cands is None else n_cands
+    n_qb, n_ch = plan_blocks(n_queries, n_cands, parallel, query_block, cand_chunk)
+    slice_rows = max(8, min(1024, SLICE_ENTRIES // max(1, math.ceil(n_cands / n_ch))))
+
+    def tally(own, p, s, extras, ids):
+        ok = np.isfinite(s)
+        code, n = np.unique((np.nonzero(ok)[0] << 22) + _bins(s[ok]) + (1 << 21), return_counts=True)
+        return pd.DataFrame({"q": own["q"].to_numpy(dtype=np.int64)[code >> 22], "panel": p, "bin": (code & (1 << 22) - 1) - (1 << 21), "n": n})
+    count = _scored(kernel, panels, slice_rows, tally)
+    q_rep, c_rep = _replicas(queries, cands, kernel, n_qb, n_ch)
+    empty = {"q": [], "panel": [], "bin": [], "n": []}
+    counts = (q_rep.groupBy("qb", "chunk").cogroup(c_rep.groupBy("qb", "chunk")).applyInPandas(
+        lambda a, b: pd.concat([pd.DataFrame(empty), *count(a, b)]).astype({"q": "int64", "bin": "int64", "n": "int64"}),
+        "q long, panel string, bin long, n long").groupBy("q", "panel", "bin").agg(F.sum("n").alias("n")))
+    w = Window.partitionBy("q", "panel").orderBy(F.col("bin").desc())  # at most one row a bin
+    above = counts.withColumn("above", F.sum("n").over(w) - F.col("n"))
+    band = above.where((F.col("above") < last) & (F.col("above") + F.col("n") >= first)).groupBy("q", "panel").agg(
+        F.min("bin").alias("low"), F.max("bin").alias("high"), F.min("above").alias("above"))
+    # One struct a panel, so that a query's row carries the bands of all its panels.
+    bands = checkpoint(band.groupBy("q").pivot("panel", list(panels)).agg(F.first(F.struct("low", "high", "above"))))
+    wanted = queries.join(bands.select("q", *[F.col(p)["low"].alias(f"low__{p}") for p in panels],
+                                       *[F.col(p)["high"].alias(f"high__{p}") for p in panels]), "q")
+
+    def pick(own, p, s, extras, ids):
+        low, high = (own[f"{x}__{p}"].fillna(d).to_numpy(dtype=np.int64)[:, None] for x, d in (("low", 1), ("high", 0)))
+        b = _bins(np.where(np.isfinite(s), s, 0.0))
+        r, c = np.nonzero(np.isfinite(s) & (b >= low) & (b <= high))
+        frame = {"q": own["q"].to_numpy(dtype=np.int64)[r], "panel": p, "id": ids[c], "score": s[r, c]}
+        return pd.DataFrame(frame | {e: np.round(extras[e]()[r, c], SCORE_DECIMALS) for e in kernel.extra_names})
+    choose = _scored(kernel, panels, slice_rows, pick)
+    q_rep, c_rep = _replicas(wanted, cands, kernel, n_qb, n_ch, tuple(f"{x}__{p}" for x in ("low", "high") for p in panels))
+    none = {f.name: [] for f in _schema(kernel)}
+    local = q_rep.groupBy("qb", "chunk").cogroup(c_rep.groupBy("qb", "chunk")).applyInPandas(
+        lambda a, b: pd.concat([pd.DataFrame(none), *choose(a, b)]).astype({"q": "int64", "id": "int64"}), _schema(kernel))
+    start = bands.select("q", F.explode(F.array(*[F.struct(F.lit(p).alias("panel"), F.col(p)["above"].alias("above")) for p in panels])).alias("x")).select(
+        "q", "x.panel", "x.above")
     w = Window.partitionBy("q", "panel").orderBy(F.col("score").desc(), F.col("id").asc())
-    ranked = local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.select("q", "panel", F.col("rank").cast("long").alias("rank"), "id", "score",
-                         *kernel.extra_names)
+    out = local.withColumn("n", F.row_number().over(w)).join(start, ["q", "panel"]).withColumn("rank", (F.col("above") + F.col("n")).cast("long"))
+    return out.where(F.col("rank").between(first, last)).select("q", "panel", "rank", "id", "score", *kernel.extra_names)
 
 
 # ---------------------------------------------------------------------------------------

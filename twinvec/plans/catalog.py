@@ -743,26 +743,25 @@ def roundtrip_q(spark, sf_dir):
 
 
 @register("untied_step")
-def untied_step_q(spark, sf_dir):
-    """The untied step over the whole epoch-0 stream in sync rounds of ``pairs_per_round`` pairs a shard (input
-    rows start at theta0, output rows at zero, five per-pair negatives); rows only: the summed change per table."""
-    from twinvec.operators import training as TR
-    from twinvec.operators.sampling import noise, per_pair_negatives
-    stream = _stream(spark, sf_dir).withColumn("lr", F.lit(P.learning_rate))
-    negs = per_pair_negatives(stream, noise(I.vocab(spark, sf_dir)), NEG_PAIR_K, P.seed, 0)
-    theta_in = _theta0(spark, sf_dir)
-    theta_out = theta_in.select("word_id", F.transform("vec", lambda e: F.lit(0.0).cast("float")).alias("vec"))
-    new_in, new_out = TR.untied_epoch(stream, negs, theta_in, theta_out, P.shards, max(1, P.pairs_per_round // P.batch_size))
+def untied_step_q(spark, sf_dir, epochs=1, dim=TRAIN_DIM, neg_k=NEG_PAIR_K):
+    """An untied run over the whole pair stream (input rows start at theta0, output rows at zero); rows only: the summed
+    change per table. Unless given: 1 epoch, 64 dimensions and 5 negatives a pair (the trainer's defaults: 15, 200 and 100)."""
+    from twinvec.operators.training import train
+    _, vocab, enc, total = I.corpus(spark, sf_dir)
+    st = train(enc, vocab, total, P, dim=dim, epochs=epochs, theta=_theta0(spark, sf_dir, dim), neg_k=neg_k, tied=False)
+
     def summary(df, which):
         flat = df.select(F.explode("vec").alias("v"))
         return flat.agg(F.lit(which).alias("which"), F.count(F.lit(1)).alias("n"),
                         F.round(F.sum(F.abs("v")), 6).alias("sum_abs"))
-    return summary(new_in, "in").unionByName(summary(new_out, "out"))
+    return summary(st.theta, "in").unionByName(summary(st.theta_out, "out"))
 
 
 def queries() -> dict[str, Query]:
+    from twinvec.plans import runs, searches  # noqa: F401 (they register their queries)
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from twinvec.plans import runs, searches  # noqa: F401
     return dict(ORACLE)
