@@ -38,7 +38,7 @@ from twinvec.session import checkpoint, discard
 MIN_COUNT, LONGEST, TOP = 30, 4, 2000
 #: A longer phrase takes a shorter one's place if it makes up this share (in hundredths) of its occurrences; scale of scores.
 COVERS, SCALE = 80, 2_000_000
-BLOCK_BYTES, SHARD_BYTES = 4 << 20, 8 << 20
+BLOCK_BYTES, SHARD_BYTES, SALTS = 4 << 20, 8 << 20, 64
 NONE = np.uint32(0xFFFFFFFF)
 BREAK, BLANK = 10, 32
 
@@ -337,7 +337,10 @@ def mine(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, to
         found = t if found is None else found.unionByName(t)
     w = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
     best = found.select("lang", "phrase", "a", "cut.l", "cut.r", F.col("cut.score").cast("long").alias("score"))
-    best = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    # Of a language's phrases first the best of each salt, so that the last step has at most SALTS * top rows of a language.
+    part = Window.partitionBy("lang", "salt").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
+    best = best.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= top)
+    best = best.drop("salt").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
     return best.join(n, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
