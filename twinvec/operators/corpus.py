@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 
 from twinvec.functions.rand import uniform
 from twinvec.functions.text import split_tokens
-from twinvec.operators.joins import lookup_join
+from twinvec.operators.joins import lookup_arrays, lookup_join
 from twinvec.operators.ordering import (dense_prefix, key_prefix, ordered_prefix, row_number_global,
                                         windowed_prefix)
 from twinvec.params import Word2VecParams
-from twinvec.session import checkpoint
+from twinvec.session import checkpoint, discard
 
 UNK = "UNK"
 
@@ -106,6 +106,25 @@ def encode(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
                          F.coalesce("freq", F.lit(int(unk_freq))).cast("long").alias("freq"))
 
 
+def encode_documents(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The stored ``encoded(g, word_id, freq)`` of documents in ``id_col`` order (unique integers).
+
+    Each text becomes an array of ids where it lies; only these arrays meet the documents' offsets. A vocabulary that a task
+    can't hold is joined to the tokens instead (:func:`encode`), which gives the same rows.
+    """
+    ranked = vocab.where(F.col("word_id") >= 1).select("word", "word_id")
+    arrays = lookup_arrays(docs.select(F.col(id_col).alias("_doc"), split_tokens(text_col).alias("_w")), "_w", ranked, "ids")
+    if arrays is None:
+        return checkpoint(encode(documents_tokens(docs, id_col, text_col), vocab))
+    arrays = checkpoint(arrays)
+    offsets = key_prefix(arrays.select("_doc", F.size("ids").cast("long").alias("_n")), "_doc", {"_off": F.col("_n")}).select("_doc", "_off")
+    ids = arrays.join(offsets, "_doc").select("_off", F.posexplode("ids").alias("_pos", "word_id"))
+    ids = ids.select((F.col("_off") + F.col("_pos")).alias("g"), F.coalesce("word_id", F.lit(0)).cast("long").alias("word_id"))
+    out = checkpoint(lookup_join(ids, vocab.select("word_id", "freq"), "word_id").select("g", "word_id", "freq"))
+    discard(arrays)
+    return out
+
+
 def keep_probability(freq: Column, total_tokens: int, threshold: float) -> Column:
     """P5: ``(sqrt(f/(tN)) + 1) * tN / f`` (may exceed 1)."""
     tn = F.lit(float(threshold) * float(total_tokens))
@@ -214,7 +233,7 @@ def prepare_corpus(docs: DataFrame, params: Word2VecParams, id_col: str = "doc_i
     vocab = build_vocab(toks, params.min_count, text_word_counts(docs, text_col))
     total = int(vocab.agg(F.sum("freq")).first()[0] or 0)
     check_enough_data(total, params.window_size)
-    enc = checkpoint(encode(toks, vocab))  # the id corpus is reused by every epoch
+    enc = encode_documents(docs, vocab, id_col, text_col)  # the id corpus is reused by every epoch
     return toks, vocab, enc, total
 
 

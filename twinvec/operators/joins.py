@@ -3,10 +3,14 @@
 A broadcast is used only after the row count of the small side is checked; beyond the
 bound the join is shuffled with the big side salted, so one hot key (a frequent word can
 hold a large share of all tokens) is spread over ``salt`` tasks instead of one.
+
+:func:`lookup_arrays` looks up whole arrays of words where they lie, so that a text becomes numbers before it moves.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,3 +29,31 @@ def lookup_join(big: DataFrame, small: DataFrame, key: str | list[str], how: str
     big_s = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salt)).cast("int"))
     small_s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     return big_s.join(small_s, keys + ["_salt"], how).drop("_salt")
+
+
+# Our own bound on the words that every task holds for lookup_arrays.
+MAX_LOOKUP_BYTES = 128 << 20
+
+
+def lookup_arrays(df: DataFrame, words: str, table: DataFrame, out: str) -> DataFrame | None:
+    """``df`` with its column ``words`` (array of strings, not null) replaced by ``out``: the ``word_id`` of each word by
+    ``table(word, word_id)``, null where it has none. None if the words of ``table`` are more than :data:`MAX_LOOKUP_BYTES`."""
+    size = table.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("word")).alias("b")).first()
+    if 12 * size["n"] + (size["b"] or 0) > MAX_LOOKUP_BYTES:
+        return None
+    held = table.select("word", F.col("word_id").cast("long")).toArrow().combine_chunks()
+    sent = df.sparkSession.sparkContext.broadcast(held)
+    rest = [f for f in df.schema.fields if f.name != words]
+
+    def run(batches):
+        known = None
+        for b in batches:
+            lists = b[words]
+            flat, starts = lists.flatten(), lists.offsets
+            if known is None:
+                known, ids = pc.SetLookupOptions(sent.value["word"].cast(flat.type).combine_chunks()), sent.value["word_id"].combine_chunks()
+            found = ids.take(pc.index_in(flat, options=known))
+            kind = pa.list_(pa.int64()) if pa.types.is_list(lists.type) else pa.large_list(pa.int64())
+            array = (pa.ListArray if pa.types.is_list(lists.type) else pa.LargeListArray).from_arrays(pc.subtract(starts, starts[0]), found)
+            yield pa.RecordBatch.from_arrays([b[f.name] for f in rest] + [array.cast(kind)], names=[f.name for f in rest] + [out])
+    return df.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [f"`{out}` array<bigint>"]))

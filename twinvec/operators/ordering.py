@@ -123,3 +123,21 @@ def row_number_global(df: DataFrame, order: list[Column], name: str, start: int
     """Global 1-based (or ``start``-based) row number in a unique total order, distributed."""
     out = ordered_prefix(df, order, {name: F.lit(1).cast("long")}, n_parts=n_parts)
     return out.withColumn(name, F.col(name) + F.lit(start))
+
+
+def next_value(df: DataFrame, key: str, value: str, out: str, block: int = DEFAULT_BLOCK, top_rows: int = DEFAULT_BLOCK) -> DataFrame:
+    """``df`` with ``out``: the ``value`` of the row with the next larger integer ``key`` (unique), null for the last.
+
+    Inside a block of consecutive keys it is ``lead``; a block's last row takes the first value of the next block that has rows, from a
+    table of one row a block, found in the same way. A window partition has at most ``block`` rows, the last one ``top_rows``.
+    """
+    st = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()  # two scalars
+    if st["lo"] is None or int(st["hi"]) - int(st["lo"]) < top_rows:
+        return df.select("*", F.lead(value).over(Window.orderBy(key)).alias(out))
+    nb = f"_n{key}"  # another name on each level, where the key is the block's number of the level below
+    blk = F.floor(F.col(key) / F.lit(block)).cast("long")
+    w = Window.partitionBy(nb).orderBy(key)
+    local = df.withColumn(nb, blk).select("*", F.lead(value).over(w).alias("_nv"), F.lead(key).over(w).isNull().alias("_nl"))
+    firsts = df.groupBy(blk.alias(nb)).agg(F.min_by(value, key).alias("_nf"))
+    borders = next_value(firsts, nb, "_nf", "_after", block, top_rows).select(nb, "_after")
+    return local.join(borders, nb).select(*df.columns, F.when(F.col("_nl"), F.col("_after")).otherwise(F.col("_nv")).alias(out))

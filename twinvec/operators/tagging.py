@@ -1,8 +1,10 @@
 """Next-tag evaluation.
 
 A softmax regression reads the unit vector of the current word and predicts the tag of the
-next word. The data set is built with an equi self-join on ``g + 1`` (no window over the
-whole corpus), words without an id are dropped, the first ``floor(0.8 n)`` rows train and
+next word. For documents the data set is built in one pass over the text: ids and tags are arrays from where the text lies, a
+token's next tag is the next array element, and a document's last token takes the first tag of the next document that has tokens
+(:func:`next_tag_documents`). A table of tagged tokens is shifted by an equi self-join on ``g + 1`` (no window over the
+whole corpus). Words without an id are dropped, the first ``floor(0.8 n)`` rows train and
 the rest test. The reference fits with 101 epochs of minibatch SGD; the model is convex, so
 Spark ML's distributed L-BFGS fit reaches the same optimum family; we compare accuracies,
 not weights.
@@ -16,9 +18,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinvec.functions.text import split_tokens
 from twinvec.functions.vectors import l2_normalize, x_part, y_part
-from twinvec.operators.joins import lookup_join
-from twinvec.operators.ordering import dense_prefix
+from twinvec.operators.corpus import documents_tokens
+from twinvec.operators.joins import lookup_arrays, lookup_join
+from twinvec.operators.ordering import dense_prefix, key_prefix, next_value
 from twinvec.session import checkpoint
 
 TRAIN_FRACTION = 0.8
@@ -26,12 +30,48 @@ TRAIN_FRACTION = 0.8
 TAG_BATCH = 64
 
 
+def rule_tag(w: F.Column) -> F.Column:
+    """Stand-in tagger: PUNCT / SHORT / LONG / MID."""
+    return (F.when(w.endswith(".") | w.endswith(","), "PUNCT").when(F.length(w) <= 3, "SHORT")
+            .when(F.length(w) >= 9, "LONG").otherwise("MID"))
+
+
 def rule_tags(tokens: DataFrame) -> DataFrame:
-    """Stand-in tagger for a raw corpus ``tokens(g, word)``: PUNCT / SHORT / LONG / MID (S3 input)."""
-    w = F.col("word")
-    tag = (F.when(w.endswith(".") | w.endswith(","), "PUNCT").when(F.length(w) <= 3, "SHORT")
-           .when(F.length(w) >= 9, "LONG").otherwise("MID"))
-    return tokens.select("g", F.lower(w).alias("word"), tag.alias("tag"))
+    """:func:`rule_tag` for a raw corpus ``tokens(g, word)`` (S3 input)."""
+    return tokens.select("g", F.lower("word").alias("word"), rule_tag(F.col("word")).alias("tag"))
+
+
+def next_tag_documents(docs: DataFrame, vocab: DataFrame, with_vector_ids: DataFrame | None = None, tag=rule_tag, id_col: str = "doc_id",
+                       text_col: str = "text") -> DataFrame:
+    """E3, W4, P11, W6 for texts in ``id_col`` order (unique integers): the rows of :func:`next_tag_dataset`.
+
+    Positions, the first tag of the next document and the split are worked out on a table of one row a document.
+    """
+    ids = vocab.select("word", "word_id")
+    if with_vector_ids is not None:
+        ids = ids.join(with_vector_ids.select("word_id"), "word_id", "left_semi")
+    words = split_tokens(text_col)
+    texts = docs.select(F.col(id_col).alias("_doc"), F.transform(words, tag).alias("tags"), F.transform(words, F.lower).alias("_w"))
+    arrays = lookup_arrays(texts, "_w", ids, "ids")
+    if arrays is None:
+        return next_tag_dataset(documents_tokens(docs, id_col, text_col).select("g", F.lower("word").alias("word"), tag(F.col("word")).alias("tag")),
+                                vocab, with_vector_ids)
+    arrays = checkpoint(arrays)
+    per = arrays.select("_doc", F.size("ids").cast("long").alias("n"), F.size(F.filter("ids", lambda x: x.isNotNull())).cast("long").alias("known"),
+                        F.element_at("ids", -1).isNotNull().alias("last_known"), F.get("tags", F.lit(0)).alias("first")).where("n > 0")
+    per = checkpoint(next_value(per, "_doc", "first", "after"))
+    per = per.withColumn("known", F.col("known") - (F.col("last_known") & F.col("after").isNull()).cast("long"))  # the last token has no next tag
+    total = int(per.agg(F.sum("known")).first()[0] or 0)
+    n_train = (total * 4) // 5  # floor(0.8 n) in exact integer arithmetic
+    place = key_prefix(per, "_doc", {"off": F.col("n"), "known_off": F.col("known")}).select("_doc", "after", "off", "known_off")
+    row = arrays.join(place, "_doc")
+    nexts = F.concat(F.slice("tags", 2, F.size("tags")), F.array("after"))
+    rows = F.transform(F.arrays_zip("ids", nexts.alias("tag")), lambda x, i: F.struct(i.alias("i"), x["ids"].alias("word_id"), x["tag"].alias("tag")))
+    rows = F.filter(rows, lambda x: x["word_id"].isNotNull() & x["tag"].isNotNull())
+    out = row.select("off", "known_off", F.posexplode(rows).alias("p", "x"))
+    pos = F.col("known_off") + F.col("p")
+    return out.select((F.col("off") + F.col("x.i")).alias("g"), pos.alias("pos"), F.col("x.word_id").alias("word_id"), F.col("x.tag").alias("tag"),
+                      F.when(pos < n_train, "train").otherwise("test").alias("split"))
 
 
 def next_tag_dataset(tagged: DataFrame, vocab: DataFrame, with_vector_ids: DataFrame | None = None) -> DataFrame:

@@ -67,8 +67,8 @@ UNION ALL
 SELECT 0::BIGINT, 'UNK', coalesce(sum(freq) FILTER (WHERE freq < {S.MIN_COUNT}), 0)::BIGINT FROM conv_counts""")
 def conversation_vocab_q(spark, sf_dir):
     """S1, A1, A3, W1 on the second corpus: conversation turns in (conv_id, turn, pos) order."""
-    toks = C.ordered_tokens(I.table(spark, sf_dir, "conversations"), ["conv_id", "turn"])
-    return C.build_vocab(toks, P.min_count)
+    turns = I.table(spark, sf_dir, "conversations")
+    return C.build_vocab(None, P.min_count, C.text_word_counts(turns))  # counting needs no order
 
 
 @register("conversation_positions", f"""WITH {CONV_VOCAB_SQL}
@@ -650,10 +650,8 @@ dsplit AS (SELECT *, (n * 4) // 5 AS n_train, CASE WHEN pos < (n * 4) // 5 THEN
 
 
 def _next_tag(spark, sf_dir):
-    from twinvec.operators.tagging import next_tag_dataset, rule_tags
-    docs = I.table(spark, sf_dir, "documents")
-    tagged = rule_tags(C.documents_tokens(docs))
-    return next_tag_dataset(tagged, I.vocab(spark, sf_dir), I.emb(spark, sf_dir).select("word_id"))
+    from twinvec.operators.tagging import next_tag_documents
+    return next_tag_documents(I.table(spark, sf_dir, "documents"), I.vocab(spark, sf_dir), I.emb(spark, sf_dir).select("word_id"))
 
 
 @register("next_tag_data", f"""WITH {S.VOCAB}, {TAGGED_SQL}
