@@ -73,3 +73,21 @@ def test_writers(spark):
     rep = spark.createDataFrame([(5, "near_w", 1, "cat"), (6, "near_w", 1, "dog")], "q long, panel string, rank long, word string")
     write_report(rep, os.path.join(d, "rep"))
     assert {x for x in os.listdir(os.path.join(d, "rep")) if x.startswith("q=")} == {"q=5", "q=6"}
+
+
+def test_many_words_share_a_bounded_number_of_files(spark, tmp_path):
+    from twinvec.operators.neighbors import panels_side_by_side
+    from twinvec.sources.sinks import write_report_files
+
+    rows = [(q, p, r, f"w{q + r}", 1.0 / r) for q in range(95) for p in ("near_w", "far_y") for r in range(1, 4) if (p, r, q % 2) != ("far_y", 3, 1)]
+    rep = spark.createDataFrame(rows, "q long, panel string, rank long, word string, score double")
+    write_report_files(rep, f"{tmp_path}/long", words_per_file=20)
+    parts = list((tmp_path / "long").glob("part-*"))
+    assert 1 < len(parts) <= 5
+    seen = [set(r["q"] for r in spark.read.parquet(str(p)).collect()) for p in parts]
+    assert sum(map(len, seen)) == 95
+    wide = panels_side_by_side(rep, ("near_w", "far_y"), ("word", "score"))
+    write_report_files(wide, f"{tmp_path}/wide", "csv", words_per_file=50)
+    back = spark.read.option("header", True).csv(f"{tmp_path}/wide")
+    assert back.columns == ["q", "rank", "near_w_word", "near_w_score", "far_y_word", "far_y_score"] and back.count() == 95 * 3
+    assert back.where("far_y_word is null").count() == 47  # the shorter panel is padded

@@ -21,6 +21,28 @@ def test_next_tag_accuracy_near_one_when_tag_follows_the_word(spark):
     assert acc[("w", "train")] > 0.95 and acc[("w", "test")] > 0.95
 
 
+def test_cells_give_the_costs_of_the_rows(spark):
+    from twinvec.operators.tagging import TAG_BATCH, tag_cells, tag_cost
+
+    rng = np.random.default_rng(7)
+    n, n_train = 700, 560
+    word, tag = rng.integers(0, 12, n), rng.integers(0, 3, n)
+    data = spark.createDataFrame([(p, int(word[p]), "abc"[tag[p]], "train" if p < n_train else "test") for p in range(n)],
+                                 "pos long, word_id long, tag string, split string")
+    assert tag_cells(data).count() <= 12 * 3 * 2
+    vec = rng.normal(0, 1, (12, 4))
+    emb = spark.createDataFrame([(i, [float(x) for x in vec[i]]) for i in range(12)], "word_id long, vec array<float>")
+    w = rng.normal(0, 2, (3, 4))
+    got = {r["split"]: r for r in tag_cost(data, emb, {t: list(w[i]) for i, t in enumerate("abc")}, "w").collect()}
+    z = (vec / np.linalg.norm(vec, axis=1)[:, None])[word] @ w.T
+    cost = np.log(np.exp(z).sum(1)) - z[np.arange(n), tag]
+    batches = np.array_split(cost[:n_train], n_train // TAG_BATCH)
+    assert abs(got["train"]["ref_cost"] - sum(b.mean() for b in batches) / n_train) < 1e-5 and got["test"]["ref_cost"] is None
+    for split, own in (("train", slice(0, n_train)), ("test", slice(n_train, n))):
+        assert abs(got[split]["mean_cost"] - cost[own].mean()) < 1e-5
+        assert abs(got[split]["accuracy"] - (z.argmax(1) == tag)[own].mean()) < 1e-6
+
+
 def test_pca_recovers_planted_plane(spark):
     rng = np.random.default_rng(1)
     a, b = rng.normal(0, 5, 200), rng.normal(0, 2, 200)

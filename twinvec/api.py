@@ -21,6 +21,7 @@ corpus_from_text = read_text_corpus
 corpus_from_table = _corpus.documents_tokens
 build_vocab = _corpus.build_vocab
 encode = _corpus.encode
+encode_documents = _corpus.encode_documents
 subsample = _corpus.subsample
 skipgram_pairs = _corpus.epoch_pairs
 pair_stream = _corpus.epoch_stream
@@ -33,6 +34,8 @@ sample_pair_negatives = _sampling.per_pair_negatives
 # Training
 fit = _training.train
 resume = _training.resume
+resume_from = _training.resume_from
+continue_run = _training.continue_run
 save = _training.save
 restore = _training.restore
 
@@ -45,6 +48,7 @@ nearby = _nb.nearby
 similarities = _nb.similarities
 neighbor_report = _nb.neighbor_report
 neighbor_report_wide = _nb.report_wide
+panels_side_by_side = _nb.panels_side_by_side
 neighborhood = _nb.neighborhood
 lookup_ids = _nb.lookup_ids
 
@@ -64,6 +68,7 @@ eval_analogies = _analogy.evaluate
 eval_analogy_objectives = _analogy.eval_objectives
 eval_similarity = _evaluate.eval_similarity
 next_tag_dataset = _tagging.next_tag_dataset
+next_tag_documents = _tagging.next_tag_documents
 eval_next_tag = _tagging.tag_accuracy
 
 __all__ = [n for n in dir() if not n.startswith("_") and n != "annotations"] + ["project_2d", "read_similarity",

@@ -78,6 +78,17 @@ def report_wide(report: DataFrame) -> DataFrame:
     return wide.select("q", "rank", *[F.col(p).alias(f"{p}_word") for p in panels])
 
 
+MEASURES = ("word", "score", "cos_w", "cos_x", "cos_y")
+
+
+def panels_side_by_side(report: DataFrame, panels, measures=MEASURES, key: str = "q") -> DataFrame:
+    """J6 in full: one row per ``(key, rank)`` with columns ``<panel>_<measure>``, the two header levels of the reference's table. One
+    aggregation; a panel shorter than another is padded with NULL."""
+    cell = F.struct(*measures)
+    wide = report.groupBy(key, "rank").agg(*[F.first(F.when(F.col("panel") == p, cell), ignorenulls=True).alias(p) for p in panels])
+    return wide.select(key, "rank", *[F.col(p)[m].alias(f"{p}_{m}") for p in panels for m in measures])
+
+
 def near_words(emb: DataFrame, vocab: DataFrame, words: DataFrame, k: int | dict | None = 20, panels=REPORT_PANELS, **kw) -> DataFrame:
     """P13 + P10 + N8: the report for query words ``words(word)``; unknown words ask for the UNK vector (id 0).
 

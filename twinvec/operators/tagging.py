@@ -12,6 +12,8 @@ not weights.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -106,36 +108,57 @@ def unit_features(emb: DataFrame, kind: str) -> DataFrame:
     return emb.select("word_id", array_to_vector(l2_normalize(col)).alias("features"))
 
 
+def tag_cells(data: DataFrame) -> DataFrame:
+    """``word_id, tag, split, n, batch_share``: the rows of a data set by what the model sees of them, stored.
+
+    All rows of a cell have the same features and label, so a weighted fit on the cells is the fit on the rows; there are at most
+    words x tags x 2 of them, however long the corpus. ``batch_share`` adds up one over the size of each training row's batch.
+    """
+    n_train = data.where(F.col("split") == "train").count()
+    parts = max(1, n_train // TAG_BATCH)
+    base, extra = divmod(n_train, parts)
+    share = F.when(F.col("pos") < extra * (base + 1), F.lit(1.0 / (base + 1))).otherwise(F.lit(1.0 / max(base, 1)))
+    return checkpoint(data.groupBy("word_id", "tag", "split").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("split") == "train", share).otherwise(0.0)).alias("batch_share")))
+
+
+def tag_report(judged: DataFrame, kind: str) -> DataFrame:
+    """``kind, split, n, accuracy, mean_cost, ref_cost`` of cells with ``hit`` and ``cost``. ``mean_cost`` is the true mean cross-entropy;
+    ``ref_cost`` is the sum of the batch means divided by the training rows, which the reference prints (about 1/64 of it)."""
+    rows = F.sum("n")
+    out = judged.groupBy("split").agg(
+        rows.alias("n"), (F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)) / rows).alias("accuracy"), (F.sum(F.col("n") * F.col("cost")) / rows).alias("mean_cost"),
+        F.when(F.first("split") == "train", F.sum(F.col("batch_share") * F.col("cost")) / rows).alias("ref_cost"))
+    return out.select(F.lit(kind).alias("kind"), "split", "n", *[F.round(c, 6).alias(c) for c in ("accuracy", "mean_cost", "ref_cost")])
+
+
 def tag_accuracy(data: DataFrame, emb: DataFrame, kinds=("y", "x", "w"), max_iter: int = 100) -> DataFrame:
     """Multinomial softmax regression per vector kind; accuracy, true mean cost and
     the reference's ``ref_cost`` per (kind, split). ``data`` needs ``pos`` (0-based row order)."""
-    spark = data.sparkSession
-    n_train = data.where(F.col("split") == "train").count()
-    indexer = StringIndexer(inputCol="tag", outputCol="label", stringOrderType="alphabetAsc").fit(data)
-    labeled = indexer.transform(data)
+    cells = tag_cells(data)
+    indexer = StringIndexer(inputCol="tag", outputCol="label", stringOrderType="alphabetAsc").fit(cells)
+    labeled = indexer.transform(cells).withColumn("weight", F.col("n").cast("double"))
     rows = []
     for kind in kinds:
         feats = labeled.join(unit_features(emb, kind), "word_id")
-        train = feats.where(F.col("split") == "train")
-        lr = LogisticRegression(family="multinomial", regParam=0.0, maxIter=max_iter, standardization=False)
-        model = lr.fit(train)
-        pred = model.transform(feats)
-        # Probability of the true tag; A10: mean cross-entropy (the true mean, not the
-        # reference's sum of batch means divided by rows, which is about 1/64 of it).
+        lr = LogisticRegression(family="multinomial", regParam=0.0, maxIter=max_iter, standardization=False, weightCol="weight")
+        pred = lr.fit(feats.where(F.col("split") == "train")).transform(feats)
+        # Probability of the true tag.
         p_true = F.element_at(vector_to_array("probability"), (F.col("label") + 1).cast("int"))
-        cost = -F.log(F.greatest(p_true, F.lit(1e-300)))
-        acc = pred.groupBy("split").agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"),
-                                        F.count(F.lit(1)).alias("n"), F.avg(cost).alias("mean_cost"))
-        # The reference's printed cost: sum of the batch means over the training rows divided by the
-        # number of training rows (batches as numpy.array_split of the ordered rows).
-        per_batch = (pred.where(F.col("split") == "train")
-                     .select(batch_of(F.col("pos"), n_train).alias("_b"), cost.alias("_c"))
-                     .groupBy("_b").agg(F.avg("_c").alias("_m")))
-        ref = per_batch.agg((F.sum("_m") / F.lit(max(n_train, 1))).alias("ref_cost")).withColumn("split", F.lit("train"))
-        acc = acc.join(ref, "split", "left")
-        rows.append(acc.select(F.lit(kind).alias("kind"), "split", "n", F.round("accuracy", 6).alias("accuracy"),
-                               F.round("mean_cost", 6).alias("mean_cost"), F.round("ref_cost", 6).alias("ref_cost")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+        rows.append(tag_report(pred.select("split", "n", "batch_share", (F.col("prediction") == F.col("label")).alias("hit"),
+                                           (-F.log(F.greatest(p_true, F.lit(1e-300)))).alias("cost")), kind))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def tag_cost(data: DataFrame, emb: DataFrame, weights: dict[str, list[float]], kind: str) -> DataFrame:
+    """The same report for a softmax model with given ``weights`` (one row of numbers a tag, no bias); ties go to the first tag."""
+    tags = sorted(weights)
+    col = {"w": F.col("vec"), "x": x_part("vec"), "y": y_part("vec")}[kind]
+    unit = emb.select("word_id", l2_normalize(col).alias("u"))
+    scores = [F.aggregate(F.zip_with("u", F.array(*[F.lit(float(x)) for x in weights[t]]), lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+              for t in tags]
+    cells = tag_cells(data).join(unit, "word_id").withColumn("z", F.array(*scores))
+    own = F.element_at("z", F.array_position(F.array(*[F.lit(t) for t in tags]), F.col("tag")).cast("int"))
+    log_sum = F.array_max("z") + F.log(F.aggregate(F.transform("z", lambda v: F.exp(v - F.array_max("z"))), F.lit(0.0), lambda acc, v: acc + v))
+    best = F.element_at(F.array(*[F.lit(t) for t in tags]), F.array_position("z", F.array_max("z")).cast("int"))
+    return tag_report(cells.select("split", "n", "batch_share", (best == F.col("tag")).alias("hit"), (log_sum - own).alias("cost")), kind)

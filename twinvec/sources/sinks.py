@@ -51,3 +51,15 @@ def write_lines(lines: DataFrame, path: str, order_col: str = "word_id") -> None
 def write_report(report: DataFrame, path: str, fmt: str = "parquet") -> None:
     """One folder per query word (``partitionBy('q')``)."""
     report.write.mode("overwrite").partitionBy("q").format(fmt).option("header", "true").save(path)
+
+
+# Our own bound: query words of one report file.
+WORDS_PER_FILE = 1000
+
+
+def write_report_files(report: DataFrame, path: str, fmt: str = "parquet", key: str = "q", words_per_file: int = WORDS_PER_FILE) -> None:
+    """S9 for many words: about one file for ``words_per_file`` of them instead of a folder a word; a word's rows follow each other in
+    one file, in rank order."""
+    files = max(1, -(-report.select(key).distinct().count() // words_per_file))
+    order = [c for c in (key, "panel", "rank") if c in report.columns]
+    report.repartition(files, key).sortWithinPartitions(*order).write.mode("overwrite").format(fmt).option("header", "true").save(path)
