@@ -233,6 +233,10 @@ def topk_few(queries: DataFrame, cands: DataFrame, kernel: Kernel, panels: tuple
     return _ranked(local, kernel, k)
 
 
+# Pairs that a group of the second pass of rank_interval emits.
+BAND_ENTRIES = 1 << 19
+
+
 def _bins(score: np.ndarray) -> np.ndarray:
     """Numbers that rise with the (rounded) score: its sign, exponent and first bits, 512 bins a power of two."""
     bits = (score + 0.0).view(np.int64)
@@ -266,7 +270,8 @@ def rank_interval(queries: DataFrame, cands: DataFrame, kernel: Kernel, panels:
     """Ranks ``first`` to ``last`` of each (query, panel), as :func:`topk_panels` numbers them, in two passes.
 
     The first counts the scores of every block and chunk by bins; the merged counts tell in which bins the wanted ranks lie, and
-    how many pairs stand above them. The second emits the pairs in those bins. No task holds a list: its memory is a slice of scores.
+    how many pairs stand above them. The second emits the pairs in those bins, from blocks and chunks cut so small that a group has
+    about :data:`BAND_ENTRIES` of them. So no task holds whole lists, whatever their length.
     """
     panels = tuple(panels)
     parallel = 2 * queries.sparkSession.sparkContext.defaultParallelism
@@ -282,7 +287,7 @@ def rank_interval(queries: DataFrame, cands: DataFrame, kernel: Kernel, panels:
     count = _scored(kernel, panels, slice_rows, tally)
     q_rep, c_rep = _replicas(queries, cands, kernel, n_qb, n_ch)
     empty = {"q": [], "panel": [], "bin": [], "n": []}
-    counts = (q_rep.groupBy("qb", "chunk").cogroup(c_rep.groupBy("qb", "chunk")).applyInPandas(
+    counts = checkpoint(q_rep.groupBy("qb", "chunk").cogroup(c_rep.groupBy("qb", "chunk")).applyInPandas(
         lambda a, b: pd.concat([pd.DataFrame(empty), *count(a, b)]).astype({"q": "int64", "bin": "int64", "n": "int64"}),
         "q long, panel string, bin long, n long").groupBy("q", "panel", "bin").agg(F.sum("n").alias("n")))
     w = Window.partitionBy("q", "panel").orderBy(F.col("bin").desc())  # at most one row a bin
@@ -291,6 +296,13 @@ def rank_interval(queries: DataFrame, cands: DataFrame, kernel: Kernel, panels:
         F.min("bin").alias("low"), F.max("bin").alias("high"), F.min("above").alias("above"))
     # One struct a panel, so that a query's row carries the bands of all its panels.
     bands = checkpoint(band.groupBy("q").pivot("panel", list(panels)).agg(F.first(F.struct("low", "high", "above"))))
+    # Groups of the second pass are as small as the share of the pairs that stand in a band asks for.
+    inside = counts.join(band.select("q", "panel", "low", "high"), ["q", "panel"]).where(F.col("bin").between(F.col("low"), F.col("high")))
+    share = (inside.agg(F.sum("n")).first()[0] or 0) / max(1, n_queries * n_cands * len(panels))
+    cells = BAND_ENTRIES / len(panels) / max(share, BAND_ENTRIES / (query_block * cand_chunk))
+    chunk = min(math.ceil(n_cands / n_ch), max(1, math.isqrt(int(cells))))
+    n_qb, n_ch = max(n_qb, math.ceil(n_queries / max(1, cells / chunk))), max(n_ch, math.ceil(n_cands / chunk))
+    slice_rows = max(8, min(1024, SLICE_ENTRIES // max(1, math.ceil(n_cands / n_ch))))
     wanted = queries.join(bands.select("q", *[F.col(p)["low"].alias(f"low__{p}") for p in panels],
                                        *[F.col(p)["high"].alias(f"high__{p}") for p in panels]), "q")
 
