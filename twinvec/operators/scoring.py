@@ -234,7 +234,7 @@ def topk_few(queries: DataFrame, cands: DataFrame, kernel: Kernel, panels: tuple
 
 
 # Pairs that a group of the second pass of rank_interval emits.
-BAND_ENTRIES = 1 << 19
+BAND_ENTRIES = 1 << 17
 
 
 def _bins(score: np.ndarray) -> np.ndarray:
