@@ -238,9 +238,10 @@ BAND_ENTRIES = 1 << 17
 
 
 def _bins(score: np.ndarray) -> np.ndarray:
-    """Numbers that rise with the (rounded) score: its sign, exponent and first bits, 512 bins a power of two."""
+    """Numbers that rise with the (rounded) score: its sign, exponent and first bits, 16 bins a power of two, so that a query has far fewer bins than
+    candidates."""
     bits = (score + 0.0).view(np.int64)
-    return np.where(bits >= 0, bits, np.int64(-1 << 63) - bits) >> 43
+    return np.where(bits >= 0, bits, np.int64(-1 << 63) - bits) >> 48
 
 
 def _scored(kernel: Kernel, panels: tuple[str, ...], slice_rows: int, emit):
@@ -282,8 +283,8 @@ def rank_interval(queries: DataFrame, cands: DataFrame, kernel: Kernel, panels:
 
     def tally(own, p, s, extras, ids):
         ok = np.isfinite(s)
-        code, n = np.unique((np.nonzero(ok)[0] << 22) + _bins(s[ok]) + (1 << 21), return_counts=True)
-        return pd.DataFrame({"q": own["q"].to_numpy(dtype=np.int64)[code >> 22], "panel": p, "bin": (code & (1 << 22) - 1) - (1 << 21), "n": n})
+        code, n = np.unique((np.nonzero(ok)[0] << 17) + _bins(s[ok]) + (1 << 16), return_counts=True)
+        return pd.DataFrame({"q": own["q"].to_numpy(dtype=np.int64)[code >> 17], "panel": p, "bin": (code & (1 << 17) - 1) - (1 << 16), "n": n})
     count = _scored(kernel, panels, slice_rows, tally)
     q_rep, c_rep = _replicas(queries, cands, kernel, n_qb, n_ch)
     empty = {"q": [], "panel": [], "bin": [], "n": []}
