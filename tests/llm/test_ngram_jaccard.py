@@ -68,3 +68,20 @@ def test_components_of_a_long_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(6, 50)] + [(70, 71), (71, 70), (72, 72)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 100 for i in range(100, 161)} | {i: 5 for i in range(5, 50)} | {70: 70, 71: 70}
+
+
+def test_an_id_with_two_texts_is_one_node(spark):
+    a, b = prose(21, 60, 10 ** 6), prose(22, 60, 10 ** 6)
+    near = lambda t: t.rsplit(" ", 1)[0] + " other"
+    got = N.near_duplicates(table(spark, [a, b, near(b), near(a), prose(23, 60, 10 ** 6)], ids=[1, 1, 2, 3, 4])).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
+def test_tables_are_deleted_after_use(spark):
+    import os
+
+    got = N.near_duplicates(table(spark, list(collection(9).values())))
+    root = os.path.dirname(got.stored_at.removeprefix("file:"))
+    held = set(os.listdir(root))
+    again = N.near_duplicates(table(spark, list(collection(9).values())))
+    assert set(os.listdir(root)) - held == {os.path.basename(again.stored_at)}

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinvec.session import checkpoint
+from twinvec.session import checkpoint, discard
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node, component`` for every node of ``links (a, b)``; the component is its smallest node.
+    """``node, component`` for every node of ``links (a, b)``, as a stored table; the component is its smallest node.
 
     Each step keeps at most one row per link and is stored in the shared folder, so a lost executor repeats one step.
     A node with very many links is only ever the key of a combined minimum and of a join that can be split. No links: no rows.
@@ -25,9 +25,12 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("x > n").join(low, "n").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = checkpoint(small.union(low.select("u", "m")).distinct())
-        now = mark(e)
+        after = checkpoint(small.union(low.select("u", "m")).distinct())
+        discard(e)
+        e, now = after, mark(after)
         if now == seen:
             break
         seen = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v")).distinct()
+    named = checkpoint(e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v")).distinct())
+    discard(e)
+    return named

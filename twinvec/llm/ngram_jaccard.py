@@ -9,17 +9,20 @@
    partner.
 3. Equal sets are one class. Classes with the same prefix and size are one group. Groups that share a prefix n-gram
    and fit in size are pairs; pairs of groups are expanded to their members, and these are verified on whole sets.
-   N-grams that many groups share first link every group to one of them (a few rounds with changing centres); then only
-   pairs from different components are left to expand, and of these the ones whose sets must differ too much, as their parities
-   show, are left out; so a large cluster of copies costs a few pairs for each member,
-   and no link between components is lost.
+   N-grams that many groups share first link every group to one of them (a few rounds with changing centres, each on the
+   n-grams whose groups still lie in different components); then only pairs from different components are left to expand, and of
+   these the ones whose sets must differ too much, as their parities show, are left out; so a large cluster of copies costs a few
+   pairs for each member, and no link between components is lost.
 
 Defined results: a null or blank text has an empty set and links with nothing; a text of fewer words than n is one
-n-gram; rows with a null id are not linked, ids that occur twice are one node; extra columns are not read.
+n-gram; rows with a null id are not linked, an id that occurs twice is one node that has the links of all its texts; no rows give
+no rows; extra columns are not read. The result is a stored table.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,13 +34,14 @@ from twinvec.llm.registry import register, table
 from twinvec.session import checkpoint, discard
 
 WORDS, PERCENT = 5, 80
-#: Rounds of linking to centres, pairs per index row that are few enough to expand at once, and pairs that may be broadcast, and bits of a set's parity.
-ROUNDS, FEW_PAIRS, MOST_BROADCAST, BITS = 5, 32, 1_000_000, 512
+#: Rounds of linking to centres (fewer where one leaves more than half of the pairs), pairs per index row that are few enough to
+#: expand at once, pairs that may be broadcast, and bits of a set's parity.
+ROUNDS, FEW_PAIRS, MOST_BROADCAST, BITS = 5, 2, 1_000_000, 512
 
 
 def spare(n: np.ndarray) -> np.ndarray:
     """l(n): n-grams that two linked sets must share in the counted part."""
-    return np.maximum(1, n // 10)
+    return np.maximum(1, n // 5)
 
 
 def part_size(n: np.ndarray, percent: int) -> np.ndarray:
@@ -164,7 +168,6 @@ def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Of the pairs ``(a, b)`` of classes those whose whole sets are similar enough.
 
     Up to ``MOST_BROADCAST`` pairs (16 bytes each) are sent to all tasks to pick the sets they need; more are shuffled to them."""
-    pairs = checkpoint(pairs.distinct())
     near = F.broadcast if pairs.count() <= MOST_BROADCAST else (lambda x: x)
     sets = classes.select("cls", "grams")
     a = sets.join(near(pairs), F.col("cls") == F.col("a")).select("a", "b", F.col("grams").alias("grams_a"))
@@ -173,8 +176,8 @@ def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return a.join(b, "b").where(100 * both >= percent * (F.size("grams_a") + F.size("grams_b") - both)).select("a", "b")
 
 
-def class_components(classes: DataFrame, percent: int) -> DataFrame:
-    """``cls, comp`` for all ``classes (cls, n, prefix, grams)``."""
+def rows_of_classes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``members (gid, cls, n)`` of the groups, and ``index (gram, gid, n)`` of the n-grams that two groups or more have."""
     alike = classes.groupBy(F.xxhash64("prefix").alias("p"), "n").agg(F.min("cls").alias("gid"))
     members = checkpoint(classes.select("cls", "n", F.xxhash64("prefix").alias("p")).join(alike, ["p", "n"]).select("gid", "cls", "n"))
     heads = members.where("gid = cls").select("gid")
@@ -182,43 +185,78 @@ def class_components(classes: DataFrame, percent: int) -> DataFrame:
     shared = every.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
     index = checkpoint(every.join(shared, "gram"))
     discard(every)
-    comp, links = members.select("cls", F.col("cls").alias("comp")), None
+    return members, index
+
+
+def still_apart(open_: DataFrame, turn: int) -> DataFrame:
+    """N-grams whose groups lie in several components: ``gram``, a ``centre``, its ``rows`` and its ``pairs`` of groups that do."""
+    parts = open_.groupBy("gram", "lo").agg(
+        F.count(F.lit(1)).alias("c"), F.max("hi").alias("hi"), F.min(F.struct(F.xxhash64("gid", F.lit(turn)), "gid", "n", "lo", "hi")).alias("centre"))
+    return parts.groupBy("gram").agg(
+        F.min("lo").alias("l"), F.max("hi").alias("h"), F.min("centre").alias("centre"), F.sum("c").alias("rows"),
+        ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")).where("l <> h").drop("l", "h")
+
+
+def last_pairs(open_: DataFrame, own: DataFrame, placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes ``(a, b)`` in different components whose groups share an n-gram, or that are one group, and whose sizes and
+    parities allow a link."""
+    parity = classes.select("cls", "parity")
+    heads = open_.join(parity.withColumnRenamed("cls", "gid"), "gid")
+    x, y = [heads.select("gram", *[F.col(c).alias(c + i) for c in ("gid", "n", "lo", "hi", "m", "parity")]) for i in "12"]
+    lone = (F.col("m1") == 1) & (F.col("m2") == 1)  # a group of one is its head, whose parity is known here
+    groups = x.join(y, "gram").where(
+        (F.col("gid1") < F.col("gid2")) & fits(F.col("n1"), F.col("n2"), percent)
+        & ~((F.col("lo1") == F.col("hi2")) & (F.col("hi1") == F.col("lo2")))
+        & (~lone | near_parity(F.col("parity1"), F.col("parity2"), F.col("n1") + F.col("n2"), percent))
+    ).select("gid1", "gid2", lone.alias("lone")).distinct()
+    same = own.where("lo <> hi").select(F.col("gid").alias("gid1"), F.col("gid").alias("gid2"), F.lit(False).alias("lone"))
+    groups = checkpoint(groups.union(same))
+    one, two = [placed.join(parity, "cls").select(F.col("gid").alias("gid" + i), F.col("cls").alias(c), F.col("comp").alias("comp" + i),
+                                                  F.col("n").alias("n" + i), F.col("parity").alias("parity" + i))
+                for i, c in (("1", "a"), ("2", "b"))]
+    more = groups.where("not lone").drop("lone").join(one, "gid1").join(two, "gid2").where(
+        (F.col("comp1") != F.col("comp2")) & ((F.col("gid1") != F.col("gid2")) | (F.col("a") < F.col("b")))
+        & near_parity(F.col("parity1"), F.col("parity2"), F.col("n1") + F.col("n2"), percent)).select("a", "b")
+    pairs = checkpoint(groups.where("lone").select(F.col("gid1").alias("a"), F.col("gid2").alias("b")).union(more))
+    discard(groups)
+    return pairs
+
+
+def class_components(classes: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """``cls, comp`` for all ``classes (cls, n, prefix, grams, parity)``; ``known (a, b)`` are links given beforehand.
+
+    Components only merge, so an n-gram whose groups are all in one is done: each round goes on with the index rows of the others."""
+    members, index = rows_of_classes(classes)
+    links, comp, before = [known], checkpoint(members.select("cls", F.col("cls").alias("comp"))), float("inf")
     for turn in range(ROUNDS + 1):
         placed = members.join(comp, "cls")
-        own = placed.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"))
+        own = checkpoint(placed.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")))
         open_ = index.join(own, "gid")
-        split = open_.groupBy("gram").agg(F.min("lo").alias("l"), F.max("hi").alias("h"), F.count(F.lit(1)).alias("c"),
-                                          F.min_by(F.struct("gid", "n"), F.xxhash64("gid", F.lit(turn))).alias("centre")).where("l <> h")
-        split = checkpoint(split)
-        work = split.agg(F.sum(F.col("c") * F.col("c")).alias("pairs"), F.sum("c").alias("rows")).first()
-        last = not work["rows"] or work["pairs"] <= FEW_PAIRS * work["rows"] or turn == ROUNDS
-        open_ = open_.join(split.select("gram", "centre"), "gram")
-        if last:  # every pair of groups that is not in one component, expanded to members
-            open_ = open_.join(classes.select(F.col("cls").alias("gid"), "parity"), "gid")
-            x, y = [open_.select("gram", *[F.col(c).alias(c + i) for c in ("gid", "n", "lo", "hi", "m", "parity")]) for i in "12"]
-            lone = (F.col("m1") == 1) & (F.col("m2") == 1)  # a group of one is its head, whose parity is known here
-            groups = x.join(y, "gram").where(
-                (F.col("gid1") < F.col("gid2")) & fits(F.col("n1"), F.col("n2"), percent)
-                & ~((F.col("lo1") == F.col("hi2")) & (F.col("hi1") == F.col("lo2")))
-                & (~lone | near_parity(F.col("parity1"), F.col("parity2"), F.col("n1") + F.col("n2"), percent))
-            ).select("gid1", "gid2").distinct()
-            same = own.where("lo <> hi").select(F.col("gid").alias("gid1"), F.col("gid").alias("gid2"))
-            one, two = [placed.select(F.col("gid").alias("gid" + i), F.col("cls").alias(c), F.col("comp").alias("comp" + i))
-                        for i, c in (("1", "a"), ("2", "b"))]
-            pairs = groups.union(same).join(one, "gid1").join(two, "gid2").where(
-                (F.col("comp1") != F.col("comp2")) & ((F.col("gid1") != F.col("gid2")) | (F.col("a") < F.col("b")))).select("a", "b")
+        split = checkpoint(still_apart(open_, turn))
+        work = split.agg(F.sum("pairs").alias("pairs"), F.sum("rows").alias("rows")).first()
+        last = not work["rows"] or work["pairs"] <= FEW_PAIRS * work["rows"] or 2 * work["pairs"] > before or turn == ROUNDS
+        before = work["pairs"]
+        left = checkpoint(index.join(split.select("gram"), "gram", "left_semi"))
+        discard(index)
+        index, open_ = left, left.join(own, "gid")
+        if last:
+            pairs = last_pairs(open_, own, placed, classes, percent)
         else:  # the centre of each shared n-gram with its groups, and the head of each group with its members
-            star = open_.where((F.col("gid") != F.col("centre.gid")) & fits(F.col("n"), F.col("centre.n"), percent)).select(
-                F.col("centre.gid").alias("a"), F.col("gid").alias("b"))
-            pairs = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            star = open_.join(split.select("gram", "centre"), "gram").where(
+                (F.col("gid") != F.col("centre.gid")) & fits(F.col("n"), F.col("centre.n"), percent)
+                & ~((F.col("lo") == F.col("centre.hi")) & (F.col("hi") == F.col("centre.lo")))).select(
+                F.least("centre.gid", "gid").alias("a"), F.greatest("centre.gid", "gid").alias("b"))
             if turn == 0:
-                pairs = pairs.union(members.where("gid <> cls").select("gid", "cls"))
+                star = star.union(members.where("gid <> cls").select("gid", "cls"))
+            pairs = checkpoint(star.distinct())
         found = checkpoint(verified(pairs, classes, percent))
-        links = found if links is None else links.union(found)
-        named = components(links).withColumnRenamed("node", "cls")
-        comp = checkpoint(members.select("cls").join(named, "cls", "left").select(
-            "cls", F.coalesce("component", "cls").alias("comp")))
+        links.append(found)
+        named = components(reduce(DataFrame.union, links))
+        now = checkpoint(members.select("cls").join(named, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("component", "cls").alias("comp")))
+        discard(comp, own, split, pairs, named)
+        comp = now
         if last:
+            discard(index, members, *links[1:])
             return comp
 
 
@@ -226,20 +264,28 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     """``doc_id, n_shingles, component_id`` for every row of ``docs (doc_id, text)``."""
     blocks = S.pack_blocks(docs, ["doc_id", "text"])
     shards = S.shards_for(blocks, 16 << 20)
-    sig = checkpoint(signatures(blocks, shards, words, percent))
+    sig = checkpoint(signatures(blocks, shards, words, percent).withColumn("row", F.monotonically_increasing_id()))
     discard(blocks)
-    slim = checkpoint(sig.select("doc_id", "n", "key"))
-    may = sig.where("key is not null and doc_id is not null")
-    named = checkpoint(may.groupBy("key").agg(F.min("doc_id").alias("cls")))
-    first = may.join(named, "key").where("doc_id = cls")
-    classes = checkpoint(first.select("key", "cls", "n", "prefix", "grams", "parity").dropDuplicates(["key"]).drop("key").dropDuplicates(["cls"]))
+    # A class is a set; its number is the stored row of one of its documents.
+    may = sig.where("key is not null and doc_id is not null").select("key", "doc_id", "row")
+    named = checkpoint(may.groupBy("key").agg(F.min(F.struct("doc_id", "row")).alias("x")).select(
+        "key", F.col("x.row").alias("cls"), F.col("x.doc_id").alias("low")))
+    ids = checkpoint(sig.select("doc_id", "n", "key").join(named.select("key", "cls"), "key", "left").select(
+        "doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("cls")).alias("cls")))
+    # An id with several sets is one node.
+    several = ids.where("cls is not null").groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a <> z")
+    known = checkpoint(ids.join(several.select("doc_id", "a"), "doc_id").where("cls <> a").select("a", F.col("cls").alias("b")).distinct())
+    classes = checkpoint(sig.withColumnRenamed("row", "cls").join(named.select("cls"), "cls", "left_semi").select(
+        "cls", "n", "prefix", "grams", "parity"))
     discard(sig)
-    comp = class_components(classes, percent)
-    discard(classes)
-    placed = slim.where("key is not null and doc_id is not null").join(named, "key").join(comp, "cls", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "cls").alias("component_id"))
-    alone = slim.where("key is null or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return placed.union(alone)
+    comp = class_components(classes, known, percent)
+    discard(classes, known)
+    low = comp.join(named.select("cls", "low"), "cls")
+    low = low.join(low.groupBy("comp").agg(F.min("low").alias("component_id")), "comp").select("cls", "component_id")
+    result = checkpoint(ids.join(low, "cls", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
+    discard(named, ids, comp)
+    return result
 
 
 @register("op10_ngram_jaccard")
