@@ -95,6 +95,21 @@ def _home(keys: np.ndarray, shards: int) -> list[np.ndarray]:
     return np.split(order, np.searchsorted(home[order], np.arange(1, shards)))
 
 
+def _packed(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences, byte by byte of all of them, compressed: neighbours share their first characters."""
+    import zstandard
+
+    planes = np.diff(keys.astype("<i8"), prepend=np.int64(0)).view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _keys(cell: pa.Scalar) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(cell.as_buffer()), dtype=np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<i8").ravel())
+
+
 def requests(blocks: DataFrame, shards: int) -> DataFrame:
     """``shard, block, lang, keys, counts``: different n-grams of a block and their counts in its training texts."""
     def run(batches):
@@ -108,7 +123,7 @@ def requests(blocks: DataFrame, shards: int) -> DataFrame:
                     if parts:
                         yield pa.RecordBatch.from_arrays(
                             [pa.array([s for s, _ in parts], pa.int64()), pa.array([block] * len(parts), pa.int64()),
-                             pa.array([lang] * len(parts)), pa.array([g.keys[r].tobytes() for _, r in parts], pa.binary()),
+                             pa.array([lang] * len(parts)), pa.array([_packed(g.keys[r]) for _, r in parts], pa.binary()),
                              pa.array([counts[r].tobytes() for _, r in parts], pa.binary())],
                             names=["shard", "block", "lang", "keys", "counts"])
     return blocks.select("block", "docs").mapInArrow(run, "shard long, block long, lang string, keys binary, counts binary")
@@ -120,7 +135,7 @@ def totals(asked: DataFrame) -> DataFrame:
         out = []
         for lang in sorted(set(t["lang"].to_pylist())):
             own = t.filter(pa.compute.equal(t["lang"], lang))
-            keys = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.int64) for x in own["keys"]])
+            keys = np.concatenate([_keys(x) for x in own["keys"]])
             counts = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in own["counts"]])
             gram, at = np.unique(keys, return_inverse=True)
             out.append(pa.table({"shard": pa.array(np.full(len(gram), t["shard"][0].as_py())), "lang": pa.array([lang] * len(gram)),
@@ -130,7 +145,8 @@ def totals(asked: DataFrame) -> DataFrame:
 
 
 def probabilities(seen: DataFrame, order: int = ORDER) -> DataFrame:
-    """``shard, lang, gram, logp`` by interpolated modified Kneser-Ney for every row of ``totals``."""
+    """``shard, lang, gram, logp`` by interpolated modified Kneser-Ney for every row of ``totals``, as a stored table. The tables of an
+    order are deleted when the next order's are written."""
     last = F.lit((1 << BITS) - 1)
     tables, asked = {order: seen.where("c > 0").select("lang", "gram", "c")}, {order: seen.select("lang", "gram")}
     for o in range(order - 1, 0, -1):
@@ -159,9 +175,13 @@ def probabilities(seen: DataFrame, order: int = ORDER) -> DataFrame:
             q = q.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << (BITS * (o - 1))) - 1))).join(lower, ["lang", "suffix"])
         own = F.coalesce(F.col("c") - F.col("off"), F.lit(0.0))
         p = F.when(F.col("total").isNull(), F.col("below")).otherwise((own + F.col("free") * F.col("below")) / F.col("total"))
+        done = [x for x in (lower, tables[o] if o < order else None) if x is not None]
         lower = checkpoint(q.select("lang", F.col("gram").alias("suffix"), p.alias("below")))
-    return seen.select("shard", "lang", "gram").join(lower.withColumnRenamed("suffix", "gram"), ["lang", "gram"]).select(
-        "shard", "lang", "gram", F.log(F.greatest("below", F.lit(1e-12))).alias("logp"))
+        discard(*done)
+    probs = checkpoint(seen.select("shard", "lang", "gram").join(lower.withColumnRenamed("suffix", "gram"), ["lang", "gram"]).select(
+        "shard", "lang", "gram", F.log(F.greatest("below", F.lit(1e-12))).cast("float").alias("logp")))
+    discard(lower)
+    return probs
 
 
 def answers(asked: DataFrame, probs: DataFrame) -> DataFrame:
@@ -177,7 +197,7 @@ def answers(asked: DataFrame, probs: DataFrame) -> DataFrame:
             tables[lang] = gram[own], logp[own].astype(np.float32)
         for lang, keys in zip(t["lang"].to_pylist(), t["keys"]):
             g, p = tables[lang]
-            out.append(p[np.searchsorted(g, np.frombuffer(keys.as_buffer(), dtype=np.int64))].tobytes())
+            out.append(p[np.searchsorted(g, _keys(keys))].tobytes())
         return pa.table({"block": t["block"], "shard": t["shard"], "lang": t["lang"], "logp": pa.array(out, pa.binary())})
     return (asked.select("shard", "block", "lang", "keys").groupBy("shard").cogroup(probs.groupBy("shard"))
             .applyInArrow(run, "block long, shard long, lang string, logp binary"))
@@ -208,9 +228,11 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, prior_
     blocks = S.pack_blocks(with_roles(docs, labels), ["doc_id", "text", "lang", "role"], level=9, most=BLOCK_BYTES)
     shards = S.shards_for(blocks, 64 << 20)
     asked = checkpoint(requests(blocks, shards))
-    probs = probabilities(checkpoint(totals(asked)))
+    seen = checkpoint(totals(asked))
+    probs = probabilities(seen)
+    discard(seen)
     scored = checkpoint(scores(blocks, answers(asked, probs), shards))
-    discard(blocks, asked)
+    discard(blocks, asked, probs)
     held = scored.where(F.col("role") == HELD_OUT)
     mean = held.groupBy("lang").agg((F.sum("loss") / F.greatest(F.sum("n_chars"), F.lit(1))).alias("mean"))
     score = (F.col("loss") + prior_chars * F.col("mean")) / (F.col("n_chars") + prior_chars)
