@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinvec.llm import line_dedup, ngram_jaccard, packing, quality_lm, substring_dedup
-from twinvec.session import checkpoint
+from twinvec.session import checkpoint, discard
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -59,7 +59,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, stored = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES[:-1]:
         docs = checkpoint(stage(spark, docs, sf_dir))
+        discard(*stored)
+        stored = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
