@@ -85,3 +85,16 @@ def test_subsample_keep_rate(spark):
     p = ((2000 / (1e-3 * 4000)) ** 0.5 + 1) * (1e-3 * 4000) / 2000
     sd = (2000 * p * (1 - p)) ** 0.5
     assert abs(n_the - 2000 * p) < 4 * sd + 1
+
+
+def test_numbered_stream_is_the_pairs_in_order(spark):
+    """The stream made group by group has the pairs of the window plan, numbered without gaps across groups."""
+    kept = spark.range(40_321).selectExpr("id k", "id % 977 word_id").repartition(5)
+    for dynamic in (True, False):
+        got = C.pair_stream(kept, 3, 16, dynamic, 42, 1).orderBy("pair_idx").collect()
+        want = C.pairs(kept, 3, dynamic, 42, 1).orderBy("k", "j").collect()
+        assert [tuple(r[c] for c in ("sid", "i", "j", "k", "p", "input_id", "label_id")) for r in got] == \
+            [tuple(r[c] for c in ("sid", "i", "j", "k", "p", "input_id", "label_id")) for r in want]
+        assert [(r["pair_idx"], r["batch_id"]) for r in got] == [(n, n // 16) for n in range(len(got))]
+    plan = C.pair_stream(kept, 3, columns=["batch_id"])
+    assert plan.columns == ["batch_id"] and "Window [lag" not in plan._jdf.queryExecution().executedPlan().toString()
