@@ -56,6 +56,55 @@ def test_rank_intervals(spark, emb, first, last):
     assert rows(got) == want
 
 
+@pytest.mark.parametrize("first,last", [(1, 1), (1, 40), (7, 31), (281, 300), (400, 500)])
+def test_rank_stretches_from_bounds(spark, emb, first, last):
+    ids = emb.select(F.col("word_id").alias("q"))
+    ids = ids.unionByName(ids.where("q < 10"))  # some queries come twice
+    q, c = N.query_vectors(ids, emb), emb.select(F.col("word_id").alias("id"), "vec")
+    every = S.topk_panels(q, c, S.RANKS_KERNEL, S.NEIGHBOR_PANELS, 600)
+    want = rows(every.where(F.col("rank").between(first, last)))
+    assert rows(S.rank_stretch(q, c, S.RANKS_KERNEL, S.NEIGHBOR_PANELS, first, last, query_block=70, cand_chunk=90)) == want
+
+
+def test_best_of_a_slice_equals_sorting():
+    r = np.random.default_rng(5)
+    s = r.normal(0, 1, (40, 3000))
+    s[3, :2900] = 0.25  # more ties than the close look takes
+    s[4, 10:60] = s[4].max() + 4e-7 * r.random(50)  # equal once rounded
+    s[5], s[6, ::2], s[7, 5] = np.nan, -np.inf, np.inf
+    for k in (1, 10, 400):
+        rr, cc, vv = S._best(s, k)
+        got = sorted(zip(rr.tolist(), cc.tolist(), vv.tolist()))
+        want = []
+        for i, row in enumerate(np.round(s, S.SCORE_DECIMALS)):
+            good = np.flatnonzero(np.isfinite(row))
+            want += [(i, int(j), row[j]) for j in good[np.lexsort((good, -row[good]))][:k]]
+        assert got == sorted(want)
+
+
+def test_a_slice_leaves_no_matrices_behind():
+    import gc
+    import weakref
+
+    import pyarrow as pa
+    v = pa.array(np.random.default_rng(2).normal(0, 1, (50, 6)).tolist(), pa.list_(pa.float32()))
+    q, c = pa.table({"q": range(50), "q__vec": v}), pa.table({"id": range(50), "c__vec": v})
+    left = []
+    gc.disable()  # as between two runs of the collector, which counts objects and not their size
+    try:
+        for _, _, scores, _ in S._slices(S.NEIGHBOR_KERNEL, 10, q, c):
+            left.append(weakref.ref(scores["near_w"]()))
+            assert sum(x() is not None for x in left) == 1
+    finally:
+        gc.enable()
+
+
+def test_long_lists_split_the_queries():
+    n_qb, n_ch = S.plan_blocks(100_000, 100_000, 8, list_rows=140)
+    assert 100_000 / n_qb * 140 <= S.LIST_ROWS and n_ch == 2
+    assert S.plan_blocks(10_000, 10_000, 8, list_rows=140) == (8, 1)
+
+
 def test_bins_rise_with_the_score():
     r = np.random.default_rng(1)
     x = np.sort(np.concatenate([r.normal(0, 1, 2000), r.normal(0, 1e6, 2000), [0.0, -0.0, 1e-300, -1e-300, 5e300, -5e300], r.normal(0, 1e-9, 500)]))
