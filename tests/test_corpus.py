@@ -98,3 +98,21 @@ def test_numbered_stream_is_the_pairs_in_order(spark):
         assert [(r["pair_idx"], r["batch_id"]) for r in got] == [(n, n // 16) for n in range(len(got))]
     plan = C.pair_stream(kept, 3, columns=["batch_id"])
     assert plan.columns == ["batch_id"] and "Window [lag" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counts_of_pairs_are_merged_from_packed_parts(spark, monkeypatch):
+    """The counts equal those of the pair rows over many groups and buckets, and no join, window or row of a pair is in the plan."""
+    monkeypatch.setattr(C, "SENTENCES_COUNTED", 2)
+    monkeypatch.setattr(C, "PAIRS_MERGED", 500)
+    rows = [(k, (k * k) % 11 if k % 3 else 0) for k in range(1003)]
+    kept = spark.createDataFrame(rows, "k long, word_id long").repartition(7)
+    for dynamic in (False, True):
+        got = C.pair_counts(kept, 3, dynamic, 42, 1, sentence_size=50)
+        want = C.pairs(kept, 3, dynamic, 42, 1, sentence_size=50).groupBy("input_id", "label_id").agg(F.count(F.lit(1)).alias("n"))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "Generate" not in plan
+    assert C.pair_counts(kept.where("k < 1"), 3).collect() == [] and C.pair_counts(kept.where("k < 0"), 3).collect() == []
+    numbers = [0, 1, 255, 256, 2 ** 40, 2 ** 62]
+    import numpy as np
+    assert C._unpack(C._pack(np.array(numbers)), 6).tolist() == numbers
