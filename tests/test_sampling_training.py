@@ -263,3 +263,37 @@ def test_batches_with_drawn_negatives_are_those_with_stored_ones(spark):
     assert ga.keys() == gb.keys() and all(np.allclose(ga[x], gb[x], atol=1e-9) for x in ga)
     bare = TR.evaluate_drawn(stream, nz, 5, 42, 0, theta, gradients=False, batches=7)
     assert sums(bare) == b and bare.where("kind = 'row'").count() == 0
+
+
+def test_pairs_without_a_common_row_run_together():
+    # Three centres with their own words: the pairs of one centre follow each other, those of different centres need not wait.
+    waves = TR._waves([0, 0, 1, 1, 2], [[10, 11], [12, 13], [20, 21], [10, 22], [30, 31]])
+    assert waves.tolist() == [0, 1, 0, 1, 0]
+    rng = np.random.default_rng(5)
+    w_in, w_out = rng.normal(0, 0.3, (40, 4)), rng.normal(0, 0.3, (40, 4))
+    one_in, one_out = w_in.copy(), w_out.copy()
+    ex, lab = rng.integers(0, 40, 300), rng.integers(0, 40, 300)
+    negs = [rng.integers(0, 40, n) for n in rng.integers(0, 6, 300)]
+    loss = TR.untied_step(w_in, w_out, ex, lab, negs, 0.2)
+    alone = sum(TR.untied_step(one_in, one_out, ex[i:i + 1], lab[i:i + 1], negs[i:i + 1], 0.2) for i in range(300))
+    assert np.allclose(w_in, one_in) and np.allclose(w_out, one_out) and abs(loss - alone) < 1e-9
+
+
+def test_batches_in_a_run_equal_batches_by_themselves():
+    rng = np.random.default_rng(6)
+    W, q = rng.normal(0, 0.3, (12, 4)), TR.sign_vector(4)
+    one, total = W.copy(), 0.0
+    ii, jj = rng.integers(0, 12, (20, 3)), rng.integers(0, 12, (20, 3))
+    kk = np.stack([rng.choice(12, 5, replace=False) for _ in range(20)])
+    for i, j, k in zip(ii, jj, kk):
+        loss, rows, grads = TR.tied_loss_and_grads(one, i, j, k, q)
+        np.add.at(one, rows, -0.1 * grads)
+        total += loss
+    assert abs(TR.tied_steps(W, ii, jj, kk, q, 0.1) - total) < 1e-9 and np.allclose(W, one)
+
+
+def test_means_of_changed_rows(spark):
+    rows = [(w, i, s, np.array([s + i, 1.0 * w], dtype="<f8").tobytes(), 0.0, 1) for w in (0, 1) for i in range(30) for s in range(1 + i % 3)]
+    changed = spark.createDataFrame([(-1, -1, 0, None, 2.0, 1)] + rows, TR.CHANGED)
+    got = {(r["which"], r["word_id"]): r["vec"] for r in TR.averaged(changed, len(rows)).collect()}
+    assert got == {(w, i): [i + (i % 3) / 2, w] for w in (0, 1) for i in range(30)}
