@@ -50,3 +50,20 @@ def test_stages_on_no_rows_and_nulls(spark):
         for name, stage in P.STAGES:
             docs = checkpoint(stage(spark, docs, SF))
             assert docs.count() == rows
+
+
+def test_no_text_is_shuffled_for_the_ids_that_go(spark, monkeypatch):
+    docs = spark.range(100).selectExpr("id AS doc_id", "'a b' AS text", "'en' AS lang", "'web' AS source", "3L AS n_chars")
+    ids = docs.where("doc_id % 3 = 0").repartition(2).select("doc_id")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        left = P._without(docs, ids)
+        assert "SortMergeJoin" not in left._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(P, "MOST_SENT", 10)
+        more = P._without(docs, ids)
+        assert "SortMergeJoin" in more._jdf.queryExecution().executedPlan().toString()
+        assert sorted(left.collect()) == sorted(more.collect()) == sorted(docs.where("doc_id % 3 <> 0").collect())
+    finally:
+        spark.conf.set(key, before)
