@@ -62,3 +62,13 @@ def test_next_value(spark, block, top):
     keys.sort()
     assert got == {k: f"v{n}" if n is not None else None for k, n in zip(keys, keys[1:] + [None])}
     assert O.next_value(df.limit(0), "k", "v", "n", block, top).count() == 0
+
+
+def test_few_texts_go_to_python_at_a_time(spark, docs, monkeypatch):
+    vocab, seen, stored = C.build_vocab(None, 2, C.text_word_counts(docs)), [], J.checkpoint
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    monkeypatch.setattr(J, "checkpoint", lambda df: seen.append(int(spark.conf.get(key))) or stored(df))
+    C.encode_documents(docs, vocab)
+    T.next_tag_documents(docs, vocab)
+    assert seen == [J.ARRAYS_AT_ONCE] * 2 and spark.conf.get(key) == before
