@@ -85,3 +85,30 @@ def test_tables_are_deleted_after_use(spark):
     held = set(os.listdir(root))
     again = N.near_duplicates(table(spark, list(collection(9).values())))
     assert set(os.listdir(root)) - held == {os.path.basename(again.stored_at)}
+
+
+def test_two_groups_that_share_many_ngrams_are_a_pair_about_once(spark):
+    """Thirty groups have 200 n-grams in common but for a few: 435 pairs, not one for each shared n-gram."""
+    r = random.Random(4)
+    held = {g: sorted(r.sample(range(200), 170)) for g in range(30)}
+    heads = spark.createDataFrame([(gram, g, 200, g, g, 1, [0] * (N.BITS // 64), [0] * (N.BITS // 64)) for g, own in held.items() for gram in own],
+                                  "gram long, gid long, n long, lo long, hi long, m long, every array<long>, some array<long>")
+    got = [(x["gid1"], x["gid2"]) for x in N.group_pairs(heads, 80).collect()]
+    assert set(got) == {(a, b) for a in held for b in held if a < b} and len(got) < 3 * 435
+
+
+def test_no_pair_of_groups_is_lost_whatever_lies_before_the_shared_ngram(spark):
+    held = {0: [1, 5, 9], 1: [2, 5], 2: [9], 3: [1, 2, 3, 4, 6, 7, 8, 9, 10, 11, 12, 13], 4: [20], 5: [13, 20]}
+    heads = spark.createDataFrame([(gram, g, 200, g, g, 2, [0] * (N.BITS // 64), [0] * (N.BITS // 64)) for g, own in held.items() for gram in own],
+                                  "gram long, gid long, n long, lo long, hi long, m long, every array<long>, some array<long>")
+    got = {(x["gid1"], x["gid2"]) for x in N.group_pairs(heads, 80).collect()}
+    assert got == {(a, b) for a in held for b in held if a < b and set(held[a]) & set(held[b])}
+
+
+def test_groups_of_several_are_a_pair_only_if_members_may_be_similar(spark):
+    """No member of group 0 has a bit of the first 40, all of group 1 have them; group 2 has members with and without."""
+    bits = {0: (0, 0), 1: ((1 << 40) - 1, (1 << 40) - 1), 2: (0, (1 << 40) - 1)}
+    rest = [0] * (N.BITS // 64 - 1)
+    heads = spark.createDataFrame([(7, g, 100, g, g, 3, [a, *rest], [b, *rest]) for g, (a, b) in bits.items()],
+                                  "gram long, gid long, n long, lo long, hi long, m long, every array<long>, some array<long>")
+    assert {(x["gid1"], x["gid2"]) for x in N.group_pairs(heads, 80).collect()} == {(0, 2), (1, 2)}

@@ -25,7 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinvec.llm import shingles as S
@@ -35,8 +35,8 @@ from twinvec.session import checkpoint, discard
 
 WORDS, PERCENT = 5, 80
 #: Rounds of linking to centres (fewer where one leaves more than half of the pairs), pairs per index row that are few enough to
-#: expand at once, pairs that may be broadcast, and bits of a set's parity.
-ROUNDS, FEW_PAIRS, MOST_BROADCAST, BITS = 5, 2, 1_000_000, 512
+#: expand at once, pairs that may be broadcast, bits of a set's parity, and n-grams before an index row's own that it holds.
+ROUNDS, FEW_PAIRS, MOST_BROADCAST, BITS, EARLIER = 5, 2, 1_000_000, 512, 8
 
 
 def spare(n: np.ndarray) -> np.ndarray:
@@ -164,6 +164,15 @@ def near_parity(a: Column, b: Column, n: Column, percent: int) -> Column:
     return apart * (100 + percent) <= (100 - percent) * n
 
 
+def may_be_near(i: str, j: str, percent: int) -> Column:
+    """:func:`near_parity` for any member of group ``i`` and any of ``j``: a bit that all members of one have and none of the other
+    differs in every pair of them. For groups of one it is the test of their pair."""
+    bit = lambda name, k: F.get(name, F.lit(k))
+    only = lambda a, b, k: bit("every" + a, k).bitwiseAND(F.bitwise_not(bit("some" + b, k)))
+    apart = sum((F.bit_count(only(i, j, k).bitwiseOR(only(j, i, k))) for k in range(BITS // 64)), F.lit(0))
+    return apart * (100 + percent) <= (100 - percent) * (F.col("n" + i) + F.col("n" + j))
+
+
 def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Of the pairs ``(a, b)`` of classes those whose whole sets are similar enough.
 
@@ -197,18 +206,31 @@ def still_apart(open_: DataFrame, turn: int) -> DataFrame:
         ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")).where("l <> h").drop("l", "h")
 
 
+def group_pairs(heads: DataFrame, percent: int) -> DataFrame:
+    """``gid1, gid2, lone``: pairs of groups of ``heads (gram, gid, n, lo, hi, m, every, some)`` that share an n-gram and may
+    have members that are similar enough; ``every`` and ``some`` are the parity bits that all or any of a group's members have.
+
+    Near copies share most of their n-grams, but a pair is wanted once: a row holds the ``EARLIER`` n-grams before its own (in order of
+    hash) of its group, and two rows that have one of these in common leave the pair to that one. The first n-gram that two groups
+    share gives their pair whatever lies before it, so none is lost; few come twice."""
+    w = Window.partitionBy("gid").orderBy("gram")
+    heads = heads.withColumn("before", F.array_compact(F.array(*[F.lag("gram", i).over(w) for i in range(1, EARLIER + 1)])))
+    x, y = [heads.select("gram", *[F.col(c).alias(c + i) for c in ("gid", "n", "lo", "hi", "m", "every", "some", "before")]) for i in "12"]
+    lone = (F.col("m1") == 1) & (F.col("m2") == 1)  # a group of one is its head
+    return x.join(y, "gram").where(
+        (F.col("gid1") < F.col("gid2")) & fits(F.col("n1"), F.col("n2"), percent)
+        & ~((F.col("lo1") == F.col("hi2")) & (F.col("hi1") == F.col("lo2")))
+        & ~F.arrays_overlap("before1", "before2") & may_be_near("1", "2", percent)
+    ).select("gid1", "gid2", lone.alias("lone"))
+
+
 def last_pairs(open_: DataFrame, own: DataFrame, placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes ``(a, b)`` in different components whose groups share an n-gram, or that are one group, and whose sizes and
     parities allow a link."""
     parity = classes.select("cls", "parity")
-    heads = open_.join(parity.withColumnRenamed("cls", "gid"), "gid")
-    x, y = [heads.select("gram", *[F.col(c).alias(c + i) for c in ("gid", "n", "lo", "hi", "m", "parity")]) for i in "12"]
-    lone = (F.col("m1") == 1) & (F.col("m2") == 1)  # a group of one is its head, whose parity is known here
-    groups = x.join(y, "gram").where(
-        (F.col("gid1") < F.col("gid2")) & fits(F.col("n1"), F.col("n2"), percent)
-        & ~((F.col("lo1") == F.col("hi2")) & (F.col("hi1") == F.col("lo2")))
-        & (~lone | near_parity(F.col("parity1"), F.col("parity2"), F.col("n1") + F.col("n2"), percent))
-    ).select("gid1", "gid2", lone.alias("lone")).distinct()
+    bits = placed.join(parity, "cls").groupBy("gid").agg(*[F.array(*[f(F.get("parity", F.lit(k))) for k in range(BITS // 64)]).alias(name)
+                                                            for f, name in ((F.bit_and, "every"), (F.bit_or, "some"))])
+    groups = group_pairs(open_.join(bits, "gid"), percent).distinct()
     same = own.where("lo <> hi").select(F.col("gid").alias("gid1"), F.col("gid").alias("gid2"), F.lit(False).alias("lone"))
     groups = checkpoint(groups.union(same))
     one, two = [placed.join(parity, "cls").select(F.col("gid").alias("gid" + i), F.col("cls").alias(c), F.col("comp").alias("comp" + i),
