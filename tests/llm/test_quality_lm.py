@@ -99,3 +99,19 @@ def test_toxic_documents_go_and_clean_ones_stay(spark):
     clean = [kept[r["doc_id"]] for r in labels if r["quality"] == 1 and r["toxic"] == 0]
     toxic = [not kept[r["doc_id"]] for r in labels if r["quality"] == 1 and r["toxic"] == 1]
     assert sum(toxic) / len(toxic) > 0.6 and sum(clean) / len(clean) > 0.98
+
+
+def test_blocks_reach_over_the_batches_from_spark(spark):
+    """3,000 short texts are one block, not one for each batch of 1,000: a block asks for an n-gram once."""
+    docs = table(spark, [f"text {i}" for i in range(3000)], clashing=False).coalesce(1)
+    blocks = S.pack_blocks(docs, ["doc_id", "text"], most=Q.BLOCK_BYTES, full=True)
+    assert blocks.count() == 1
+    assert S.unpack(next(iter(blocks.toArrow()["docs"])))["doc_id"].to_pylist() == list(range(3000))
+
+
+def test_full_blocks_keep_their_bounds():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_arrays([pa.array(["x" * n] * k, pa.string())], names=["text"]) for n, k in ((10, 900), (10, 900), (10, 900), (10, 900), (10, 900), (5000, 3), (9000, 1), (1, 0))]
+    got = [(len(b), sum(len(t) for t in b["text"].to_pylist())) for b in S.gathered(iter(batches), 40_000)]
+    assert [n for n, _ in got] == [3600, 904] and all(size <= 40_000 for _, size in got)

@@ -35,7 +35,7 @@ QUANTILE, PRIOR_CHARS = 0.995, 100
 #: Labelled ids are sent to every task up to this number (16 bytes each) and joined by a shuffle beyond it.
 MOST_BROADCAST = 1_000_000
 TRAIN, HELD_OUT = 1, 2
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def trusted(labels: DataFrame) -> DataFrame:
@@ -59,24 +59,30 @@ class _Grams:
         size = np.array([len(t) for t in texts], dtype=np.int64)
         pad = "\0" * (order - 1)
         sym = np.frombuffer((pad + pad.join(texts)).encode("utf-32-le"), dtype=np.uint32)
-        sym = np.where(sym < 3000, sym, 3000 + (sym * np.uint32(2654435761) >> np.uint32(8)) % np.uint32(1096)).astype(np.int64)
-        self.owner = np.repeat(np.arange(len(texts)), size)
-        place = np.arange(len(self.owner)) + (order - 1) * (self.owner + 1)
+        sym = np.where(sym < 3000, sym, 3000 + (sym * np.uint32(2654435761) >> np.uint32(8)) % np.uint32(1096)).astype(np.int16)
+        self.owner = np.repeat(np.arange(len(texts), dtype=np.int32), size)
+        place = np.arange(len(self.owner), dtype=np.int32) + np.int32(order - 1) * (self.owner + np.int32(1))
         used = np.flatnonzero(np.bincount(sym, minlength=1 << BITS))
-        small = np.zeros(1 << BITS, dtype=np.int64)
+        small = np.zeros(1 << BITS, dtype=np.int32)
         small[used] = np.arange(len(used))
-        # From short to long n-grams, numbering at each length only those that occur: no sorting of positions.
-        at, values = np.zeros(len(place), dtype=np.int64), np.zeros(1, dtype=np.int64)
+        # From short to long n-grams, numbering at each length only those that occur: no sorting of positions. A position's number
+        # fits 32 bits, as there are no more numbers than positions.
+        at, values = np.zeros(len(place), dtype=np.int32), np.zeros(1, dtype=np.int64)
         for back in range(order - 1, -1, -1):
-            at = at * len(used) + small[sym[place - back]]
             space = len(values) * len(used)
+            at = at.astype(np.int32 if space < 1 << 31 else np.int64, copy=False)
+            at = at * at.dtype.type(len(used))
+            at += small[sym[place - np.int32(back)]]
             if space <= max(1 << 24, 2 * len(place)):
-                seen = np.flatnonzero(np.bincount(at, minlength=space)) if len(at) else np.empty(0, dtype=np.int64)
-                number = np.zeros(space, dtype=np.int64)
-                number[seen] = np.arange(len(seen))
+                there = np.zeros(space, dtype=bool)
+                there[at] = True
+                seen = np.flatnonzero(there)
+                number = np.zeros(space, dtype=np.int32)
+                number[seen] = np.arange(len(seen), dtype=np.int32)
                 at = number[at]
             else:
                 seen, at = np.unique(at, return_inverse=True)
+                at = at.astype(np.int32)
             values = (values[seen // len(used)] << BITS) | used[seen % len(used)]
         self.keys, self.at = values, at
 
@@ -225,7 +231,7 @@ def scores(blocks: DataFrame, answered: DataFrame, shards: int) -> DataFrame:
 
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, prior_chars: int = PRIOR_CHARS) -> DataFrame:
     """``doc_id, lang, n_chars, perplexity, score, kept`` for every row of ``docs (doc_id, text, lang)``."""
-    blocks = S.pack_blocks(with_roles(docs, labels), ["doc_id", "text", "lang", "role"], level=9, most=BLOCK_BYTES)
+    blocks = S.pack_blocks(with_roles(docs, labels), ["doc_id", "text", "lang", "role"], level=9, most=BLOCK_BYTES, full=True)
     shards = S.shards_for(blocks, 64 << 20)
     asked = checkpoint(requests(blocks, shards))
     seen = checkpoint(totals(asked))

@@ -112,10 +112,25 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at[1:] - at[0]
 
 
-def pack_blocks(docs: DataFrame, columns: list[str], level: int = 3, most: int = BLOCK_BYTES) -> DataFrame:
+def gathered(batches, most: int):
+    """Batches of up to ``most`` bytes of text and ``BLOCK_ROWS`` rows, put together from smaller ones; a larger one stays as it is."""
+    held, size = [], 0
+    for b in batches:
+        own = int(flat(b["text"])[1][-1]) if len(b) else 0
+        if held and (size + own > most or sum(map(len, held)) + len(b) > BLOCK_ROWS):
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(b)
+        size += own
+    if held:
+        yield pa.concat_batches(held)
+
+
+def pack_blocks(docs: DataFrame, columns: list[str], level: int = 3, most: int = BLOCK_BYTES, full: bool = False) -> DataFrame:
     """``block, docs, size``: rows of ``docs`` (``columns``, with ``text``) in compressed blocks, as a stored table.
 
-    Stored, since requests and answers must see the same blocks even if an executor is lost in between.
+    Stored, since requests and answers must see the same blocks even if an executor is lost in between. ``full``: blocks reach over the
+    batches that come from Spark, so that they are as large as ``most`` and ``BLOCK_ROWS`` allow; the fewer ask for the same thing.
     """
     def run(batches):
         import zstandard
@@ -123,7 +138,7 @@ def pack_blocks(docs: DataFrame, columns: list[str], level: int = 3, most: int =
 
         lean()
         squeeze, block = zstandard.ZstdCompressor(level=level), TaskContext.get().partitionId() << 32
-        for b in batches:
+        for b in gathered(batches, most) if full else batches:
             size = np.cumsum(np.diff(np.concatenate([[0], flat(b["text"])[1]])))
             at = 0
             while at < len(b):
