@@ -97,3 +97,15 @@ def test_ids_equal_the_librarys_on_random_texts():
         assert np.frombuffer(own.ids(text), dtype=own.kind).tolist() == want, (n, text)
     for text in ("BİTTİ.", "İ!", "日İ:", "क़:", "İstanbul ΑΣ."):
         assert np.frombuffer(own.ids(text), dtype=own.kind).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_a_workers_memo_goes_with_the_next_operator():
+    from twinvec.llm import workers
+
+    built = []
+    assert workers.one_memo("first", lambda: built.append(1) or "a") == "a" and workers.one_memo("first", lambda: built.append(1) or "b") == "a"
+    workers.lean()
+    assert workers.per_process("memos", dict) == {}
+    workers.one_memo("first", lambda: "c"), workers.one_memo("second", lambda: "d")
+    assert workers.per_process("memos", dict) == {"second": "d"}
+    workers.lean()

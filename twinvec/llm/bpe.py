@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
 from twinvec.llm.registry import register, table
-from twinvec.llm.workers import lean, per_process
+from twinvec.llm.workers import one_memo
 
 # Blanks of the tokenizer's regular expressions, and its pattern of pieces.
 _BLANK = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -203,8 +203,7 @@ class _Words(_Memo):
 
 
 def codec(path: str) -> Codec:
-    lean()
-    return per_process(("codec", path), lambda: Codec(path))
+    return one_memo(("codec", path), lambda: Codec(path))
 
 
 def encode(text: Column | str, path: str) -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from twinvec.llm.bpe import byte_alphabet
 from twinvec.llm.registry import register, table
-from twinvec.llm.workers import lean, per_process
+from twinvec.llm.workers import one_memo
 
 LENGTH, CLOSING_ID, GROUP_DOCS = 4096, 2, 2048
 #: Pieces of text remembered by a Python worker, and the longest of them.
@@ -73,8 +73,7 @@ class _Words(dict):
 
 
 def words(path: str) -> _Words:
-    lean()
-    return per_process(("words", path), lambda: _Words(path))
+    return one_memo(("words", path), lambda: _Words(path))
 
 
 def tokenize(docs: DataFrame, path: str, closing_id: int = CLOSING_ID) -> DataFrame:

@@ -17,9 +17,19 @@ def per_process(key, build):
     return held[key]
 
 
-def lean() -> None:
+def one_memo(key, build):
+    """:func:`per_process` for a value that fills up with what it has seen: it is kept until a task of another operator calls
+    :func:`lean`, so that the next operator does not pay for it."""
+    memos = per_process("memos", dict)
+    lean(keep=key)
+    if key not in memos:
+        memos[key] = build()
+    return memos[key]
+
+
+def lean(keep=None) -> None:
     """Make this worker return large arrays to the machine as soon as they are freed, so that idle workers leave their
-    executor's memory to Spark. Without effect where the C library has no such setting."""
+    executor's memory to Spark. Without effect where the C library has no such setting. Memos other than ``keep`` go."""
     def settle():
         import ctypes
 
@@ -34,3 +44,16 @@ def lean() -> None:
             pass
         return True
     per_process("lean", settle)
+    memos = per_process("memos", dict)
+    old = [key for key in memos if key != keep]
+    for key in old:
+        del memos[key]
+    if old:
+        import ctypes
+        import gc
+
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass
