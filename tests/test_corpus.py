@@ -116,3 +116,9 @@ def test_counts_of_pairs_are_merged_from_packed_parts(spark, monkeypatch):
     numbers = [0, 1, 255, 256, 2 ** 40, 2 ** 62]
     import numpy as np
     assert C._unpack(C._pack(np.array(numbers)), 6).tolist() == numbers
+
+
+def test_words_that_are_always_kept_draw_no_number(spark, monkeypatch):
+    tokens = spark.createDataFrame([(g, g % 7, 3) for g in range(50)], "g long, word_id long, freq long")
+    monkeypatch.setattr(C, "uniform", lambda *keys: F.raise_error(F.lit("drawn")).cast("double"))
+    assert C.subsample(tokens, 100_000, Word2VecParams(), 0).count() == 50
