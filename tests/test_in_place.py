@@ -72,3 +72,23 @@ def test_few_texts_go_to_python_at_a_time(spark, docs, monkeypatch):
     C.encode_documents(docs, vocab)
     T.next_tag_documents(docs, vocab)
     assert seen == [J.ARRAYS_AT_ONCE] * 2 and spark.conf.get(key) == before
+
+
+def test_the_vocabulary_alone_encodes_no_tokens(spark, tmp_path, monkeypatch):
+    from twinvec.plans import inputs
+
+    spark.createDataFrame([(i, "a b c a b. " * 20) for i in range(5)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    with monkeypatch.context() as m:
+        m.setattr(inputs.C, "encode_documents", lambda *a: 1 / 0)
+        words = rows(inputs.vocab(spark, str(tmp_path)))
+    assert words == rows(inputs.corpus(spark, str(tmp_path))[1]) and len(words) == 5
+
+
+def test_tags_travel_as_bytes(spark):
+    df = spark.createDataFrame([(1, ["X", None, "Y", "X"]), (2, []), (3, None)], "d long, t array<string>")
+    coded, back = J.coded(df, "t")
+    assert coded.schema["t"].dataType.simpleString() == "array<tinyint>"
+    assert rows(coded.select("d", F.transform("t", back).alias("t"))) == rows(df)
+    many = spark.createDataFrame([(1, [str(i) for i in range(J.MOST_CODES + 1)])], "d long, t array<string>")
+    coded, back = J.coded(many, "t")
+    assert rows(coded.select("d", F.transform("t", back).alias("t"))) == rows(many)

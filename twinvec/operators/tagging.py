@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from twinvec.functions.text import split_tokens
 from twinvec.functions.vectors import l2_normalize, x_part, y_part
 from twinvec.operators.corpus import documents_tokens
-from twinvec.operators.joins import lookup_arrays, lookup_join, stored_arrays
+from twinvec.operators.joins import coded, lookup_arrays, lookup_join, stored_arrays
 from twinvec.operators.ordering import dense_prefix, key_prefix, next_value
 from twinvec.session import checkpoint
 
@@ -66,9 +66,12 @@ def next_tag_documents(docs: DataFrame, vocab: DataFrame, with_vector_ids: DataF
     total = int(per.agg(F.sum("known")).first()[0] or 0)
     n_train = (total * 4) // 5  # floor(0.8 n) in exact integer arithmetic
     place = key_prefix(per, "_doc", {"off": F.col("n"), "known_off": F.col("known")}).select("_doc", "after", "off", "known_off")
-    row = arrays.join(place, "_doc")
-    nexts = F.concat(F.slice("tags", 2, F.size("tags")), F.array("after"))
-    rows = F.transform(F.arrays_zip("ids", nexts.alias("tag")), lambda x, i: F.struct(i.alias("i"), x["ids"].alias("word_id"), x["tag"].alias("tag")))
+    # A token travels as five bytes: its id and the number of its tag.
+    narrow, tag_of = coded(arrays.select("_doc", F.col("ids").cast("array<int>").alias("ids"), "tags"), "tags")
+    row = narrow.join(place, "_doc")
+    here = F.transform("tags", tag_of)
+    nexts = F.concat(F.slice(here, 2, F.size("tags")), F.array("after"))
+    rows = F.transform(F.arrays_zip("ids", nexts.alias("tag")), lambda x, i: F.struct(i.alias("i"), x["ids"].cast("long").alias("word_id"), x["tag"].alias("tag")))
     rows = F.filter(rows, lambda x: x["word_id"].isNotNull() & x["tag"].isNotNull())
     out = row.select("off", "known_off", F.posexplode(rows).alias("p", "x"))
     pos = F.col("known_off") + F.col("p")
