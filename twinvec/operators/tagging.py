@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from twinvec.functions.text import split_tokens
 from twinvec.functions.vectors import l2_normalize, x_part, y_part
-from twinvec.operators.corpus import documents_tokens
 from twinvec.operators.joins import coded, lookup_arrays, lookup_join, stored_arrays
 from twinvec.operators.ordering import dense_prefix, key_prefix, next_value
 from twinvec.session import checkpoint
@@ -55,9 +54,6 @@ def next_tag_documents(docs: DataFrame, vocab: DataFrame, with_vector_ids: DataF
     words = split_tokens(text_col)
     texts = docs.select(F.col(id_col).alias("_doc"), F.transform(words, tag).alias("tags"), F.transform(words, F.lower).alias("_w"))
     arrays = lookup_arrays(texts, "_w", ids, "ids")
-    if arrays is None:
-        return next_tag_dataset(documents_tokens(docs, id_col, text_col).select("g", F.lower("word").alias("word"), tag(F.col("word")).alias("tag")),
-                                vocab, with_vector_ids)
     arrays = stored_arrays(arrays)
     per = arrays.select("_doc", F.size("ids").cast("long").alias("n"), F.size(F.filter("ids", lambda x: x.isNotNull())).cast("long").alias("known"),
                         F.element_at("ids", -1).isNotNull().alias("last_known"), F.get("tags", F.lit(0)).alias("first")).where("n > 0")
